@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import mixing, quality
+from taktwerk.llm import elias_fano, fingerprints, mixing, packing, quality
 from taktwerk.llm.common import table
 
 
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elias_fano.token_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -18,8 +26,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_blocks": op2_token_blocks,
+        "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_fingerprints": op10_fingerprints,
     }
