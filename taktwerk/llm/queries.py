@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import elias_fano, fingerprints, mixing, packing, quality
+from taktwerk.llm import elias_fano, fingerprints, mixing, packing, quality, simhash
 from taktwerk.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_blocks": op2_token_blocks,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
+        "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
         "op10_fingerprints": op10_fingerprints,
     }
