@@ -27,7 +27,7 @@ WEIGHTS = (5, 2, 1)
 MIX = 1.5
 MOST = 2
 #: Documents of one source whose places are counted up in one task; the order's first hex digits split larger sources.
-GROUP_DOCS = 20_000
+GROUP_DOCS = 2_000
 #: Multipliers of the permutation: the first that does not divide the number of blocks. Fixed primes.
 PRIMES = (1_000_003, 999_983, 999_979, 999_961)
 
