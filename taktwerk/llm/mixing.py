@@ -22,6 +22,8 @@ from taktwerk.llm.common import materialize, n_words_of, with_text
 #: Words in a block, and slots that an output shard holds on average.
 BLOCK = 128
 SHARD_SLOTS = 4096
+#: Shards whose slots one task makes.
+TASK_SHARDS = 16
 #: Weights of the sources by code point, in turn; the mix as a part of all words; the most a source is repeated.
 WEIGHTS = (5, 2, 1)
 MIX = 1.5
@@ -104,12 +106,14 @@ def slots(sizes: DataFrame, goal: DataFrame, seed: int = 0) -> DataFrame:
 
     A source's slot numbers are made in ranges, so that a large source is dealt to many tasks.
     """
+    shards = max(1, -(-(goal.agg(F.sum("slots")).first()[0] or 0) // SHARD_SLOTS))
     parts = goal.select("rank", "blocks", "slots").where(F.col("slots") > 0)
-    ranges = parts.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SHARD_SLOTS}L)")).alias("range")).repartition("rank", "range")
+    ranges = parts.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SHARD_SLOTS}L)")).alias("range"))
+    # The number keeps Spark from putting the few ranges, which grow a thousandfold, into one task.
+    ranges = ranges.repartition(max(1, shards // TASK_SHARDS), "rank", "range")
     each = ranges.select("*", F.explode(F.expr(f"sequence(range * {SHARD_SLOTS}L, least((range + 1) * {SHARD_SLOTS}L, slots) - 1)")).alias("slot"))
     each = each.select("rank", "blocks", "slot", F.expr("slot div blocks").alias("turn"), F.expr("slot % blocks").alias("block"))
     each = permute(each, "block", "blocks", f"(rank * 31L + {seed}L)")
-    shards = max(1, -(-(goal.agg(F.sum("slots")).first()[0] or 0) // SHARD_SLOTS))
     drawn = F.xxhash64(F.lit(seed), F.col("rank"), F.col("slot"))
     return each.select("rank", "turn", "block", F.pmod(drawn, F.lit(shards)).alias("shard"), F.xxhash64(drawn).alias("draw"))
 
@@ -133,7 +137,8 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     goal = targets(sizes)
     rows = materialize(placed(sizes, goal), "placed")
     times = slots(sizes, goal, seed).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-    got = block_parts(rows).join(times, ["rank", "block"], "left")
+    # Slots come from a table of a few rows, by which Spark would take them for few.
+    got = block_parts(rows).hint("merge").join(times, ["rank", "block"], "left")
     keys = ["id", "size", "source_size", "target"]
     # A document with words is told apart from its copies by where it starts.
     got = got.groupBy(*keys, "rank", "start").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"))
@@ -153,7 +158,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     sizes = sized(docs, id_col, text_col, source_col)
     goal = targets(sizes)
     rows = materialize(placed(sizes, goal), "placed")
-    parts = block_parts(rows).join(slots(sizes, goal, seed), ["rank", "block"])
+    parts = block_parts(rows).hint("merge").join(slots(sizes, goal, seed), ["rank", "block"])
     # Copies of one row are alike: what is taken of the n-th of them goes to the n-th.
     order = Window.partitionBy("key").orderBy("start")
     numbered = rows.where(F.col("size") > 0).select("key", "start", "rank", F.row_number().over(order).alias("nth"))
