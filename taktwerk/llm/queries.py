@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import elias_fano, fingerprints, mixing, packing, quality, simhash
+from taktwerk.llm import elias_fano, fingerprints, langid, mixing, packing, quality, simhash
 from taktwerk.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_spans(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op2_token_blocks": op2_token_blocks,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
