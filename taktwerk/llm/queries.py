@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import elias_fano, fingerprints, langid, mixing, packing, quality, simhash
+from taktwerk.llm import elias_fano, fingerprints, langid, mixing, packing, quality, simhash, suffixes
 from taktwerk.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
         "op2_token_blocks": op2_token_blocks,
+        "op4_suffix_repeats": op4_suffix_repeats,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
