@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import elias_fano, fingerprints, langid, mixing, packing, quality, simhash, suffixes
+from taktwerk.llm import elias_fano, fingerprints, langid, mixing, packing, pages, quality, simhash, suffixes, warc
 from taktwerk.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
         "op2_token_blocks": op2_token_blocks,
+        "op3_html_text": op3_html_text,
         "op4_suffix_repeats": op4_suffix_repeats,
+        "op5_warc_derivatives": op5_warc_derivatives,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
