@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taktwerk.llm.common import shared_folder, with_text
-from taktwerk.llm.tokens import BatchEncoder, default_tokenizer_path
+from taktwerk.llm.tokens import default_tokenizer_path, shared_encoder
 
 END_ID = 0
 #: A block ends with the document that brings it to so many token ids.
@@ -105,7 +105,7 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 def _encoded(path: str, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(path)
+        encoder = shared_encoder(path)
         part, block, before, held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list = []
         sizes: list[np.ndarray] = []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from taktwerk.llm.common import materialize, with_text
 from taktwerk.llm.elias_fano import with_end
-from taktwerk.llm.tokens import BatchEncoder, default_tokenizer_path
+from taktwerk.llm.tokens import default_tokenizer_path, shared_encoder
 
 LENGTH = 2048
 GROUP_PIECES = 8192
@@ -101,7 +101,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _pieces(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(path)
+        encoder = shared_encoder(path)
         made = TaskContext.get().partitionId() << 40
         for batch in batches:
             flat, n = with_end(*encoder.encode(batch.column("text").to_pylist()))

@@ -10,6 +10,7 @@ Texts in which white space is irregular go to the library whole.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -42,8 +43,14 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str) -> BatchEncoder:
+    """The encoder of this worker process: it and the pieces it knows serve one task after the other."""
+    return BatchEncoder(path)
+
+
 class BatchEncoder:
-    """Encodes lists of texts; one object serves one task."""
+    """Encodes lists of texts."""
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
