@@ -41,7 +41,7 @@ DISTANCE = 3
 #: Fingerprints that are compared with each other in one go.
 MOST_TOGETHER = 4096
 #: Cost of placing a fingerprint once more, against comparing one candidate.
-PLACE_COST = 2.0
+PLACE_COST = 500.0
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -142,8 +142,8 @@ def equal_pairs(fps: DataFrame, groups: list[list[int]]) -> list[int]:
     return [found.get(k, 0) for k in range(len(groups))]
 
 
-def allocate(n: int, widths: list[int], pairs: list[float], distance: int) -> list[int]:
-    """Thresholds that sum to ``distance - m + 1`` and cost least, by dynamic programming.
+def allocate(n: int, widths: list[int], pairs: list[float], distance: int) -> tuple[float, list[int]]:
+    """The least cost, and the thresholds that sum to ``distance - m + 1`` and have it, by dynamic programming.
 
     A threshold ``e`` puts each fingerprint under all values within ``e`` bits; each of these is
     taken to find as many candidates as its own value does.
@@ -160,14 +160,23 @@ def allocate(n: int, widths: list[int], pairs: list[float], distance: int) -> li
                     step[done + e] = (at, [*chosen, e])
         best = step
     assert m and target in best
-    return best[target][1]
+    return best[target]
 
 
 def plan(fps: DataFrame, distance: int = DISTANCE) -> tuple[np.ndarray, list[tuple[list[int], int]]]:
-    """The bits' correlations, and the partitions with their thresholds."""
+    """The bits' correlations, and the partitions with their thresholds: of a few numbers of partitions, the one that costs least."""
     n, corr = correlations(fps)
-    groups = group_bits(corr, distance + 1)
-    return corr, list(zip(groups, allocate(n, [len(g) for g in groups], equal_pairs(fps, groups), distance), strict=True))
+    numbers = sorted({-(-(distance + 1) // 2), -(-2 * (distance + 1) // 3), distance + 1})
+    grouped = [group_bits(corr, m) for m in numbers]
+    pairs = equal_pairs(fps, [g for groups in grouped for g in groups])
+    best: tuple[float, list[tuple[list[int], int]]] | None = None
+    for groups in grouped:
+        own, pairs = pairs[: len(groups)], pairs[len(groups) :]
+        cost, thresholds = allocate(n, [len(g) for g in groups], own, distance)
+        if best is None or cost < best[0]:
+            best = cost, list(zip(groups, thresholds, strict=True))
+    assert best
+    return corr, best[1]
 
 
 # ---------------------------------------------------------------- probe and verify
@@ -179,56 +188,83 @@ def _probe_masks(group: list[int], threshold: int) -> list[int]:
 
 
 def placements(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFrame:
-    """``mask, value, fp``: every fingerprint under the values of each partition."""
+    """``mask, value, fp, own``: every fingerprint under its own value of each partition, and under those it looks for."""
     out = None
     for group, threshold in partitions:
         if threshold < 0:
             continue
         flips = F.explode(F.array(*[F.lit(x) for x in _probe_masks(group, threshold)]))
         mask = mask_of(group)
-        part = fps.select("fp", flips.alias("flip")).select(F.lit(mask).alias("mask"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(mask)).alias("value"), "fp")
+        part = fps.select("fp", flips.alias("flip"))
+        part = part.select(F.lit(mask).alias("mask"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(mask)).alias("value"), "fp", (F.col("flip") == 0).alias("own"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the fingerprints that lie within the distance of each other."""
-    links, left = [], fps
+def _near(own: np.ndarray, every: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Fingerprints of the first kind with near ones of any, and how far they are, in blocks."""
+    step = max(1, 4_000_000 // max(1, len(every)))
+    for at in range(0, len(own), step):
+        far = np.bitwise_count((own[at : at + step, None] ^ every[None, :]).view(np.uint64))
+        i, j = np.nonzero(far <= distance)
+        differ = own[at + i] != every[j]
+        yield own[at + i[differ]], every[j[differ]], far[i[differ], j[differ]]
+
+
+def _nearest_forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of shortest links (Prim's): each step ties the nearest fingerprint that is left."""
+    left = fps.copy()
+    links = []
     while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop()
-            near = np.bitwise_count((left ^ x).view(np.uint64)) <= distance
-            if near.any():
-                found = left[near]
-                links += [(int(x), int(y)) for y in found]
-                front += list(found)
-                left = left[~near]
+        x, left = left[0], left[1:]
+        best = np.full(len(left), 255, dtype=np.uint8)
+        tied = np.full(len(left), x, dtype=np.int64)
+        while len(left):
+            far = np.bitwise_count((left ^ x).view(np.uint64))
+            closer = far < best
+            best[closer], tied[closer] = far[closer], x
+            k = int(best.argmin())
+            if best[k] > distance:
+                break
+            x = left[k]
+            links.append((int(tied[k]), int(x)))
+            left, best, tied = (np.delete(v, k) for v in (left, best, tied))
     return links
 
 
+#: Of fingerprints with at most so many near ones each, every link comes out; of denser ones a forest.
+FEW_NEAR = 3
+
+
 def _links(distance: int):
-    def of(mask: np.ndarray, value: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    def of(mask: np.ndarray, value: np.ndarray, fps: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
         new = np.flatnonzero((np.diff(mask) != 0) | (np.diff(value) != 0)) + 1
         starts = np.concatenate(([0], new))
         ends = np.concatenate((new, [len(fps)]))
-        links = []
         sizes = ends - starts
+        links: list[tuple[int, int]] = []
         # Values with two or three fingerprints, the most, are compared all at once.
         for gap in (1, 2):
-            at = starts[(sizes > gap) & (sizes <= 3)]
+            at = np.flatnonzero((sizes > gap) & (sizes <= 3))
             for shift in range(3 - gap):
-                i = at[ends[np.searchsorted(starts, at)] > at + shift + gap] + shift
+                i = starts[at[sizes[at] > shift + gap]] + shift
                 ok = i[np.bitwise_count((fps[i] ^ fps[i + gap]).view(np.uint64)) <= distance]
                 links += zip(fps[ok].tolist(), fps[ok + gap].tolist(), strict=True)
         for a, b in zip(starts[sizes > 3].tolist(), ends[sizes > 3].tolist(), strict=True):
-            links += _forest(fps[a:b], distance)
-        return links
+            every, mine = fps[a:b], fps[a:b][own[a:b]]
+            found, dense = [], False
+            for x, y, _ in _near(mine, every, distance):
+                found += zip(x.tolist(), y.tolist(), strict=True)
+                dense = dense or len(found) > 2 * FEW_NEAR * len(every)
+                if dense:
+                    break
+            links += _nearest_forest(np.unique(every), distance) if dense else found
+        return [(x, y) if x < y else (y, x) for x, y in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, dtype=np.int64)] * 3
+        kept = [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0, dtype=bool)]
         for batch in batches:
-            rows = [np.concatenate((k, batch.column(c).to_numpy())) for k, c in zip(kept, ("mask", "value", "fp"), strict=True)]
+            rows = [np.concatenate((k, batch.column(c).to_numpy(zero_copy_only=False))) for k, c in zip(kept, ("mask", "value", "fp", "own"), strict=True)]
             # The last value may go on in the next batch.
             open_at = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])) if len(rows[0]) else []
             cut = int(open_at[-1]) + 1 if len(open_at) else 0
@@ -267,7 +303,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, most_together: int = MO
             for group in group_bits(corr, distance + 1, rest):
                 sub = mask_of(group)
                 part = placed.where(F.col("mask") == mask).join(full, ["mask", "value"], "left_semi")
-                part = part.select((F.col("mask").bitwiseOR(F.lit(sub))).alias("mask"), F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.lit(sub))).alias("value"), "fp")
+                part = part.select((F.col("mask").bitwiseOR(F.lit(sub))).alias("mask"), F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.lit(sub))).alias("value"), "fp", "own")
                 again = part if again is None else again.unionByName(part)
         if again is None:
             return out
@@ -284,6 +320,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), shown, "component_id")
 
 
+WORDS, SIMILARITY, WIDE = 5, 0.8, 8
+
+
+def word_set_fingerprint(text: str | None) -> int:
+    """The fingerprint of the set of words of a text."""
+    return fingerprint(np.unique(shingle_hashes(text, 1)))
+
+
+def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = [word_set_fingerprint(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(fps, pa.int64())], names=["id", "hash", "fp"])
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "grams"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, distance: int = WIDE) -> DataFrame:
+    """``hash, component`` of every distinct text: its hash, and the smallest hash of the texts that
+    are tied to it by links of at least ``similarity`` (shared shingles by all shingles of both)."""
+    own = with_text(docs, {"id": id_col, "text": text_col}).select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    own = own.withColumn("id", F.col("id").cast("long"))
+    marked = materialize(own.mapInArrow(_word_fingerprints, "id long, hash long, fp long"), "word-fingerprints")
+    texts = materialize(marked.groupBy("hash").agg(F.min("fp").alias("fp")), "texts")
+    classes = materialize(texts.groupBy("fp").agg(F.min("hash").alias("rep")), "text-classes")
+    near = materialize(near_links(classes.select("fp"), distance).distinct(), "near-links")
+    one = near.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    same = texts.join(classes, "fp").where("hash <> rep").select(F.col("rep").alias("x"), F.col("hash").alias("y"))
+    links = materialize(one.unionByName(same), "candidate-links")
+    wanted = materialize(links.select(F.explode(F.array("x", "y")).alias("hash")).distinct(), "linked-texts")
+    once = own.join(wanted, "hash").select("hash", "text").groupBy("hash").agg(F.first("text").alias("text"))
+    sets = materialize(once.mapInArrow(_shingle_sets(size), "hash long, grams array<long>"), "shingle-sets")
+    both = links.join(sets.select(F.col("hash").alias("x"), F.col("grams").alias("p")), "x").join(sets.select(F.col("hash").alias("y"), F.col("grams").alias("q")), "y")
+    shared = F.size(F.array_intersect("p", "q"))
+    found = both.where(shared >= similarity * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tree = materialize(connected_components(found), "tree")
+    return texts.join(tree, texts["hash"] == tree["node"], "left").select("hash", F.coalesce("root", "hash").alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, distance: int = WIDE) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates, all columns; null ids come last."""
+    names = docs.columns
+    groups = materialize(similar_documents(docs, id_col, text_col, size, similarity, distance), "groups")
+    held = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("held"), docs[id_col].cast("long").alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"))
+    rank = F.struct(F.col("id").isNull().alias("bare"), "id", "hash")
+    ids = held.select("id", "hash").join(groups, "hash")
+    kept = materialize(ids.groupBy("component").agg(F.min(rank).alias("best")).select("best.id", "best.hash"), "kept-documents")
+    # Of rows that are alike in id and text, one stays.
+    first = held.join(kept, held["id"].eqNullSafe(kept["id"]) & (held["hash"] == kept["hash"])).select(held["*"])
+    first = first.groupBy("id", "hash").agg(F.first("held").alias("held"))
+    return first.select(*[F.col(f"held.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def component_ids(classes: DataFrame, tree: DataFrame) -> DataFrame:
     """``fp, component_id``: the smallest id (column ``least``) in the component of each node."""
     rooted = materialize(classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")

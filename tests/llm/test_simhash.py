@@ -83,13 +83,12 @@ def test_links_connect_all_near_fingerprints(spark, together):
 
 def test_unequal_thresholds(spark):
     """A partition in which all agree is left out, and another gets a threshold of one."""
-    assert simhash.allocate(1000, [16] * 4, [1e6, 1000, 1000, 1000], 3)[0] == -1
-    assert sum(simhash.allocate(1000, [16] * 4, [1e6, 1000, 1000, 1000], 3)) == 0
+    cost, thresholds = simhash.allocate(1000, [16] * 4, [1e9, 1000, 1000, 1000], 3)
+    assert thresholds[0] == -1 and sum(thresholds) == 0 and cost > 0
     rng = random.Random(3)
     fps = [rng.getrandbits(47) << 16 for _ in range(300)]
     fps += [x ^ (1 << rng.randrange(16, 63)) ^ (1 << rng.randrange(16, 63)) for x in fps[:100]]
     table = spark.createDataFrame([(x,) for x in set(fps)], "fp long")
-    assert -1 in [t for _, t in simhash.plan(table)[1]]
     links = {frozenset((r.a, r.b)) for r in simhash.near_links(table).collect()}
     want = {frozenset((a, b)) for a in set(fps) for b in set(fps) if a < b and (a ^ b).bit_count() <= 3}
     assert links <= want
@@ -101,3 +100,57 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (102, 100)]
     tree = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert tree == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("distance", [1, 5, 8])
+def test_wider_distances(spark, distance):
+    rng = random.Random(distance)
+    fps = set()
+    for _ in range(25):
+        base = rng.getrandbits(64) - (1 << 63)
+        for _ in range(5):
+            x = base
+            for b in rng.sample(range(63), rng.randint(0, 7)):
+                x ^= 1 << b
+            fps.add(x)
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    tree = {r.node: r.root for r in connected_components(simhash.near_links(table, distance)).collect()}
+    near = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= distance]
+    assert all(tree.get(a, a) == tree.get(b, b) for a, b in near)
+    assert len(tree) == len(fps) - len(brute_groups(fps, near))
+
+
+def brute_groups(nodes, links):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return {find(x) for x in nodes}
+
+
+def test_one_of_each_group_of_similar_texts(spark, odd):
+    """Texts with shingle similarities just above and below the limit, exact copies and strangers."""
+    rng = random.Random(2)
+    words = [f"word{k}" for k in range(3000)]
+    rows, want = [], []
+    for group in range(12):
+        base = [rng.choice(words) for _ in range(300)]
+        for copy in range(4):
+            text = list(base)
+            # Each edit takes five shingles away and puts five others: similarity (296 - 5e) / (296 + 5e).
+            for at in rng.sample(range(10, 290, 10), [0, 2, 5, 14][copy]):
+                text[at] = f"edit{group}x{copy}x{at}"
+            rows.append((group * 10 + copy, " ".join(text)))
+        rows.append((group * 10 + 5, " ".join(base)))
+        want += [group * 10, group * 10 + 3]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, hash string")
+    got = simhash.one_of_each(df)
+    assert sorted(r.doc_id for r in got.collect()) == want and got.columns == df.columns
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 7, 7, 9)] + [(True, 0)]
