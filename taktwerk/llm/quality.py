@@ -163,9 +163,12 @@ def filter_documents(
     packed = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), docs[text_col].alias("text"), _host_key(docs[host_col]).alias("_host"))
     counts = text_counts(packed.withColumn("_text", F.xxhash64("text"))).select("_row", "text", "_host", "_text", "n_words", "n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = counts.where(~failed).join(lost, ["_host", "_text"], "left")
+    out = counts.join(lost, ["_host", "_text"], "left")
+    # One test over columns of both sides: tests of the counts alone would be moved below the
+    # projections and compute these, each step twice, all over again.
     kept = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    out = out.where((kept >= MIN_WORDS) & (100 * kept >= min_kept_percent * F.col("n_words")))
+    least = F.greatest(F.lit(MIN_WORDS), F.ceil(F.lit(min_kept_percent) * F.col("n_words") / 100))
+    out = out.where(kept >= least + F.when(failed, F.col("n_words") + 1).otherwise(F.lit(0)))
     rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normal_line(x))))
     out = out.withColumn("_new", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
     new = {text_col: F.col("_new"), chars_col: F.length("_new").cast("long")}

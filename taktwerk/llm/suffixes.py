@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import materialize, with_text
+from taktwerk.llm.common import materialize, n_words_of, with_text
 
 LENGTH = 50
 GRAM = 20
@@ -227,16 +227,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     names = docs.columns
     passages = repeated_passages(docs, id_col, text_col, length, gram, keep_row=True)
-    spans = passages.groupBy(F.col(id_col).alias("id"), F.col("row").alias("key")).agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
+    spans = passages.groupBy(F.col(id_col).alias("id"), F.col("row").alias("key")).agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"), F.sum("n_words").alias("covered"))
     spans = materialize(spans, "passages")
     held = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("held"), docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     out = held.join(spans, ["id", "key"], "left")
+    out = out.where(F.col("covered").isNull() | (n_words_of(F.col("text")) > F.col("covered")))
     out = out.withColumn("words", F.when(F.col("spans").isNotNull(), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))))
     # What lies between the passages: from the end of one to the start of the next.
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["first_word"] + s["n_words"]))
     begins = F.concat(F.transform("spans", lambda s: s["first_word"]), F.array(F.size("words").cast("long")))
     rest = F.zip_with(ends, begins, lambda a, b: F.array_join(F.slice("words", (a + 1).cast("int"), (b - a).cast("int")), ""))
     out = out.withColumn("new", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(rest, "")))
-    out = out.where(F.col("spans").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col("new"), chars_col: F.length("new").cast("long")}
     return out.select(*[new.get(c, F.col(f"held.c{i}")).alias(c) for i, c in enumerate(names)])
