@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,10 @@ def n_words_of(text: Column) -> Column:
 def with_text(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     """Only the columns an operator needs, under its own names, so that others cannot clash with them."""
     return docs.select(*[docs[old].alias(new) for new, old in names.items()])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task makes of one of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import shared_folder, with_text
+from taktwerk.llm.common import shared_folder, sliced, with_text
 from taktwerk.llm.tokens import default_tokenizer_path, shared_encoder
 
 END_ID = 0
@@ -115,7 +115,7 @@ def _encoded(path: str, block_ids: int):
             row = _block(part, block, before, doc_ids, sizes, ids)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
 
-        for batch in batches:
+        for batch in sliced(batches):
             flat, n = with_end(*encoder.encode(batch.column("text").to_pylist()))
             names = batch.column("id").to_pylist()
             ends = np.cumsum(n)

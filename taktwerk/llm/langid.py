@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import with_text
+from taktwerk.llm.common import sliced, with_text
 
 UNKNOWN = "und"
 WINDOW = 128
@@ -225,7 +225,7 @@ def document_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def _predicted(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]

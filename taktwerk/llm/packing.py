@@ -26,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import materialize, with_text
+from taktwerk.llm.common import materialize, sliced, with_text
 from taktwerk.llm.elias_fano import with_end
-from taktwerk.llm.tokens import default_tokenizer_path, shared_encoder
+from taktwerk.llm.tokens import CACHE_PIECES, default_tokenizer_path, shared_encoder
 
 LENGTH = 2048
 GROUP_PIECES = 8192
@@ -99,11 +99,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(1)).astype(np.int64)
 
 
-def _pieces(path: str, length: int):
+def _pieces(path: str, length: int, cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(path)
+        encoder = shared_encoder(path, cache_pieces)
         made = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             flat, n = with_end(*encoder.encode(batch.column("text").to_pylist()))
             raw = memoryview(np.ascontiguousarray(flat, dtype="<u4").tobytes())
             rows = []
@@ -121,10 +121,10 @@ def _pieces(path: str, length: int):
     return run
 
 
-def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """One row per piece of each document, written once."""
+def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """One row per piece of each document, written once; ``cache_pieces`` bounds what a worker remembers of the tokenizer's work."""
     own = with_text(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("long"))
-    pieces = own.mapInArrow(_pieces(tokenizer or default_tokenizer_path(), length), "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
+    pieces = own.mapInArrow(_pieces(tokenizer or default_tokenizer_path(), length, cache_pieces), "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
     return materialize(pieces, "pieces")
 
 
@@ -147,6 +147,6 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH, documents: int | None =
     return dealt.groupBy("grp").applyInPandas(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, cache_pieces: int = CACHE_PIECES, **limits) -> DataFrame:
     """Cut documents into pieces and pack them."""
-    return pack_pieces(document_pieces(docs, id_col, text_col, tokenizer, length), length, **limits)
+    return pack_pieces(document_pieces(docs, id_col, text_col, tokenizer, length, cache_pieces), length, **limits)

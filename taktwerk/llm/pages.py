@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import materialize, with_text
+from taktwerk.llm.common import materialize, sliced, with_text
 from taktwerk.llm.markup import BLOCK, HEADINGS, RAW, VOID, attributes, ends_at, ends_before, squeezed, tokens
 
 #: A subtree is a template if it stands on so many pages of the host, and on this part of them.
@@ -187,7 +187,7 @@ def _host(url: str | None) -> str:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for row, url, page in zip(*(batch.column(c) for c in ("row", "url", "html")), strict=True):
             read = read_page(page.as_py())

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import materialize, with_text
+from taktwerk.llm.common import materialize, sliced, with_text
 from taktwerk.llm.components import connected_components
 
 BITS = 64
@@ -68,7 +68,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [fingerprint(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
 
@@ -329,14 +329,14 @@ def word_set_fingerprint(text: str | None) -> int:
 
 
 def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         fps = [word_set_fingerprint(t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(fps, pa.int64())], names=["id", "hash", "fp"])
 
 
 def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "grams"])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import materialize, n_words_of, with_text
+from taktwerk.llm.common import materialize, n_words_of, sliced, with_text
 
 LENGTH = 50
 GRAM = 20
@@ -130,7 +130,7 @@ def retained(words: Words, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
 def _chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list, list[bytes]]]:
     """Rows (the other columns) and encoded texts, a bounded number of bytes at once."""
     rows, texts, size = [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         held = [batch.column(c) for c in columns]
         for i, text in enumerate(batch.column("text")):
             raw = text.as_py().encode("utf-8", "surrogatepass")

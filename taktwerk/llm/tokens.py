@@ -44,9 +44,9 @@ def default_tokenizer_path() -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def shared_encoder(path: str) -> BatchEncoder:
+def shared_encoder(path: str, cache_pieces: int = CACHE_PIECES) -> BatchEncoder:
     """The encoder of this worker process: it and the pieces it knows serve one task after the other."""
-    return BatchEncoder(path)
+    return BatchEncoder(path, cache_pieces)
 
 
 class BatchEncoder:

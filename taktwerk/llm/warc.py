@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import shared_folder, with_text
+from taktwerk.llm.common import shared_folder, sliced, with_text
 from taktwerk.llm.markup import BLOCK, attributes, squeezed, tokens
 
 VERSION = "WARC/1.0\r\n"
@@ -240,7 +240,7 @@ _NAMES = [x.split()[0] for x in DERIVED.split(", ")]
 
 def _derived(id_header: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for headers, block in zip(batch.column("headers").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 named = dict(headers)
