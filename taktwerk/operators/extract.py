@@ -86,7 +86,7 @@ def basic(paragraphs: DataFrame) -> DataFrame:
     lines = lines.where(~F.col("text").isin(*rules.SECTION_LABELS))
     pattern = rf"(?U)^({TIME})\s*[-–]\s*({TIME})\s+(.+)$"
     x = [F.regexp_extract("text", pattern, k) for k in (1, 2, 3)]
-    parts = F.filter(F.transform(F.split(F.trim(x[2]), r"(?U)\s+[–-]\s+"), clean_text), lambda p: p.isNotNull())
+    parts = F.filter(F.transform(F.split(F.trim(x[2]), r"(?U)\s+[–-]\s+"), lambda p: clean_text(p)), lambda p: p.isNotNull())
     lines = lines.where(F.col("text").rlike(pattern)).withColumn("raw_time", F.concat(x[0], F.lit("-"), x[1])).withColumn("p", parts).where(F.size("p") > 0)
     place, tail = F.get("p", F.lit(2)), r"(?U)^(.*?)\s*\((.+)\)$"
     bracket = F.when(place.rlike(tail), clean_text(F.regexp_extract(place, tail, 2)))
@@ -179,7 +179,7 @@ def matrix(paragraphs: DataFrame, cells: DataFrame, durations: DataFrame | None
     """Days across, times down; a cell's lines are name, instructor, location and notes."""
     grid = unpivoted(first_table(cells, rules.TABLE_HEADER)).join(titles(paragraphs), "source_file")
     start = canonical_time(clean_text(F.col("row_head")))
-    lines = F.filter(F.transform(F.split("text", r"\R"), clean_text), lambda p: p.isNotNull())
+    lines = F.filter(F.transform(F.split("text", r"\R"), lambda p: clean_text(p)), lambda p: p.isNotNull())
     grid = grid.withColumn("start_time", start).where(F.col("start_time").isNotNull()).withColumn("p", lines).where(F.size("p") > 0)
     grid = grid.withColumn("n", F.col("row_no") * 10_000 + F.col("col_no"))
     notes = clean_text(joined(F.slice("p", 4, F.greatest(F.size("p") - 3, F.lit(0)))))
@@ -252,7 +252,7 @@ def grouped(paragraphs: DataFrame) -> DataFrame:
     raw = [clean_text(F.regexp_extract("text", pattern, k)) for k in (1, 2, 3, 4)]
     lines = lines.where(F.col("text").rlike(pattern)).select("*", raw[0].alias("raw_day"), raw[1].alias("raw_time"), raw[2].alias("instructor"), raw[3].alias("room"))
     lines = lines.where(F.col("raw_day").isNotNull() & F.col("raw_time").isNotNull())
-    parts = F.filter(F.transform(F.split(F.coalesce("room", F.lit("")), r"\|"), clean_text), lambda p: p.isNotNull())
+    parts = F.filter(F.transform(F.split(F.coalesce("room", F.lit("")), r"\|"), lambda p: clean_text(p)), lambda p: p.isNotNull())
     lines = lines.withColumn("p", parts).withColumn("extra", F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))))
     audience = lambda p: p.isin(*rules.AUDIENCES)
     level = lambda p: F.startswith(p, F.lit(rules.LEVEL_PREFIX))
@@ -316,10 +316,10 @@ def edge(paragraphs: DataFrame) -> DataFrame:
     text = F.concat_ws(" | ", "name", "meta")
     lines = lines.withColumn("all", text)
     keys = (rules.INSTRUCTOR_KEY, rules.PLACE_KEY, rules.AUDIENCE_KEY)
-    others = F.filter(F.transform(F.split("meta", r"\|"), clean_text), lambda p: p.isNotNull() & ~reduce(lambda a, b: a | b, [F.startswith(p, F.lit(k)) for k in keys]))
+    others = F.filter(F.transform(F.split("meta", r"\|"), lambda p: clean_text(p)), lambda p: p.isNotNull() & ~reduce(lambda a, b: a | b, [F.startswith(p, F.lit(k)) for k in keys]))
     flags = F.array_compact(F.array(*[F.when(F.contains("all", F.lit(words)), F.lit(flag)) for words, flag in rules.NOTE_FLAGS]))
     who = labelled(F.col("meta"), rules.INSTRUCTOR_KEY)
-    names = F.array_join(F.filter(F.transform(F.split(who, "/"), clean_text), lambda p: p.isNotNull()), " / ")
+    names = F.array_join(F.filter(F.transform(F.split(who, "/"), lambda p: clean_text(p)), lambda p: p.isNotNull()), " / ")
     spot = branch_of(labelled(F.col("meta"), rules.PLACE_KEY))
     lo, hi = ages_in(F.col("all"))
     span = time_range(F.col("raw_time"))
