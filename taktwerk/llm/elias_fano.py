@@ -115,7 +115,7 @@ def _encoded(path: str, block_ids: int):
             row = _block(part, block, before, doc_ids, sizes, ids)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, 3000):
             flat, n = with_end(*encoder.encode(batch.column("text").to_pylist()))
             names = batch.column("id").to_pylist()
             ends = np.cumsum(n)

@@ -103,7 +103,7 @@ def _pieces(path: str, length: int, cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path, cache_pieces)
         made = TaskContext.get().partitionId() << 40
-        for batch in sliced(batches):
+        for batch in sliced(batches, 3000):
             flat, n = with_end(*encoder.encode(batch.column("text").to_pylist()))
             raw = memoryview(np.ascontiguousarray(flat, dtype="<u4").tobytes())
             rows = []

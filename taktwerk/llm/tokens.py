@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import functools
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept between batches of one task; the memory this needs is about 140 MB.
+#: Pieces kept between batches of one task; the memory this needs is about 150 MB.
 CACHE_PIECES = 700_000
 #: Characters handled at once, so that a batch of very long texts stays small.
 CHUNK_CHARS = 6_000_000
@@ -64,37 +65,87 @@ class BatchEncoder:
         self._limit = cache_pieces
         # Added tokens are matched before pre-tokenisation, so texts that name one go whole.
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._cache: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No piece is known: their numbers, the ids of all of them in a row, and each one's place and count there."""
+        self._numbers: dict[str, int] = {}
+        self._pool = np.zeros(0, dtype=np.uint32)
+        self._at = np.zeros(0, dtype=np.int64)
+        self._size = np.zeros(0, dtype=np.int64)
+        self._uses = np.zeros(0, dtype=np.int64)
+
+    def _tidy(self) -> None:
+        """Keep the half of the known pieces that came in most batches."""
+        keep = np.sort(np.argsort(-self._uses, kind="stable")[: self._limit // 2])
+        pieces = np.array(list(self._numbers), dtype=object)[keep].tolist()
+        ids, sizes = self._ids_of(keep)
+        uses = self._uses[keep] // 2
+        self._forget()
+        self._add(pieces, ids, sizes)
+        self._uses = uses
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype=np.uint32) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces in one go; those with a leading blank are told apart by it."""
+    def _encoded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces (in another order), their ids in a row and the number of ids of each; those with a
+        leading blank are encoded in one go and told apart by it."""
         blank = [p for p in pieces if p[0] == " "]
         other = [p for p in pieces if p[0] != " "]
+        ids, sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if blank:
             ids = self._whole(["".join(blank)])[0]
-            starts = (np.flatnonzero(self._blank_first[ids]) * 4).tolist()
+            starts = np.flatnonzero(self._blank_first[ids])
             if len(starts) == len(blank):
-                raw = ids.tobytes()
-                self._cache.update((p, raw[a:b]) for p, a, b in zip(blank, starts, [*starts[1:], len(raw)], strict=True))
+                sizes = np.diff(np.append(starts, len(ids)))
             else:
-                other = other + blank
+                ids, blank, other = ids[:0], [], other + blank
         if other:
-            self._cache.update((p, ids.tobytes()) for p, ids in zip(other, self._whole(other), strict=True))
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        cache = self._cache
-        if len(cache) > self._limit:
-            cache.clear()
+            rest = self._whole(other)
+            ids = np.concatenate((ids, *rest))
+            sizes = np.concatenate((sizes, np.array([len(r) for r in rest], dtype=np.int64)))
+        return blank + other, ids, sizes
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._numbers.update(zip(pieces, range(len(self._size), len(self._size) + len(pieces)), strict=True))
+        self._at = np.concatenate((self._at, len(self._pool) + np.cumsum(sizes) - sizes))
+        self._pool = np.concatenate((self._pool, ids))
+        self._size = np.concatenate((self._size, sizes))
+        self._uses = np.concatenate((self._uses, np.zeros(len(pieces), dtype=np.int64)))
+
+    def _find(self, pieces: list[str] | np.ndarray) -> np.ndarray:
+        """Each piece's number among the known ones, -1 if it is not known."""
+        return np.fromiter(map(self._numbers.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+
+    def _ids_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces in a row, and the number of ids of each."""
+        n = self._size[which]
+        ends = np.cumsum(n)
+        return self._pool[np.repeat(self._at[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+    def _known(self, pieces: np.ndarray) -> np.ndarray:
+        """Each piece's number among the known ones, after learning those that were not."""
+        if len(self._numbers) > self._limit:
+            self._tidy()
+        found = self._find(pieces)
+        unknown = np.flatnonzero(found < 0)
+        # A batch names each piece once.
+        self._uses[found[found >= 0]] += 1
+        if not len(unknown):
+            return found
+        new = pieces[unknown].tolist()
         # "word," is "word" and then ",": the pre-tokeniser never joins them.
-        cut = [(p[:-1], p[-1]) if p[-1] in ".," and p[-2:-1].isalpha() else (p, "") for p in pieces]
-        missing = {head for head, _ in cut if head not in cache} | {x for x in ".," if x not in cache}
-        if missing:
-            self._learn(list(missing))
-        tails = {"": b"", ".": cache["."], ",": cache[","]}
-        return [cache[head] + tails[tail] for head, tail in cut]
+        tailed = [p for p in new if p[-1] in ".," and p[-2:-1].isalpha()]
+        needed = {p[:-1] for p in tailed} | set(".,") | {p for p in new if not (p[-1] in ".," and p[-2:-1].isalpha())}
+        lost = sorted(p for p in needed if p not in self._numbers)
+        if lost:
+            self._add(*self._encoded(lost))
+        if tailed:
+            ids, n = self._ids_of(self._find([x for p in tailed for x in (p[:-1], p[-1])]))
+            self._add(tailed, ids, n[::2] + n[1::2])
+        found[unknown] = self._find(new)
+        return found
 
     def _regular(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         col = pa.array(texts, type=pa.large_string())
@@ -103,16 +154,8 @@ class BatchEncoder:
         parts = pc.split_pattern(col, "\x00")
         per_text = np.diff(np.asarray(parts.offsets))
         words = parts.flatten().dictionary_encode()
-        which = np.asarray(words.indices)
-        known = self._known(words.dictionary.to_pylist())
-        sizes = np.fromiter((len(k) for k in known), dtype=np.int64, count=len(known))
-        sizes //= 4
-        pool = np.frombuffer(b"".join(known), dtype=np.uint32)
-        pool_at = np.cumsum(sizes) - sizes
-        n = sizes[which]
+        ids, n = self._ids_of(self._known(words.dictionary.to_numpy(zero_copy_only=False))[np.asarray(words.indices)])
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(pool_at[which] - (ends - n), n) + np.arange(total)]
         text_ends = np.concatenate(([0], ends))[np.cumsum(per_text)]
         return ids, np.diff(np.concatenate(([0], text_ends)))
 
