@@ -161,14 +161,15 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     parts = block_parts(rows).hint("merge").join(slots(sizes, goal, seed), ["rank", "block"])
     # Copies of one row are alike: what is taken of the n-th of them goes to the n-th.
     order = Window.partitionBy("key").orderBy("start")
-    numbered = rows.where(F.col("size") > 0).select("key", "start", "rank", F.row_number().over(order).alias("nth"))
-    taken = parts.groupBy("rank", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"))
-    taken = materialize(taken.join(numbered, ["rank", "start"]).select("key", "nth", "turn", "spans"), "taken")
+    numbered = rows.where(F.col("size") > 0).select("key", "start", "rank", "size", F.row_number().over(order).alias("nth"))
+    taken = parts.groupBy("rank", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"), F.sum("n").alias("n"))
+    taken = materialize(taken.join(numbered, ["rank", "start"]).select("key", "nth", "turn", "spans", (F.col("n") == F.col("size")).alias("whole")), "taken")
     key = F.md5(F.concat(F.coalesce(F.col(f"row.c{names.index(id_col)}").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))))
     held = held.withColumn("key", key)
     held = held.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    out = held.join(taken, ["key", "nth"]).withColumn("words", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)))
+    each = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    out = held.join(taken, ["key", "nth"]).withColumn("words", F.when(~F.col("whole"), each))
     cut = F.array_join(F.transform("spans", lambda s: F.array_join(F.slice("words", (s["first"] + 1).cast("int"), s["n"].cast("int")), "")), "")
-    out = out.withColumn("new", cut)
+    out = out.withColumn("new", F.when(F.col("whole"), F.col("text")).otherwise(cut))
     new = {text_col: F.col("new"), chars_col: F.length("new").cast("long")}
     return out.select(*[new.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)])
