@@ -19,6 +19,8 @@ TEXT_FILTERS = ["day", "location", "target_audience", "center_name", "branch", "
 PAGE = 5
 #: The most requests that are sent to every task; beyond, requests are split over tasks instead.
 BROADCAST_REQUESTS = 20_000
+#: The most distinct days that requests are compared with before the join.
+MOST_DAYS = 1_000
 
 
 def category_of(explicit: Column, source_file: Column) -> Column:
@@ -74,9 +76,9 @@ def search_many(activities: DataFrame, requests: DataFrame, with_cancelled: bool
     """Every request against every activity: ``request_id``, the activity's columns, ``age_match``, ``place``
     (by certainty, then ingestion) and ``total``.
 
-    Where requests ask for a day, the tolerant day is resolved on the few distinct days first, and
-    the join is one of equals on the day; requests without a day are a stated set that is
-    counted: up to ``BROADCAST_REQUESTS`` go to every task, more are split over tasks.
+    Where requests ask for a day, the tolerant day is resolved on the distinct days first, if these are
+    at most ``MOST_DAYS``, and the join is one of equals on the day.  All other requests are a stated set that
+    is counted and met with all rows in blocks of ``BROADCAST_REQUESTS``.
     """
     a, q = activities.alias("a"), requests.alias("q")
     row = {c: F.col(f"a.{c}") for c in activities.columns}
@@ -87,16 +89,17 @@ def search_many(activities: DataFrame, requests: DataFrame, with_cancelled: bool
     shown = [F.col("q.request_id"), *[F.col(f"a.{c}") for c in activities.columns], age_status(row["min_age"], row["max_age"], age).alias("age_match")]
     rest = {k: v for k, v in want.items() if k != "day"}
     parts = []
-    if "day" in want:
-        days = activities.select("day").distinct().alias("d")
+    days = activities.select("day").distinct() if "day" in want else None
+    if days is not None and days.limit(MOST_DAYS + 1).count() <= MOST_DAYS:
+        days = days.alias("d")
         asked = requests.where(_present(F.col("day"))).alias("q")
         tied = asked.join(F.broadcast(days), tolerant_match(F.col("d.day"), F.col("q.day"))).select("q.*", F.col("d.day").alias("on_day")).alias("q")
         parts.append(a.join(tied, F.col("a.day") == F.col("q.on_day")).where(conditions(row, rest, with_cancelled)).select(*shown))
         open_day = requests.where(~F.coalesce(_present(F.col("day")), F.lit(False)))
     else:
-        open_day = requests
+        open_day, rest = requests, want
     n = open_day.count()
-    blocks = -(-n // BROADCAST_REQUESTS)
+    blocks = max(0 if parts else 1, -(-n // BROADCAST_REQUESTS))
     for k in range(blocks):
         block = open_day if blocks == 1 else open_day.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == k)
         parts.append(a.join(F.broadcast(block.alias("q")), conditions(row, rest, with_cancelled)).select(*shown))
