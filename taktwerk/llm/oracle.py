@@ -78,7 +78,7 @@ z AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 OP9 = f"""
 WITH {_LINES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words_kept >= {quality.MIN_WORDS} AND 100 * n_words_kept >= {quality.MIN_KEPT_PERCENT} * n_words AS kept, n_words_kept
+       NOT base_failed AND 100 * n_words_kept >= {quality.MIN_KEPT_PERCENT} * n_words AS kept, n_words_kept
 FROM z
 """
 

@@ -20,7 +20,7 @@ from taktwerk.llm.common import GAP, WORD, materialize, with_text, words_of
 
 #: Words in a row that count as a repeat when they stand twice in a text.
 WINDOW = 8
-#: A document needs so many words, before and after the removal of lines.
+#: A document needs so many words.
 MIN_WORDS = 20
 #: Of 100 words, so many may lie in repeated windows.
 MAX_REPEAT_PERCENT = 30
@@ -28,7 +28,7 @@ MAX_REPEAT_PERCENT = 30
 LINE_MIN_DOCS = 20
 LINE_MAX_PERCENT = 20
 #: A document is depleted if less than this part of its words remains.
-MIN_KEPT_PERCENT = 30
+MIN_KEPT_PERCENT = 50
 
 SYMBOLS = "#*$%&|<>"
 
@@ -138,7 +138,7 @@ def judge(
     out = counts.drop("text", "host").join(lost.drop("lines"), ["_host", "_text"], "left")
     out = out.withColumn("n_words_kept", F.col("n_words") - F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    fit = (F.col("n_words_kept") >= MIN_WORDS) & (100 * F.col("n_words_kept") >= min_kept_percent * F.col("n_words"))
+    fit = 100 * F.col("n_words_kept") >= min_kept_percent * F.col("n_words")
     return out.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & fit).alias("kept"), "n_words_kept",
@@ -167,8 +167,8 @@ def filter_documents(
     # One test over columns of both sides: tests of the counts alone would be moved below the
     # projections and compute these, each step twice, all over again.
     kept = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    least = F.greatest(F.lit(MIN_WORDS), F.ceil(F.lit(min_kept_percent) * F.col("n_words") / 100))
-    out = out.where(kept >= least + F.when(failed, F.col("n_words") + 1).otherwise(F.lit(0)))
+    least = F.lit(min_kept_percent) * F.col("n_words") + F.when(failed, 100 * F.col("n_words") + 1).otherwise(F.lit(0))
+    out = out.where(100 * kept >= least)
     rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normal_line(x))))
     out = out.withColumn("_new", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
     new = {text_col: F.col("_new"), chars_col: F.length("_new").cast("long")}

@@ -34,7 +34,7 @@ def brute_quality(rows, min_docs, max_percent, min_kept):
         gone = sum(len(re.findall(WORD, x)) for x in lines(text) if len(h := holders[host, normal(x)]) > min_docs and len(h) * 100 > len(hosts[host]) * max_percent)
         failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
         kept = counts[0] - gone
-        out.append((doc_id, *counts, failed, not failed and kept >= 20 and 100 * kept >= min_kept * counts[0], kept))
+        out.append((doc_id, *counts, failed, not failed and 100 * kept >= min_kept * counts[0], kept))
     return sorted(out, key=repr)
 
 
