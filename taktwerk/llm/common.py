@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows in a batch that goes to Python: texts can be long, and a task holds a few batches at once.
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: White space between words, in the sense of the contracts: blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -53,12 +58,24 @@ def n_words_of(text: Column) -> Column:
 
 
 def with_text(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Only the columns an operator needs, under its own names, so that others cannot clash with them."""
+    """Only the columns an operator needs, under its own names, so that others cannot clash with them.
+
+    As such a table may go to Python, the session's batches are made no larger than ``BATCH_ROWS``.
+    """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, BATCH_ROWS)
     return docs.select(*[docs[old].alias(new) for new, old in names.items()])
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a task makes of one of them stays small."""
+    """The same rows in smaller batches, so that what a task makes of one of them stays small.
+
+    At the end the worker, which other tasks will use, gives free memory back to the system.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from taktwerk.llm.common import materialize, sliced, with_text
 from taktwerk.llm.elias_fano import with_end
-from taktwerk.llm.tokens import CACHE_PIECES, default_tokenizer_path, shared_encoder
+from taktwerk.llm.tokens import CACHE_PIECES, BatchEncoder, default_tokenizer_path, shared_encoder
 
 LENGTH = 2048
 GROUP_PIECES = 8192
@@ -101,7 +101,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _pieces(path: str, length: int, cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(path, cache_pieces)
+        encoder = shared_encoder(path) if cache_pieces >= CACHE_PIECES else BatchEncoder(path, cache_pieces)
         made = TaskContext.get().partitionId() << 40
         for batch in sliced(batches, 3000):
             flat, n = with_end(*encoder.encode(batch.column("text").to_pylist()))
@@ -122,7 +122,8 @@ def _pieces(path: str, length: int, cache_pieces: int):
 
 
 def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, cache_pieces: int = CACHE_PIECES) -> DataFrame:
-    """One row per piece of each document, written once; ``cache_pieces`` bounds what a worker remembers of the tokenizer's work."""
+    """One row per piece of each document, written once; ``cache_pieces`` bounds what a task
+    remembers of the tokenizer's work, and less than the usual number is forgotten at its end."""
     own = with_text(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("long"))
     pieces = own.mapInArrow(_pieces(tokenizer or default_tokenizer_path(), length, cache_pieces), "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
     return materialize(pieces, "pieces")

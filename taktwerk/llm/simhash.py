@@ -203,7 +203,7 @@ def placements(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataF
 
 def _near(own: np.ndarray, every: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Fingerprints of the first kind with near ones of any, and how far they are, in blocks."""
-    step = max(1, 4_000_000 // max(1, len(every)))
+    step = max(1, 1_000_000 // max(1, len(every)))
     for at in range(0, len(own), step):
         far = np.bitwise_count((own[at : at + step, None] ^ every[None, :]).view(np.uint64))
         i, j = np.nonzero(far <= distance)

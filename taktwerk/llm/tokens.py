@@ -44,10 +44,10 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(maxsize=2)
-def shared_encoder(path: str, cache_pieces: int = CACHE_PIECES) -> BatchEncoder:
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str) -> BatchEncoder:
     """The encoder of this worker process: it and the pieces it knows serve one task after the other."""
-    return BatchEncoder(path, cache_pieces)
+    return BatchEncoder(path)
 
 
 class BatchEncoder:
