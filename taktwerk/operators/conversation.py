@@ -107,3 +107,13 @@ def known_slots(slots: list[str]) -> Column:
 def context_text(slots: dict[str, Column]) -> Column:
     """The filters that are set as lines, for display."""
     return F.concat_ws("\n", *[F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"))) for name, c in slots.items()])
+
+
+def request_text(slots: dict[str, Column]) -> Column:
+    """The filters in force as one request, for display: search itself takes the columns."""
+    after, before = (slots.get(s, F.lit(None).cast("string")) for s in ("start_after", "start_before"))
+    times = F.when(after == before, F.concat(F.lit(f"{rules.AT_HOUR} "), after)).otherwise(
+        F.concat_ws(" ", F.when(after.isNotNull(), F.concat(F.lit(f"{rules.AFTER} "), after)), F.when(before.isNotNull(), F.concat(F.lit(f"{rules.BEFORE} "), before)))
+    )
+    rest = [c.cast("string") for name, c in slots.items() if name not in ("start_after", "start_before")]
+    return F.concat(F.lit(rules.QUERY_FRAME[0]), F.trim(F.concat_ws(" ", *rest, F.nullif(times, F.lit("")))), F.lit(rules.QUERY_FRAME[1]))

@@ -150,9 +150,15 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.withColumn("text", F.trim("text")).where("text <> ''")
 
 
-def json_table(spark: SparkSession, path: str, schema, required: bool = True) -> DataFrame:
-    """A file with an array of records under a declared schema; one that is no such array is an
-    error, and so is a missing one unless it is not required: then the table is empty."""
+def json_table(spark: SparkSession, path: str, schema: str, required: bool = True, corrupt: str | None = None) -> DataFrame:
+    """A file with an array of records under a declared schema (DDL); one that is no such array is an
+    error, and so is a missing one unless it is not required: then the table is empty.
+
+    With ``corrupt`` the file has one record per line, and one that does not fit is no error but
+    stands in a column of that name.
+    """
+    if corrupt:
+        schema = f"{schema}, {corrupt} string"
     found = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load
     if not required:
         try:
@@ -161,7 +167,9 @@ def json_table(spark: SparkSession, path: str, schema, required: bool = True) ->
             if "PATH_NOT_FOUND" in str(error):
                 return spark.createDataFrame([], schema)
             raise
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    reader = spark.read.schema(schema)
+    reader = reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader.option("multiLine", True).option("mode", "FAILFAST")
+    return reader.json(path)
 
 
 def save_table(df: DataFrame, path: str, form: str = "parquet") -> None:

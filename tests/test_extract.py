@@ -140,5 +140,11 @@ def test_json_tables(spark, tmp_path):
     assert documents.json_table(spark, f"file://{tmp_path}/none.json", EVENT, required=False).count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         documents.json_table(spark, f"file://{tmp_path}/none.json", EVENT).count()
+    (tmp_path / "bad.json").write_text('[{"id": "1", "price": 3}, {"id": "2", "price": "x"}]')
+    (tmp_path / "lines.json").write_text('{"id": "1", "price": 3}\n{"id": "2", "price": "x"}\n')
+    kept = documents.json_table(spark, f"file://{tmp_path}/lines.json", EVENT, corrupt="bad").orderBy("id").collect()
+    assert [r.bad is None for r in kept] == [True, False]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        documents.json_table(spark, f"file://{tmp_path}/bad.json", EVENT).collect()
     documents.save_table(spark.createDataFrame([("ש", None)], "a string, b int"), f"file://{tmp_path}/out", "json")
     assert any('{"a":"ש","b":null}' in p.read_text() for p in (tmp_path / "out").glob("*.json"))

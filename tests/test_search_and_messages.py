@@ -152,6 +152,12 @@ def test_labels(spark):
     assert full[4].q == "אילו חוגים יש יוגה?"
 
 
+def test_request_text(spark):
+    df = spark.createDataFrame([("יוגה", "שני", "17:00", None), ("יוגה", None, "9:00", "9:00"), (None, "שני", None, None)], "category string, day string, start_after string, start_before string")
+    text = conv.request_text({c: F.col(c) for c in df.columns})
+    assert [r.x for r in df.select(text.alias("x")).collect()] == ["אילו חוגים יש יוגה שני אחרי 17:00?", "אילו חוגים יש יוגה בשעה 9:00?", "אילו חוגים יש שני?"]
+
+
 TURNS = [
     (1, 0, True, [], "mon", None, "a", "b"), (1, 1, False, [], None, "yoga", None, None), (1, 2, False, [], None, None, None, "c"), (1, 3, False, ["time", "day"], "tue", None, None, None),
     (1, 4, True, [], None, "judo", None, None), (2, 0, True, None, None, None, None, None), (2, 1, False, [], "sun", None, "z", None),
