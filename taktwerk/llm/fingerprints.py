@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import with_text
+from taktwerk.llm.common import sliced, with_text
 
 #: Entries of a vector: the bits of one digest.
 WIDTH = 256
@@ -136,7 +136,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    for row in _rows(batches):
+    for row in _rows(sliced(batches)):
         held.append(row)
         if len(held) == 1000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _OUT.types, strict=True)], schema=_OUT)
@@ -151,11 +151,10 @@ def _grouped(limits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            groups, first = np.searchsorted(limits, ids), {}
+            groups = np.searchsorted(limits, ids)
             order = np.lexsort((ids, groups))
             at = np.flatnonzero(np.diff(groups[order], prepend=-1))
-            first = ids[order][at]
-            yield pa.RecordBatch.from_arrays([pa.array(groups[order][at], pa.int64()), pa.array(first, pa.int64())], names=["grp", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(groups[order][at], pa.int64()), pa.array(ids[order][at], pa.int64())], names=["grp", "first"])
 
     return run
 
