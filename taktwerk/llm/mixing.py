@@ -168,7 +168,9 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     held = held.withColumn("key", key)
     held = held.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     each = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    out = held.join(taken, ["key", "nth"]).withColumn("words", F.when(~F.col("whole"), each))
+    # Joined by the key alone, by which the numbering has dealt the texts already: they move once.
+    taken = taken.select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), "turn", "spans", "whole")
+    out = held.join(taken, (F.col("key") == F.col("_key")) & (F.col("nth") - F.col("_nth") == 0)).withColumn("words", F.when(~F.col("whole"), each))
     cut = F.array_join(F.transform("spans", lambda s: F.array_join(F.slice("words", (s["first"] + 1).cast("int"), s["n"].cast("int")), "")), "")
     out = out.withColumn("new", F.when(F.col("whole"), F.col("text")).otherwise(cut))
     new = {text_col: F.col("new"), chars_col: F.length("new").cast("long")}
