@@ -373,9 +373,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("id").isNull().alias("bare"), "id", "hash")
     ids = held.select("id", "hash").join(groups, "hash")
     kept = materialize(ids.groupBy("component").agg(F.min(rank).alias("best")).select("best.id", "best.hash"), "kept-documents")
-    # Of rows that are alike in id and text, one stays.
-    first = held.join(kept, held["id"].eqNullSafe(kept["id"]) & (held["hash"] == kept["hash"])).select(held["*"])
-    first = first.groupBy("id", "hash").agg(F.first("held").alias("held"))
+    # A text is kept once, so the hash alone deals the rows; of those alike in id and text, one stays.
+    kept = kept.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    lowest = F.lit(-(2**63))
+    same_id = F.coalesce("id", lowest).bitwiseXOR(F.coalesce("_id", lowest)) == 0
+    first = held.join(kept, (F.col("hash") == F.col("_hash")) & same_id).groupBy("hash").agg(F.first("held").alias("held"))
     return first.select(*[F.col(f"held.c{i}").alias(c) for i, c in enumerate(names)])
 
 
