@@ -320,18 +320,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), shown, "component_id")
 
 
-WORDS, SIMILARITY, WIDE = 5, 0.8, 8
+WORDS, SIMILARITY = 5, 0.8
+#: Shingles are ranked by how often those of their bucket stand in all texts, rare ones first.
+BUCKETS = 1 << 18
+#: Rounds in which the texts under a shingle are first held against one of them.
+PIVOT_ROUNDS = 1
 
 
-def word_set_fingerprint(text: str | None) -> int:
-    """The fingerprint of the set of words of a text."""
-    return fingerprint(np.unique(shingle_hashes(text, 1)))
+def _bucket_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in sliced(batches):
+            for t in batch.column("text"):
+                np.add.at(total, (shingle_hashes(t.as_py(), size) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        held = np.flatnonzero(total)
+        for at in range(0, len(held), 65536):
+            part = held[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
+
+    return run
+
+
+def shingle_levels(texts: DataFrame, size: int = WORDS) -> np.ndarray:
+    """For each bucket of shingles how frequent they are, in quarters of a power of two."""
+    counts = texts.select("text").mapInArrow(_bucket_counts(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.uint8)
+    out[counts.column("bucket").to_numpy()] = np.minimum(255, np.round(4 * np.log2(counts.column("n").to_numpy() + 1.0))).astype(np.uint8)
+    return out
+
+
+def prefix(grams: np.ndarray, levels: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set in the order of all (rare ones first): two sets of at least the
+    similarity share one of these.  Sets without shingles share a zero."""
+    if not len(grams):
+        return np.zeros(1, dtype=np.int64)
+    first = np.lexsort((grams, levels[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+    return grams[first[: len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1]].view(np.int64)
 
 
-def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        fps = [word_set_fingerprint(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), pa.array(fps, pa.int64())], names=["id", "hash", "fp"])
+def _prefixes(size: int, similarity: float, levels: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
+            keys = [prefix(s, levels, similarity) for s in sets]
+            times = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), pa.int64()),
+                    pa.array(np.repeat(batch.column("hash").to_numpy(), times), pa.int64()),
+                    pa.array(np.repeat([len(s) for s in sets], times).astype(np.int32), pa.int32()),
+                ],
+                names=["key", "hash", "n"],
+            )
+
+    return run
 
 
 def _shingle_sets(size: int):
@@ -343,32 +385,75 @@ def _shingle_sets(size: int):
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, distance: int = WIDE) -> DataFrame:
-    """``hash, component`` of every distinct text: its hash, and the smallest hash of the texts that
-    are tied to it by links of at least ``similarity`` (shared shingles by all shingles of both)."""
-    own = with_text(docs, {"id": id_col, "text": text_col}).select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
-    own = own.withColumn("id", F.col("id").cast("long"))
-    marked = materialize(own.mapInArrow(_word_fingerprints, "id long, hash long, fp long"), "word-fingerprints")
-    texts = materialize(marked.groupBy("hash").agg(F.min("fp").alias("fp")), "texts")
-    classes = materialize(texts.groupBy("fp").agg(F.min("hash").alias("rep")), "text-classes")
-    near = materialize(near_links(classes.select("fp"), distance).distinct(), "near-links")
-    one = near.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-    same = texts.join(classes, "fp").where("hash <> rep").select(F.col("rep").alias("x"), F.col("hash").alias("y"))
-    links = materialize(one.unionByName(same), "candidate-links")
-    wanted = materialize(links.select(F.explode(F.array("x", "y")).alias("hash")).distinct(), "linked-texts")
-    once = own.join(wanted, "hash").select("hash", "text").groupBy("hash").agg(F.first("text").alias("text"))
-    sets = materialize(once.mapInArrow(_shingle_sets(size), "hash long, grams array<long>"), "shingle-sets")
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links ``x, y`` whose texts have the similarity, as ``a, b``."""
     both = links.join(sets.select(F.col("hash").alias("x"), F.col("grams").alias("p")), "x").join(sets.select(F.col("hash").alias("y"), F.col("grams").alias("q")), "y")
     shared = F.size(F.array_intersect("p", "q"))
-    found = both.where(shared >= similarity * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    tree = materialize(connected_components(found), "tree")
+    return both.where(shared >= similarity * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def similar_links(own: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b`` of texts (columns ``hash, text``) that connect all pairs of at least ``similarity``, and no others.
+
+    Candidates are the texts that share a shingle of their prefixes, so no pair is missed.  First
+    the texts under a shingle are held against the one that shares most, which ties copies of one base
+    at once; then every pair under a shingle that is not yet in one component is tried.
+    """
+    levels = shingle_levels(own, size)
+    # Made twice, as written out they would take as much room as the texts.
+    every = own.select("hash", "text").mapInArrow(_prefixes(size, similarity, levels), "key long, hash long, n int")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most")
+    shared = materialize(shared.select("key", "many"), "shared-keys")
+    rows = materialize(every.join(shared, "key").groupBy("key", "hash").agg(F.first("n").alias("n"), F.first("many").alias("many")), "shared-prefixes")
+    score = materialize(rows.groupBy("hash").agg((F.sum("many") / F.greatest(F.first("n"), F.lit(1))).alias("score")), "scores")
+    rows = rows.drop("many").join(score, "hash")
+    once = own.join(score.select("hash"), "hash").select("hash", "text").groupBy("hash").agg(F.first("text").alias("text"))
+    sets = materialize(once.mapInArrow(_shingle_sets(size), "hash long, grams array<long>"), "shingle-sets")
+
+    found = None
+    rows = rows.withColumn("comp", F.col("hash"))
+    for at in range(PIVOT_ROUNDS + 1):
+        # Texts under a shingle that are all in one component need no further link.
+        live = rows.groupBy("key").agg(F.max(F.struct("score", "hash", "n", "comp")).alias("top"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+        live = materialize(live.select("key", F.col("top.hash").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.comp").alias("main")), "pivots")
+        rows = materialize(rows.join(live, "key"), "live-prefixes")
+        rest = rows.where("comp <> main")
+        if at < PIVOT_ROUNDS:
+            if at:
+                # Those that the first text did not tie are held against the best of themselves.
+                best = rest.groupBy("key").agg(F.max(F.struct("score", "hash", "n", "comp")).alias("top"))
+                best = materialize(best.select("key", F.col("top.hash").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.comp").alias("main")), "next-pivots")
+                rest = rows.drop("pivot", "pivot_n", "main").join(best, "key").where("comp <> main")
+            pairs = rest.select(F.col("hash").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("x_n"), F.col("pivot_n").alias("y_n"))
+        else:
+            # One of two texts in different components is not in the main one.
+            left = rest.select("key", F.col("hash").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+            right = rows.select("key", F.col("hash").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"))
+            pairs = left.join(right, "key").where("x_comp <> y_comp")
+        close = pairs.where(F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-6)
+        links = materialize(close.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidate-links")
+        new = materialize(_verified(links, sets, similarity), "verified-links")
+        found = new if found is None else found.unionByName(new)
+        if at < PIVOT_ROUNDS:
+            tree = materialize(connected_components(found), "components")
+            rows = rows.drop("comp", "pivot", "pivot_n", "main").join(tree, rows["hash"] == tree["node"], "left")
+            rows = rows.select("key", "hash", "n", "score", F.coalesce("root", "hash").alias("comp"))
+    return found
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``hash, component`` of every distinct text: its hash, and the smallest hash of the texts that
+    are tied to it by links of at least ``similarity`` (shared shingles by all shingles of both)."""
+    own = with_text(docs, {"text": text_col}).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    tree = materialize(connected_components(similar_links(own, size, similarity)), "tree")
+    texts = own.select("hash").distinct()
     return texts.join(tree, texts["hash"] == tree["node"], "left").select("hash", F.coalesce("root", "hash").alias("component"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, distance: int = WIDE) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, all columns; null ids come last."""
     names = docs.columns
-    groups = materialize(similar_documents(docs, id_col, text_col, size, similarity, distance), "groups")
+    groups = materialize(similar_documents(docs, id_col, text_col, size, similarity), "groups")
     held = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("held"), docs[id_col].cast("long").alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"))
     rank = F.struct(F.col("id").isNull().alias("bare"), "id", "hash")
     ids = held.select("id", "hash").join(groups, "hash")

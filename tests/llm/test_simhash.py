@@ -154,3 +154,22 @@ def test_one_of_each_group_of_similar_texts(spark, odd):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 7, 7, 9)] + [(True, 0)]
+
+
+def test_copies_of_one_base_that_are_not_alike(spark):
+    """Groups of 30 and 1000 copies, each alike to the base and few to each other."""
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(3000)]
+    rows, want = [], []
+    for group, many in ((0, 30), (1, 1000)):
+        base = [rng.choice(words) for _ in range(100)]
+        rows.append((group * 10000, " ".join(base)))
+        for copy in range(1, many + 1):
+            text = list(base)
+            # Two edits: similarity 86/106 to the base, and of most copies to each other less than 0.8.
+            for at in rng.sample(range(5, 95, 5), 2):
+                text[at] = f"edit{group}x{copy}x{at}"
+            rows.append((group * 10000 + copy, " ".join(text)))
+        want.append(group * 10000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == want
