@@ -173,3 +173,24 @@ def test_copies_of_one_base_that_are_not_alike(spark):
         want.append(group * 10000)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == want
+
+
+def test_truncated_extended_and_block_edited_copies(spark):
+    """Copies of similarity 0.8 and more whose sets of words differ much are found, all of them."""
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(20000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for group in range(60):
+        base = some(rng.randint(150, 400))
+        n = len(base)
+        at, block = rng.randrange(n // 2), n * 8 // 100
+        copies = [base, base[: n * 82 // 100], base + some(n * 23 // 100), base[:at] + some(block) + base[at + block :]]
+        rows += [(group * 10 + k, " ".join(text)) for k, text in enumerate(copies)]
+    grams = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    near = [(a, b) for a in grams for b in grams if a < b and a // 10 == b // 10 and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert len(near) >= 150
+    groups = {(r.hash): r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hashes = {r.doc_id: r.hash for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as hash").collect()}
+    apart = [(a, b) for a, b in near if groups[hashes[a]] != groups[hashes[b]]]
+    assert apart == []
