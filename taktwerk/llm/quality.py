@@ -2,8 +2,8 @@
 
 Every text gets counts from its own words and lines.  Besides, lines are normalised and
 hashed, the distinct documents of a host that hold a line are counted, lines held by more
-than a share of that host's documents are removed, and a document of which too little
-remains is rejected.
+than a share of that host's documents (or, on large hosts, by more than a number of them)
+are removed, and a document of which too little remains is rejected.
 
 Defined results: a null text has no words and fails; a null host is a host of its own;
 exact copies of a text on one host count as one document, so that copies never make a line
@@ -27,6 +27,8 @@ MAX_REPEAT_PERCENT = 30
 #: A line is removed if more documents of its host hold it than either of these.
 LINE_MIN_DOCS = 20
 LINE_MAX_PERCENT = 20
+#: The share stops growing at so many documents, however large the host is.
+LINE_MANY_DOCS = 50
 #: A document is depleted if less than this part of its words remains.
 MIN_KEPT_PERCENT = 50
 
@@ -109,7 +111,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_percent:
     held = keyed.select("_host", "_text", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: x["line"]))).alias("line")).distinct()
     sizes = materialize(keyed.select("_host", "_text").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_docs")), "host-docs")
     counts = held.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("_holders")).where(F.col("_holders") > min_docs)
-    above = counts.join(sizes, "_host").where(F.col("_holders") * 100 > F.col("_docs") * max_percent)
+    above = counts.join(sizes, "_host").where((F.col("_holders") * 100 > F.col("_docs") * max_percent) | (F.col("_holders") > LINE_MANY_DOCS))
     return above.select("_host", "line")
 
 

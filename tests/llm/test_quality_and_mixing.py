@@ -71,6 +71,18 @@ def test_quality_stage_cuts_frequent_lines(spark, lined):
     assert got[300].text == next(r[1] for r in lined if r[0] == 300)
 
 
+def test_line_limit_stops_growing_with_the_host(spark):
+    """Of 3000 texts of one host, 100 hold one line and 40 another; only few words of those are left."""
+    body = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    often, seldom = "A notice that many of the texts of this host hold", "A sentence that some of the texts of this host hold"
+    rows = [(i, f"{often}\n{body(i, 30)}" if i < 100 else f"{seldom}\n{body(i, 30)}" if i < 140 else body(i, 30), "a") for i in range(3000)]
+    rows += [(5000, f"{often}\n{often} \n{often}\n{body(5000, 8)}", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in quality.judge(df).where("not kept").collect()} == {5000}
+    got = {r.doc_id: r.text for r in quality.filter_documents(df).collect()}
+    assert all(got[i] == body(i, 30) for i in range(100)) and all(got[i] == rows[i][1] for i in range(100, 3000)) and len(got) == 3000
+
+
 def brute_targets(rows, weights=(5, 2, 1)):
     """Targets by sharing again and again what the capped sources cannot take."""
     sizes = {}
