@@ -29,6 +29,8 @@ from taktwerk.llm.markup import BLOCK, HEADINGS, RAW, VOID, attributes, ends_at,
 #: A subtree is a template if it stands on so many pages of the host, and on this part of them.
 MIN_PAGES = 3
 MIN_PERCENT = 5
+#: The part stops growing at so many pages, however large the host is.
+MANY_PAGES = 20
 
 #: Elements and roles that are never part of an article's text.
 _DROP_NAMES = {
@@ -214,7 +216,7 @@ def site_templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_percent:
     pages = subtrees.where(F.col("subtree").isNull()).select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     on = subtrees.where(F.col("subtree").isNotNull()).select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
     pages = materialize(pages, "host-pages")
-    return on.where(F.col("n") >= min_pages).join(pages, "host").where(F.col("n") * 100 >= F.col("pages") * min_percent).select("host", "subtree")
+    return on.where(F.col("n") >= min_pages).join(pages, "host").where((F.col("n") * 100 >= F.col("pages") * min_percent) | (F.col("n") >= MANY_PAGES)).select("host", "subtree")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:

@@ -129,3 +129,11 @@ def test_encoded_bodies():
     meta, text = warc.derivatives({"WARC-Record-ID": "<a>", "WARC-Type": "response"}, block)
     assert text[-1] == "ü" and json.loads(meta[-1])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Head"]["Title"] == "T"
     assert warc.derivatives({}, b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG")[1][-1] == ""
+
+
+def test_template_on_a_small_part_of_a_large_host(spark):
+    """A section's box on 30 of 3000 pages, which no name, role or class tells."""
+    box = "<div><div>In this section</div><div>Other stories of the section</div></div>"
+    rows = [(i, f"https://hot.example/{i}", f"<html><body><div>{box if i < 30 else ''}<p>Story {i} begins with words.</p><p>It goes on, number {i}.</p></div></body></html>") for i in range(3000)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Story {i} begins with words.\nIt goes on, number {i}." for i in range(3000)}
