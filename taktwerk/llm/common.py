@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,28 +25,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that driver and executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``.  Where it names none (tests on one
-    machine) a temporary folder is made and set for the session.
-    """
+    """A new path below the folder that driver and executors share, which the cluster (or the test's
+    or benchmark's session) names in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/taktwerk/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths written in each open :func:`scratch`, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from those files.
 
     Lost executors cost nothing then, and a costly step feeds several branches without running twice.
     """
     path = shared_folder(df.sparkSession, label)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables materialised inside are removed at the end, but for those written with the function it gives.
+
+    The garbage collection lets Spark's cleaner remove the shuffle files of the plans that have ended.
+    """
+    own: list[str] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        _OPEN.pop()
+        try:
+            return materialize(df, label)
+        finally:
+            _OPEN.append(own)
+
+    _OPEN.append(own)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(own)
+        for path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        spark._jvm.System.gc()
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input.
+
+    Neither is broadcast at any size, so that a plan that works on little data is the one that runs on much.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct with fields ``c0``, ``c1`` and so on, which no name can clash with."""
+    return F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def unpacked(row: str, names: list[str], new: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of a :func:`packed` row under their names, some of them replaced."""
+    return [(new or {}).get(c, F.col(f"{row}.c{i}")).alias(c) for i, c in enumerate(names)]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null gives an empty one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import materialize, sliced, with_text
+from taktwerk.llm.common import materialize, merged, packed, scratch, sliced, unpacked, with_text
 from taktwerk.llm.components import connected_components
+from taktwerk.llm.wordhash import Words, chunks
 
 BITS = 64
 SEED = 42
@@ -290,49 +291,72 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, most_together: int = MO
     while True:
         placed = materialize(placed, "placements")
         full = materialize(placed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_together).drop("n"), "full-values")
-        few = placed.join(full, ["mask", "value"], "left_anti")
+        few = merged(placed, full, ["mask", "value"], "left_anti")
         found = few.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_links(distance), "a long, b long")
         out = found if out is None else out.unionByName(found)
         masks = [r["mask"] for r in full.select("mask").distinct().collect()]
         if not masks:
             return out
         # Equal under the mask, so all differences lie in the other bits: deal by groups of those.
-        again = None
-        for mask in masks:
-            rest = [b for b in range(BITS) if not mask >> b & 1]
-            for group in group_bits(corr, distance + 1, rest):
-                sub = mask_of(group)
-                part = placed.where(F.col("mask") == mask).join(full, ["mask", "value"], "left_semi")
-                part = part.select((F.col("mask").bitwiseOR(F.lit(sub))).alias("mask"), F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.lit(sub))).alias("value"), "fp", "own")
-                again = part if again is None else again.unionByName(part)
-        if again is None:
+        subs = [(mask, mask_of(g)) for mask in masks for g in group_bits(corr, distance + 1, [b for b in range(BITS) if not mask >> b & 1])]
+        if not subs:
             return out
-        placed = again.distinct()
+        # As many rows as masks times groups, of which there are few.
+        by_mask = F.broadcast(fps.sparkSession.createDataFrame(subs, "mask long, sub long"))
+        part = merged(placed, full, ["mask", "value"], "left_semi").join(by_mask, "mask")
+        placed = part.select(F.col("mask").bitwiseOR(F.col("sub")).alias("mask"), F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.col("sub"))).alias("value"), "fp", "own").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row per document: id, ``fingerprint`` (16 hex digits) and ``component_id``."""
     fps = fingerprints(docs, id_col, text_col, size)
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    tree = connected_components(near_links(classes.select("fp"), distance))
-    labels = component_ids(classes, tree)
+    with scratch(docs.sparkSession) as keep:
+        classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+        tree = connected_components(near_links(classes.select("fp"), distance))
+        labels = keep(component_ids(classes, tree), "labels")
     shown = F.lower(F.lpad(F.hex(F.col("fp")), 16, "0")).alias("fingerprint")
-    return fps.join(labels, "fp").select(F.col("id").alias(id_col), shown, "component_id")
+    return merged(fps, labels, "fp").select(F.col("id").alias(id_col), shown, "component_id")
 
 
+def component_ids(classes: DataFrame, tree: DataFrame) -> DataFrame:
+    """``fp, component_id``: the smallest id (column ``least``) in the component of each node."""
+    rooted = materialize(merged(classes, tree, classes["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    return merged(rooted, least, "root").select("fp", "component_id")
+
+
+# ---------------------------------------------------------------- similar texts
+
 WORDS, SIMILARITY = 5, 0.8
+#: Bits in which the fingerprints of two texts' words may differ to be tried at once: about what edits here and there change.
+NEAR_BITS = 4
 #: Shingles are ranked by how often those of their bucket stand in all texts, rare ones first.
 BUCKETS = 1 << 18
-#: Rounds in which the texts under a shingle are first held against one of them.
-PIVOT_ROUNDS = 1
+_U = np.uint64
+#: A shingle's number takes 56 bits; its rank stands above these in the order.
+_GRAM_BITS = _U((1 << 56) - 1)
+
+
+def _grams(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the number of every shingle; repeats included."""
+    owner, hashes = Words(texts).shingles(size)
+    return owner, hashes & _GRAM_BITS
+
+
+def _once(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each text in order, each once."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+    return owner[new], keys[new]
 
 
 def _bucket_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in sliced(batches):
-            for t in batch.column("text"):
-                np.add.at(total, (shingle_hashes(t.as_py(), size) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        for _, texts in chunks(batches, (), lower=True):
+            total += np.bincount((_grams(texts, size)[1] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         held = np.flatnonzero(total)
         for at in range(0, len(held), 65536):
             part = held[at : at + 65536]
@@ -342,132 +366,165 @@ def _bucket_counts(size: int):
 
 
 def shingle_levels(texts: DataFrame, size: int = WORDS) -> np.ndarray:
-    """For each bucket of shingles how frequent they are, in quarters of a power of two."""
+    """For each bucket of shingles how frequent they are, in quarters of a power of two: ``BUCKETS`` numbers, whatever the input."""
     counts = texts.select("text").mapInArrow(_bucket_counts(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, dtype=np.uint8)
     out[counts.column("bucket").to_numpy()] = np.minimum(255, np.round(4 * np.log2(counts.column("n").to_numpy() + 1.0))).astype(np.uint8)
     return out
 
 
-def prefix(grams: np.ndarray, levels: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set in the order of all (rare ones first): two sets of at least the
-    similarity share one of these.  Sets without shingles share a zero."""
-    if not len(grams):
-        return np.zeros(1, dtype=np.int64)
-    first = np.lexsort((grams, levels[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-    return grams[first[: len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1]].view(np.int64)
+def prefixes(texts: list[bytes], levels: np.ndarray, size: int = WORDS, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, shingle and number of shingles in the text, for the first shingles of each text in the
+    order of all (rare ones first): two texts of at least the similarity share one of these.  Texts without
+    shingles share a zero."""
+    owner, grams = _grams(texts, size)
+    owner, keys = _once(owner, (levels[(grams & _U(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | grams)
+    n = np.bincount(owner, minlength=len(texts))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    first = place < (n - np.ceil(similarity * n - 1e-9) + 1)[owner]
+    bare = np.flatnonzero(n == 0)
+    owner, keys = np.concatenate((owner[first], bare)), np.concatenate(((keys & _GRAM_BITS)[first], np.zeros(len(bare), np.uint64)))
+    return owner, keys.view(np.int64), n[owner]
 
 
 def _prefixes(size: int, similarity: float, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 200):
-            sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in batch.column("text")]
-            keys = [prefix(s, levels, similarity) for s in sets]
-            times = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), pa.int64()),
-                    pa.array(np.repeat(batch.column("hash").to_numpy(), times), pa.int64()),
-                    pa.array(np.repeat([len(s) for s in sets], times).astype(np.int32), pa.int32()),
-                ],
-                names=["key", "hash", "n"],
-            )
+        for (hashes,), texts in chunks(batches, ("hash",), lower=True):
+            owner, keys, n = prefixes(texts, levels, size, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(hashes, dtype=np.int64)[owner]), pa.array(n.astype(np.int32))], names=["key", "hash", "n"])
 
     return run
 
 
+def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprint of the set of words of each text."""
+    for (hashes,), texts in chunks(batches, ("hash",), lower=True):
+        owner, words = _once(*Words(texts).shingles(1))
+        n = np.bincount(owner, minlength=len(texts))
+        some = np.flatnonzero(n)
+        fps = np.zeros(len(texts), dtype=np.int64)
+        if len(some):
+            bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
+            fps[some] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").view("<i8").ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(fps)], names=["hash", "fp"])
+
+
 def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            sets = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "grams"])
+        for (hashes,), texts in chunks(batches, ("hash",), lower=True):
+            owner, grams = _once(*_grams(texts, size))
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams.view(np.int64)))], names=["hash", "grams"])
 
     return run
 
 
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links ``x, y`` whose texts have the similarity, as ``a, b``."""
-    both = links.join(sets.select(F.col("hash").alias("x"), F.col("grams").alias("p")), "x").join(sets.select(F.col("hash").alias("y"), F.col("grams").alias("q")), "y")
+    one = merged(links, sets.select(F.col("hash").alias("x"), F.col("grams").alias("p")), "x")
+    both = merged(one, sets.select(F.col("hash").alias("y"), F.col("grams").alias("q")), "y")
     shared = F.size(F.array_intersect("p", "q"))
     return both.where(shared >= similarity * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def similar_links(own: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``a, b`` of texts (columns ``hash, text``) that connect all pairs of at least ``similarity``, and no others.
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
+
+
+def fingerprint_links(own: DataFrame, distance: int = NEAR_BITS) -> DataFrame:
+    """Links ``x, y`` of texts (columns ``hash, text``) whose fingerprints are near, or the same."""
+    texts = materialize(own.select("hash", "text").mapInArrow(_word_fingerprints, "hash long, fp long").distinct(), "word-fingerprints")
+    classes = materialize(texts.groupBy("fp").agg(F.min("hash").alias("rep")), "text-classes")
+    near = materialize(near_links(classes.select("fp"), distance).distinct(), "near-links")
+    one = merged(near, classes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a")
+    one = merged(one, classes.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    same = merged(texts, classes, "fp").select(F.col("rep").alias("x"), F.col("hash").alias("y"))
+    return _ordered(one.unionByName(same))
+
 
-    Candidates are the texts that share a shingle of their prefixes, so no pair is missed.  First
-    the texts under a shingle are held against the one that shares most, which ties copies of one base
-    at once; then every pair under a shingle that is not yet in one component is tried.
+def similar_links(own: DataFrame, first: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, distance: int = NEAR_BITS) -> DataFrame:
+    """Links ``a, b`` of texts (columns ``hash, rid, text``) that connect all pairs of at least ``similarity``, and no others.
+
+    ``first`` has one ``hash, rid`` of each distinct text.  Texts whose fingerprints are near are
+    tried first.  What fingerprints cannot tell is found by shared shingles: two texts that are not yet in
+    one component are tried if they share one of the first shingles of both, so no pair is missed.
+    Before all of these pairs are tried, the texts under a shingle are held against the one that shares most,
+    which ties copies of one base that are not alike to each other.
     """
     levels = shingle_levels(own, size)
     # Made twice, as written out they would take as much room as the texts.
     every = own.select("hash", "text").mapInArrow(_prefixes(size, similarity, levels), "key long, hash long, n int")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most")
     shared = materialize(shared.select("key", "many"), "shared-keys")
-    rows = materialize(every.join(shared, "key").groupBy("key", "hash").agg(F.first("n").alias("n"), F.first("many").alias("many")), "shared-prefixes")
+    # Written before copies of a text are made one, so that Spark can split the rows of a frequent shingle.
+    met = materialize(merged(every, shared, "key"), "shared-prefixes")
+    rows = materialize(met.groupBy("key", "hash").agg(F.first("n").alias("n"), F.first("many").alias("many")), "text-prefixes")
     score = materialize(rows.groupBy("hash").agg((F.sum("many") / F.greatest(F.first("n"), F.lit(1))).alias("score")), "scores")
-    rows = rows.drop("many").join(score, "hash")
-    once = own.join(score.select("hash"), "hash").select("hash", "text").groupBy("hash").agg(F.first("text").alias("text"))
-    sets = materialize(once.mapInArrow(_shingle_sets(size), "hash long, grams array<long>"), "shingle-sets")
-
-    found = None
-    rows = rows.withColumn("comp", F.col("hash"))
-    for at in range(PIVOT_ROUNDS + 1):
+    rows = merged(rows.drop("many"), score, "hash")
+    wanted = materialize(merged(first, score.select("hash"), "hash"), "texts-that-share")
+    once = merged(own, wanted, ["hash", "rid"]).groupBy("hash", "rid").agg(F.first("text").alias("text"))
+    sets = materialize(once.select("hash", "text").mapInArrow(_shingle_sets(size), "hash long, grams array<long>"), "shingle-sets")
+
+    # Texts that share none of their first shingles with another have no links.
+    with scratch(own.sparkSession) as keep:
+        tried = merged(merged(fingerprint_links(own, distance), score.select(F.col("hash").alias("x")), "x"), score.select(F.col("hash").alias("y")), "y")
+        found = keep(_verified(tried, sets, similarity), "verified-links")
+    for last in (False, True):
+        tree = connected_components(found)
+        rows = merged(rows, tree, rows["hash"] == tree["node"], "left").select("key", "hash", "n", "score", F.coalesce("root", "hash").alias("comp"))
+        rows = materialize(rows, "live-prefixes")
         # Texts under a shingle that are all in one component need no further link.
         live = rows.groupBy("key").agg(F.max(F.struct("score", "hash", "n", "comp")).alias("top"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
         live = materialize(live.select("key", F.col("top.hash").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.comp").alias("main")), "pivots")
-        rows = materialize(rows.join(live, "key"), "live-prefixes")
+        rows = materialize(merged(rows, live, "key"), "open-prefixes")
         rest = rows.where("comp <> main")
-        if at < PIVOT_ROUNDS:
-            if at:
-                # Those that the first text did not tie are held against the best of themselves.
-                best = rest.groupBy("key").agg(F.max(F.struct("score", "hash", "n", "comp")).alias("top"))
-                best = materialize(best.select("key", F.col("top.hash").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.comp").alias("main")), "next-pivots")
-                rest = rows.drop("pivot", "pivot_n", "main").join(best, "key").where("comp <> main")
-            pairs = rest.select(F.col("hash").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("x_n"), F.col("pivot_n").alias("y_n"))
-        else:
+        if last:
             # One of two texts in different components is not in the main one.
             left = rest.select("key", F.col("hash").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
             right = rows.select("key", F.col("hash").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"))
-            pairs = left.join(right, "key").where("x_comp <> y_comp")
+            pairs = merged(left, right, "key").where("x_comp <> y_comp")
+        else:
+            pairs = rest.select(F.col("hash").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("x_n"), F.col("pivot_n").alias("y_n"))
         close = pairs.where(F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-6)
-        links = materialize(close.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidate-links")
-        new = materialize(_verified(links, sets, similarity), "verified-links")
-        found = new if found is None else found.unionByName(new)
-        if at < PIVOT_ROUNDS:
-            tree = materialize(connected_components(found), "components")
-            rows = rows.drop("comp", "pivot", "pivot_n", "main").join(tree, rows["hash"] == tree["node"], "left")
-            rows = rows.select("key", "hash", "n", "score", F.coalesce("root", "hash").alias("comp"))
+        links = materialize(_ordered(close), "candidate-links")
+        found = found.unionByName(materialize(_verified(links, sets, similarity), "verified-links"))
+        rows = rows.select("key", "hash", "n", "score")
     return found
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``hash`` of the text, ``bare`` (no id), ``id``, ``rid`` (the id as a string that is never null) and ``text``."""
+    own = with_text(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("long"))
+    return own.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.col("id").isNull().alias("bare"), "id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("rid"), "text")
+
+
+def _groups(own: DataFrame, size: int, similarity: float, distance: int) -> DataFrame:
+    """``hash, rank, component`` of every distinct text; the rank is that of its first document."""
+    first = materialize(own.groupBy("hash").agg(F.min(F.struct("bare", "id", "rid")).alias("rank")), "texts")
+    tree = connected_components(similar_links(own, first.select("hash", "rank.rid"), size, similarity, distance))
+    return merged(first, tree, first["hash"] == tree["node"], "left").select("hash", "rank", F.coalesce("root", "hash").alias("component"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, distance: int = NEAR_BITS) -> DataFrame:
     """``hash, component`` of every distinct text: its hash, and the smallest hash of the texts that
     are tied to it by links of at least ``similarity`` (shared shingles by all shingles of both)."""
-    own = with_text(docs, {"text": text_col}).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
-    tree = materialize(connected_components(similar_links(own, size, similarity)), "tree")
-    texts = own.select("hash").distinct()
-    return texts.join(tree, texts["hash"] == tree["node"], "left").select("hash", F.coalesce("root", "hash").alias("component"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, all columns; null ids come last."""
-    names = docs.columns
-    groups = materialize(similar_documents(docs, id_col, text_col, size, similarity), "groups")
-    held = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("held"), docs[id_col].cast("long").alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"))
-    rank = F.struct(F.col("id").isNull().alias("bare"), "id", "hash")
-    ids = held.select("id", "hash").join(groups, "hash")
-    kept = materialize(ids.groupBy("component").agg(F.min(rank).alias("best")).select("best.id", "best.hash"), "kept-documents")
-    # A text is kept once, so the hash alone deals the rows; of those alike in id and text, one stays.
-    kept = kept.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    lowest = F.lit(-(2**63))
-    same_id = F.coalesce("id", lowest).bitwiseXOR(F.coalesce("_id", lowest)) == 0
-    first = held.join(kept, (F.col("hash") == F.col("_hash")) & same_id).groupBy("hash").agg(F.first("held").alias("held"))
-    return first.select(*[F.col(f"held.c{i}").alias(c) for i, c in enumerate(names)])
+    with scratch(docs.sparkSession) as keep:
+        return keep(_groups(_texts_of(docs, id_col, text_col), size, similarity, distance).select("hash", "component"), "groups")
 
 
-def component_ids(classes: DataFrame, tree: DataFrame) -> DataFrame:
-    """``fp, component_id``: the smallest id (column ``least``) in the component of each node."""
-    rooted = materialize(classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    return materialize(rooted.join(least, "root").select("fp", "component_id"), "labels")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, distance: int = NEAR_BITS) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates, all columns; null ids come last.
+
+    Of several rows with that id and text, the one with the smallest hash of all its columns stays.
+    """
+    with scratch(docs.sparkSession) as keep:
+        groups = _groups(_texts_of(docs, id_col, text_col), size, similarity, distance)
+        best = F.min(F.struct("rank", "hash")).alias("best")
+        kept = keep(groups.groupBy("component").agg(best).select("best.hash", "best.rank.rid"), "kept-documents")
+    # By text and id, so that many copies of one text are dealt to many tasks.
+    rid = F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("")).alias("rid")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    held = docs.select(packed(docs).alias("held"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("hash"), rid, F.xxhash64(*[docs[c] for c in plain]).alias("order"))
+    first = merged(held, kept, ["hash", "rid"]).groupBy("hash", "rid").agg(F.min_by("held", "order").alias("held"))
+    return first.select(*unpacked("held", docs.columns))
