@@ -34,18 +34,30 @@ s4 AS (SELECT *, (SELECT lev FROM s3 WHERE lev <= cap / w ORDER BY cap / w, rank
 s5 AS (SELECT source, rank, source_size, coalesce(least(cap, w * level), cap) AS target,
               ceil(source_size / {mixing.BLOCK}.0)::bigint AS blocks FROM s4),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * blocks + 0.5)::bigint ELSE 0 END AS slots FROM s5),
-slot AS (SELECT rank, blocks, unnest(range(slots)) AS t FROM s WHERE slots > 0),
-hit AS (SELECT rank, block, count(*) AS times FROM
-           (SELECT rank, {_permuted('(t % blocks)', 'blocks', '(rank * 31)')} AS block FROM slot) GROUP BY ALL),
+q AS (SELECT rank, blocks, slots, (sum(slots) OVER (ORDER BY rank))::bigint AS e FROM s WHERE slots > 0),
+n AS (SELECT sum(slots)::bigint AS total FROM q),
+u AS (SELECT shard, ('0x' || substr(md5('0|' || shard || '|' || j), 1, 15))::bigint % total AS draw
+      FROM n, unnest(range(total // {mixing.SHARD_SLOTS})) AS a(shard), unnest(range({mixing.SHARD_SLOTS})) AS c(j)),
+m AS (SELECT shard, rank, count(*) AS n FROM u JOIN q ON draw >= e - slots AND draw < e GROUP BY ALL),
+m2 AS (SELECT *, (sum(n) OVER (PARTITION BY rank ORDER BY shard) - n)::bigint AS base FROM m),
+v AS (SELECT q.*, coalesce(have, 0)::bigint AS have, (SELECT total // {mixing.SHARD_SLOTS} FROM n) AS after
+      FROM q LEFT JOIN (SELECT rank, sum(n) AS have FROM m GROUP BY rank) x ON q.rank = x.rank),
+v2 AS (SELECT rank, blocks, have, after, slots, (sum(slots - have) OVER (ORDER BY rank) - (slots - have))::bigint AS at FROM v WHERE have < slots),
+slot AS (SELECT m2.rank, q.blocks, shard, unnest(range(base, least(base + n, q.slots))) AS t FROM m2 JOIN q ON m2.rank = q.rank
+         UNION ALL
+         SELECT rank, blocks, after + (at + t - have) // {mixing.SHARD_SLOTS}, t FROM (SELECT *, unnest(range(have, slots)) AS t FROM v2)),
+hit AS (SELECT rank, block, count(*) AS times, min(shard) AS f, max(shard) AS l FROM
+           (SELECT rank, shard, {_permuted('(t % blocks)', 'blocks', '(rank * 31)')} AS block FROM slot) GROUP BY ALL),
 p AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.rank,
              (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS UNBOUNDED PRECEDING) - d.size)::bigint AS start
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 b AS (SELECT *, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block FROM p WHERE size > 0),
 t AS (SELECT b.doc_id, b.size, b.source_size, b.target, b.rank, b.start,
-             sum((least(start + size, (b.block + 1) * {mixing.BLOCK}) - greatest(start, b.block * {mixing.BLOCK})) * coalesce(times, 0))::bigint AS taken
+             sum((least(start + size, (b.block + 1) * {mixing.BLOCK}) - greatest(start, b.block * {mixing.BLOCK})) * coalesce(times, 0))::bigint AS taken,
+             sum(coalesce(times, 0))::bigint AS n_blocks, min(f) AS first_shard, max(l) AS last_shard
       FROM b LEFT JOIN hit ON b.rank = hit.rank AND b.block = hit.block GROUP BY ALL)
-SELECT doc_id, size, source_size, target, taken FROM t
-UNION ALL SELECT doc_id, size, source_size, target, 0 FROM p WHERE size = 0
+SELECT doc_id, size, source_size, target, taken, n_blocks, first_shard, last_shard FROM t
+UNION ALL SELECT doc_id, size, source_size, target, 0, 0, NULL, NULL FROM p WHERE size = 0
 """
 
 _NORMAL = rf"lower(trim(regexp_replace(line, '{_GAP}', ' ', 'g')))"
@@ -59,7 +71,8 @@ l AS (SELECT rid, source, text, line, {_NORMAL} AS normal, len(regexp_extract_al
 h AS (SELECT source, count(DISTINCT coalesce(text, chr(0))) AS docs FROM d GROUP BY source),
 f AS (SELECT l.source, l.normal FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source
       GROUP BY l.source, l.normal, h.docs
-      HAVING count(DISTINCT text) > {quality.LINE_MIN_DOCS} AND count(DISTINCT text) * 100 > h.docs * {quality.LINE_MAX_PERCENT}),
+      HAVING count(DISTINCT text) > {quality.LINE_MIN_DOCS}
+         AND (count(DISTINCT text) * 100 > h.docs * {quality.LINE_MAX_PERCENT} OR count(DISTINCT text) > {quality.LINE_MANY_DOCS})),
 r AS (SELECT l.rid, sum(l.n)::bigint AS removed FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.normal = f.normal GROUP BY l.rid),
 dup AS (SELECT rid, (count(*) - count(DISTINCT line))::bigint AS n_dup_lines FROM l GROUP BY rid),
 g AS (SELECT rid, i, array_to_string(words[i:i + {quality.WINDOW - 1}], ' ') AS gram

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter
 
@@ -31,7 +32,7 @@ def brute_quality(rows, min_docs, max_percent, min_kept):
     out = []
     for doc_id, text, host in rows:
         counts = brute_counts(text)
-        gone = sum(len(re.findall(WORD, x)) for x in lines(text) if len(h := holders[host, normal(x)]) > min_docs and len(h) * 100 > len(hosts[host]) * max_percent)
+        gone = sum(len(re.findall(WORD, x)) for x in lines(text) if len(h := holders[host, normal(x)]) > min_docs and (len(h) * 100 > len(hosts[host]) * max_percent or len(h) > quality.LINE_MANY_DOCS))
         failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
         kept = counts[0] - gone
         out.append((doc_id, *counts, failed, not failed and 100 * kept >= min_kept * counts[0], kept))
@@ -135,15 +136,34 @@ def test_permutation_is_one_to_one(spark):
 
 
 def test_multinomial_counts(docs, monkeypatch):
+    """Every shard but the last ones holds as many draws as it has slots; every slot of a source stands in one shard; seeds differ."""
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
-    sizes = mixing.sized(docs)
-    goal = mixing.targets(sizes)
-    counts = mixing.source_counts(mixing.slots(sizes, goal)).collect()
-    total = Counter()
-    for r in counts:
-        total[r["rank"]] += r["n"]
-    assert total == {r["rank"]: r["slots"] for r in goal.collect() if r["slots"]}
-    assert len({r["shard"] for r in counts}) > 3
+    monkeypatch.setattr(mixing, "GROUP_SUMS", 4)
+    monkeypatch.setattr(mixing, "CELLS", 8)
+    goal = mixing.targets(mixing.sized(docs))
+    want = {r["rank"]: r["slots"] for r in goal.collect() if r["slots"]}
+    drawn = Counter()
+    for r in mixing.drawn_counts(goal).collect():
+        drawn[r["shard"]] += r["n"]
+    assert set(drawn.values()) == {16} and len(drawn) == sum(want.values()) // 16
+    # By definition: each slot's number falls into the share of one source.
+    ends, total = [], 0
+    for rank in sorted(want):
+        total += want[rank]
+        ends.append((total, rank))
+    brute = Counter()
+    for shard in range(total // 16):
+        for j in range(16):
+            u = int(hashlib.md5(f"0|{shard}|{j}".encode()).hexdigest()[:15], 16) % total
+            brute[shard, next(rank for end, rank in ends if u < end)] += 1
+    assert brute == {(r["shard"], r["rank"]): r["n"] for r in mixing.drawn_counts(goal).collect()}
+    counts = mixing.source_counts(goal).collect()
+    for rank, slots in want.items():
+        assert sorted(k for r in counts if r["rank"] == rank for k in range(r["base"], r["base"] + r["n"])) == list(range(slots))
+    other = mixing.source_counts(goal, seed=1).collect()
+    assert {(r["shard"], r["rank"], r["n"]) for r in counts} != {(r["shard"], r["rank"], r["n"]) for r in other}
+    reports = [{r["doc_id"]: (r["taken"], r["first_shard"]) for r in mixing.mix_report(docs, seed=seed).collect()} for seed in (0, 1)]
+    assert all(any(reports[0][i][k] != reports[1][i][k] for i in reports[0]) for k in (0, 1))
 
 
 def test_mixed_texts_have_the_taken_words(docs):

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from taktwerk.llm import suffixes
+from taktwerk.llm.wordhash import Words
 
 
 def brute(pairs, length):
@@ -65,6 +68,8 @@ def test_against_brute_force(spark):
     assert len(want) > 50
     assert rows(suffixes.repeated_passages(df), pairs) == want
     assert rows(suffixes.repeated_passages(df, length=12, gram=5), pairs, 12) == brute(pairs, 12)
+    # Beginnings with more contexts than one task compares are dealt again by their windows.
+    assert rows(suffixes.repeated_passages(df, length=12, gram=5, most_together=3), pairs, 12) == brute(pairs, 12)
 
 
 def test_documents_and_odd_rows(docs, odd, empty):
@@ -85,3 +90,27 @@ def test_cutting(spark):
     want = {i: [w for k, w in enumerate(t.split()) if k not in cut.get(i, ())] for i, t in pairs}
     got = {r.doc_id: r.text.split() for r in suffixes.without_repeats(df).collect()}
     assert got == {i: w for i, w in want.items() if w or i not in cut}
+
+
+def test_minimisers_of_long_texts():
+    """Places are right however long the text is: short stretches give what one long stretch gives, also among ties."""
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 50, 5000).astype(np.uint64)
+    want = [at + int(np.argmin(suffixes.mix(hashes[at : at + 31] ^ np.uint64(0x9E3779B97F4A7C15)))) for at in range(5000 - 30)]
+    for stretch in (7, 64, 1 << 20):
+        assert suffixes.minimisers(hashes, 31, stretch).tolist() == want
+    passage = b" ".join(b"p%d" % k for k in range(80))
+    near, far = passage, b"a " * 3000 + passage
+    for stretch in (256, 1 << 20):
+        leads = [set(suffixes.retained(Words([t]), stretch=stretch)[1].tolist()) for t in (near, far)]
+        assert leads[0] and leads[0] <= leads[1]
+
+
+def test_equal_leading_hashes_do_not_make_a_repeat():
+    """Suffixes of one lead whose words differ are told apart by their words."""
+    import pyarrow as pa
+
+    words = pa.array([" ".join(f"a{k}" for k in range(12)), " ".join(f"b{k}" for k in range(12)), " ".join(f"a{k}" for k in range(12))])
+    lead, ids, at = np.array([9, 9, 9]), np.array([1, 2, 3]), np.zeros(3, np.int64)
+    row, first, last, kept = suffixes.compare(lead, ids, at, at, at, words, 12, 5)
+    assert (row.tolist(), first.tolist(), last.tolist(), kept.tolist()) == ([2], [0], [0], [1])
