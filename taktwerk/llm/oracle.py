@@ -40,12 +40,12 @@ u AS (SELECT shard, ('0x' || substr(md5('0|' || shard || '|' || j), 1, 15))::big
       FROM n, unnest(range(total // {mixing.SHARD_SLOTS})) AS a(shard), unnest(range({mixing.SHARD_SLOTS})) AS c(j)),
 m AS (SELECT shard, rank, count(*) AS n FROM u JOIN q ON draw >= e - slots AND draw < e GROUP BY ALL),
 m2 AS (SELECT *, (sum(n) OVER (PARTITION BY rank ORDER BY shard) - n)::bigint AS base FROM m),
-v AS (SELECT q.*, coalesce(have, 0)::bigint AS have, (SELECT total // {mixing.SHARD_SLOTS} FROM n) AS after
+v AS (SELECT q.*, coalesce(have, 0)::bigint AS have, (SELECT total // {mixing.SHARD_SLOTS} FROM n) AS drawn
       FROM q LEFT JOIN (SELECT rank, sum(n) AS have FROM m GROUP BY rank) x ON q.rank = x.rank),
-v2 AS (SELECT rank, blocks, have, after, slots, (sum(slots - have) OVER (ORDER BY rank) - (slots - have))::bigint AS at FROM v WHERE have < slots),
+v2 AS (SELECT rank, blocks, have, drawn, slots, (sum(slots - have) OVER (ORDER BY rank) - (slots - have))::bigint AS place FROM v WHERE have < slots),
 slot AS (SELECT m2.rank, q.blocks, shard, unnest(range(base, least(base + n, q.slots))) AS t FROM m2 JOIN q ON m2.rank = q.rank
          UNION ALL
-         SELECT rank, blocks, after + (at + t - have) // {mixing.SHARD_SLOTS}, t FROM (SELECT *, unnest(range(have, slots)) AS t FROM v2)),
+         SELECT rank, blocks, drawn + (place + t - have) // {mixing.SHARD_SLOTS}, t FROM (SELECT *, unnest(range(have, slots)) AS t FROM v2)),
 hit AS (SELECT rank, block, count(*) AS times, min(shard) AS f, max(shard) AS l FROM
            (SELECT rank, shard, {_permuted('(t % blocks)', 'blocks', '(rank * 31)')} AS block FROM slot) GROUP BY ALL),
 p AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.rank,
