@@ -53,7 +53,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables materialised inside are removed at the end, but for those written with the function it gives.
 
-    The garbage collection lets Spark's cleaner remove the shuffle files of the plans that have ended.
+    The garbage collections let Spark's cleaner remove the shuffle files of plans that have ended.
     """
     own: list[str] = []
 
@@ -64,6 +64,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         finally:
             _OPEN.append(own)
 
+    spark._jvm.System.gc()
     _OPEN.append(own)
     try:
         yield keep

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taktwerk.llm.common import GAP, WORD, materialize, with_text, words_of
+from taktwerk.llm.common import GAP, WORD, materialize, merged, packed, scratch, unpacked, with_text, words_of
 
 #: Words in a row that count as a repeat when they stand twice in a text.
 WINDOW = 8
@@ -105,7 +105,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def frequent_lines(docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_percent: int = LINE_MAX_PERCENT) -> DataFrame:
     """Lines above the limits: ``_host, line`` (hash), one row each.
 
-    ``docs`` has ``text`` and ``host``.  A document is counted by the hash of its text.
+    ``docs`` has ``text`` and ``host``.  A document is counted by the hash of its text.  A line is above the limits if
+    more than ``min_docs`` documents of its host hold it, and these are more than ``max_percent`` of the host's documents
+    or more than ``LINE_MANY_DOCS``.
     """
     keyed = _keyed(docs)
     held = keyed.select("_host", "_text", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: x["line"]))).alias("line")).distinct()
@@ -118,12 +120,17 @@ def frequent_lines(docs: DataFrame, min_docs: int = LINE_MIN_DOCS, max_percent:
 def removals(docs: DataFrame, limits: DataFrame) -> DataFrame:
     """Per text of a host that has lines above the limits: ``_host, _text, lines`` (their hashes), ``removed`` (words)."""
     each = _keyed(docs).select("_host", "_text", F.posexplode(_lines(F.col("text"))).alias("_pos", "_x"))
-    hit = each.select("_host", "_text", "_pos", "_x.line", "_x.n").join(limits, ["_host", "line"])
+    hit = merged(each.select("_host", "_text", "_pos", "_x.line", "_x.n"), limits, ["_host", "line"])
     # Copies of a text on the same host give the same rows.
     hit = hit.groupBy("_host", "_text", "_pos").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     return hit.groupBy("_host", "_text").agg(F.collect_set("line").alias("lines"), F.sum("n").alias("removed"))
 
 
+def _lost(own: DataFrame, min_docs: int, max_percent: int) -> DataFrame:
+    with scratch(own.sparkSession) as keep:
+        return keep(removals(own, materialize(frequent_lines(own, min_docs, max_percent), "frequent-lines")), "removals")
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -135,9 +142,9 @@ def judge(
 ) -> DataFrame:
     """One row per document: its id, the counts, ``base_failed``, ``n_words_kept`` and ``kept``."""
     own = with_text(docs, {"_id": id_col, "text": text_col, "host": host_col})
-    lost = materialize(removals(own, materialize(frequent_lines(own, min_docs, max_percent), "frequent-lines")), "removals")
+    lost = _lost(own, min_docs, max_percent)
     counts = text_counts(own.withColumn("_host", _host_key(F.col("host"))).withColumn("_text", F.xxhash64("text")))
-    out = counts.drop("text", "host").join(lost.drop("lines"), ["_host", "_text"], "left")
+    out = merged(counts.drop("text", "host"), lost.drop("lines"), ["_host", "_text"], "left")
     out = out.withColumn("n_words_kept", F.col("n_words") - F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     fit = 100 * F.col("n_words_kept") >= min_kept_percent * F.col("n_words")
@@ -160,18 +167,17 @@ def filter_documents(
 
     ``chars_col``, if the table has it, becomes the length of the text that is left.
     """
-    own = with_text(docs, {"text": text_col, "host": host_col})
-    lost = materialize(removals(own, materialize(frequent_lines(own, min_docs, max_percent), "frequent-lines")), "removals")
-    packed = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), docs[text_col].alias("text"), _host_key(docs[host_col]).alias("_host"))
-    counts = text_counts(packed.withColumn("_text", F.xxhash64("text"))).select("_row", "text", "_host", "_text", "n_words", "n_repeat_words")
+    lost = _lost(with_text(docs, {"text": text_col, "host": host_col}), min_docs, max_percent)
+    rows = docs.select(packed(docs).alias("_row"), docs[text_col].alias("text"), _host_key(docs[host_col]).alias("_host"))
+    # The text goes along in its row alone.
+    counts = text_counts(rows.withColumn("_text", F.xxhash64("text"))).select("_row", "_host", "_text", "n_words", "n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = counts.join(lost, ["_host", "_text"], "left")
+    out = merged(counts, lost, ["_host", "_text"], "left")
     # One test over columns of both sides: tests of the counts alone would be moved below the
     # projections and compute these, each step twice, all over again.
     kept = F.col("n_words") - F.coalesce("removed", F.lit(0))
     least = F.lit(min_kept_percent) * F.col("n_words") + F.when(failed, 100 * F.col("n_words") + 1).otherwise(F.lit(0))
-    out = out.where(100 * kept >= least)
-    rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normal_line(x))))
-    out = out.withColumn("_new", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-    new = {text_col: F.col("_new"), chars_col: F.length("_new").cast("long")}
-    return out.select(*[new.get(c, F.col(f"_row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    text = F.col(f"_row.c{docs.columns.index(text_col)}")
+    rest = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normal_line(x))))
+    out = out.where(100 * kept >= least).withColumn("_new", F.when(F.col("lines").isNull(), text).otherwise(F.array_join(rest, "\n")))
+    return out.select(*unpacked("_row", docs.columns, {text_col: F.col("_new"), chars_col: F.length("_new").cast("long")}))

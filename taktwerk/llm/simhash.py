@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taktwerk.llm.common import materialize, merged, packed, scratch, sliced, unpacked, with_text
@@ -369,45 +369,56 @@ def shingle_levels(texts: DataFrame, size: int = WORDS) -> np.ndarray:
     """For each bucket of shingles how frequent they are, in quarters of a power of two: ``BUCKETS`` numbers, whatever the input."""
     counts = texts.select("text").mapInArrow(_bucket_counts(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, dtype=np.uint8)
-    out[counts.column("bucket").to_numpy()] = np.minimum(255, np.round(4 * np.log2(counts.column("n").to_numpy() + 1.0))).astype(np.uint8)
+    out[counts.column("bucket").to_numpy()] = np.minimum(127, np.round(4 * np.log2(counts.column("n").to_numpy() + 1.0))).astype(np.uint8)
     return out
 
 
-def prefixes(texts: list[bytes], levels: np.ndarray, size: int = WORDS, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, shingle and number of shingles in the text, for the first shingles of each text in the
-    order of all (rare ones first): two texts of at least the similarity share one of these.  Texts without
-    shingles share a zero."""
+def prefix_size(n: np.ndarray | Column, similarity: float = SIMILARITY):
+    """Of ``n`` shingles, so many are the prefix: two texts of at least the similarity share one of these."""
+    return n - (F.ceil if isinstance(n, Column) else np.ceil)(similarity * n - 1e-9) + 1
+
+
+def prefixes(texts: list[bytes], levels: np.ndarray, size: int = WORDS, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and shingle of the first shingles of each text in the order of all (rare ones first), and of each text
+    the number of its shingles and the place of the last of the first ones in that order.  Texts without shingles share a zero."""
     owner, grams = _grams(texts, size)
     owner, keys = _once(owner, (levels[(grams & _U(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | grams)
     n = np.bincount(owner, minlength=len(texts))
     place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    first = place < (n - np.ceil(similarity * n - 1e-9) + 1)[owner]
+    first = place < prefix_size(n, similarity)[owner]
     bare = np.flatnonzero(n == 0)
-    owner, keys = np.concatenate((owner[first], bare)), np.concatenate(((keys & _GRAM_BITS)[first], np.zeros(len(bare), np.uint64)))
-    return owner, keys.view(np.int64), n[owner]
+    owner, keys = np.concatenate((owner[first], bare)), np.concatenate((keys[first], np.zeros(len(bare), np.uint64)))
+    last = np.zeros(len(texts), dtype=np.uint64)
+    np.maximum.at(last, owner, keys)
+    return owner, (keys & _GRAM_BITS).view(np.int64), n, last.view(np.int64)
 
 
 def _prefixes(size: int, similarity: float, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hashes,), texts in chunks(batches, ("hash",), lower=True):
-            owner, keys, n = prefixes(texts, levels, size, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(hashes, dtype=np.int64)[owner]), pa.array(n.astype(np.int32))], names=["key", "hash", "n"])
+            owner, keys, _, _ = prefixes(texts, levels, size, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(hashes, dtype=np.int64)[owner])], names=["key", "hash"])
 
     return run
 
 
-def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fingerprint of the set of words of each text."""
-    for (hashes,), texts in chunks(batches, ("hash",), lower=True):
-        owner, words = _once(*Words(texts).shingles(1))
-        n = np.bincount(owner, minlength=len(texts))
-        some = np.flatnonzero(n)
-        fps = np.zeros(len(texts), dtype=np.int64)
-        if len(some):
-            bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
-            fps[some] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").view("<i8").ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(fps)], names=["hash", "fp"])
+def _described(size: int, similarity: float, levels: np.ndarray):
+    """The fingerprint of the set of words of each text, the number of its shingles and where its prefix ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (hashes,), texts in chunks(batches, ("hash",), lower=True):
+            owner, words = _once(*Words(texts).shingles(1))
+            times = np.bincount(owner, minlength=len(texts))
+            some = np.flatnonzero(times)
+            fps = np.zeros(len(texts), dtype=np.int64)
+            if len(some):
+                bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, (np.cumsum(times) - times)[some], axis=0, dtype=np.int32)
+                fps[some] = np.packbits(2 * ones > times[some, None], axis=1, bitorder="little").view("<i8").ravel()
+            _, _, n, last = prefixes(texts, levels, size, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(fps), pa.array(n, pa.int64()), pa.array(last)], names=["hash", "fp", "n", "last"])
+
+    return run
 
 
 def _shingle_sets(size: int):
@@ -420,77 +431,87 @@ def _shingle_sets(size: int):
     return run
 
 
-def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links ``x, y`` whose texts have the similarity, as ``a, b``."""
-    one = merged(links, sets.select(F.col("hash").alias("x"), F.col("grams").alias("p")), "x")
-    both = merged(one, sets.select(F.col("hash").alias("y"), F.col("grams").alias("q")), "y")
-    shared = F.size(F.array_intersect("p", "q"))
-    return both.where(shared >= similarity * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs ``x, y, shared`` those whose texts can have the similarity if ``shared`` is the number of
+    shingles in the prefixes of both: what else they share lies behind the prefix that ends first."""
+    for side in ("x", "y"):
+        pairs = merged(pairs, texts.select(F.col("hash").alias(side), F.col("n").alias(f"{side}_n"), F.col("last").alias(f"{side}_last")), side)
+    behind = F.when(F.col("x_last") <= F.col("y_last"), F.col("x_n") - prefix_size(F.col("x_n"), similarity)).otherwise(F.col("y_n") - prefix_size(F.col("y_n"), similarity))
+    least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    enough = (F.col("shared") + behind) * (1 + similarity) >= similarity * (F.col("x_n") + F.col("y_n")) - 1e-6
+    return pairs.where((least >= similarity * most - 1e-6) & enough).select("x", "y")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def fingerprint_links(own: DataFrame, distance: int = NEAR_BITS) -> DataFrame:
-    """Links ``x, y`` of texts (columns ``hash, text``) whose fingerprints are near, or the same."""
-    texts = materialize(own.select("hash", "text").mapInArrow(_word_fingerprints, "hash long, fp long").distinct(), "word-fingerprints")
+def fingerprint_links(texts: DataFrame, distance: int = NEAR_BITS) -> DataFrame:
+    """Links ``x, y`` of texts (columns ``hash, fp``) whose fingerprints are near, or the same."""
     classes = materialize(texts.groupBy("fp").agg(F.min("hash").alias("rep")), "text-classes")
     near = materialize(near_links(classes.select("fp"), distance).distinct(), "near-links")
     one = merged(near, classes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a")
     one = merged(one, classes.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-    same = merged(texts, classes, "fp").select(F.col("rep").alias("x"), F.col("hash").alias("y"))
-    return _ordered(one.unionByName(same))
+    same = merged(texts, classes, "fp").where("hash <> rep").select(F.col("rep").alias("x"), F.col("hash").alias("y"))
+    return one.unionByName(same)
+
+
+def _verified(links: DataFrame, own: DataFrame, first: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The links ``x, y`` whose texts have the similarity by the shingles of both, as ``a, b``."""
+    links = materialize(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidate-links")
+    ends = links.select(F.col("x").alias("hash")).unionByName(links.select(F.col("y").alias("hash"))).distinct()
+    wanted = materialize(merged(first, ends, "hash"), "candidate-texts")
+    # By hash and id, so that many copies of one text are dealt to many tasks.
+    once = merged(own, wanted, ["hash", "rid"]).groupBy("hash", "rid").agg(F.first("text").alias("text"))
+    sets = materialize(once.select("hash", "text").mapInArrow(_shingle_sets(size), "hash long, grams array<long>"), "shingle-sets")
+    one = merged(links, sets.select(F.col("hash").alias("x"), F.col("grams").alias("p")), "x")
+    both = merged(one, sets.select(F.col("hash").alias("y"), F.col("grams").alias("q")), "y")
+    shared = F.size(F.array_intersect("p", "q"))
+    return both.where(shared >= similarity * (F.size("p") + F.size("q") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def similar_links(own: DataFrame, first: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, distance: int = NEAR_BITS) -> DataFrame:
     """Links ``a, b`` of texts (columns ``hash, rid, text``) that connect all pairs of at least ``similarity``, and no others.
 
     ``first`` has one ``hash, rid`` of each distinct text.  Texts whose fingerprints are near are
-    tried first.  What fingerprints cannot tell is found by shared shingles: two texts that are not yet in
-    one component are tried if they share one of the first shingles of both, so no pair is missed.
-    Before all of these pairs are tried, the texts under a shingle are held against the one that shares most,
-    which ties copies of one base that are not alike to each other.
+    tried first, and with them the texts under each shingle and the one of these that shares most, which ties copies
+    of one base that are not alike to each other.  What these leave apart is found by shared shingles: two texts that are
+    not yet in one component are tried if they share enough of the first shingles of both, so no pair is missed.
     """
-    levels = shingle_levels(own, size)
-    # Made twice, as written out they would take as much room as the texts.
-    every = own.select("hash", "text").mapInArrow(_prefixes(size, similarity, levels), "key long, hash long, n int")
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most")
-    shared = materialize(shared.select("key", "many"), "shared-keys")
-    # Written before copies of a text are made one, so that Spark can split the rows of a frequent shingle.
-    met = materialize(merged(every, shared, "key"), "shared-prefixes")
-    rows = materialize(met.groupBy("key", "hash").agg(F.first("n").alias("n"), F.first("many").alias("many")), "text-prefixes")
-    score = materialize(rows.groupBy("hash").agg((F.sum("many") / F.greatest(F.first("n"), F.lit(1))).alias("score")), "scores")
-    rows = merged(rows.drop("many"), score, "hash")
-    wanted = materialize(merged(first, score.select("hash"), "hash"), "texts-that-share")
-    once = merged(own, wanted, ["hash", "rid"]).groupBy("hash", "rid").agg(F.first("text").alias("text"))
-    sets = materialize(once.select("hash", "text").mapInArrow(_shingle_sets(size), "hash long, grams array<long>"), "shingle-sets")
-
-    # Texts that share none of their first shingles with another have no links.
-    with scratch(own.sparkSession) as keep:
-        tried = merged(merged(fingerprint_links(own, distance), score.select(F.col("hash").alias("x")), "x"), score.select(F.col("hash").alias("y")), "y")
-        found = keep(_verified(tried, sets, similarity), "verified-links")
-    for last in (False, True):
+    spark = own.sparkSession
+    with scratch(spark) as keep:
+        levels = shingle_levels(own, size)
+        described = own.select("hash", "text").mapInArrow(_described(size, similarity, levels), "hash long, fp long, n long, last long")
+        texts = keep(described.distinct(), "described-texts")
+        # Made twice, as written out they would take as much room as the texts.
+        every = own.select("hash", "text").mapInArrow(_prefixes(size, similarity, levels), "key long, hash long")
+        shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most")
+        shared = materialize(shared.select("key", "many"), "shared-keys")
+        # Written before copies of a text are made one, so that Spark can split the rows of a frequent shingle.
+        met = materialize(merged(every, shared, "key"), "shared-prefixes")
+        rows = materialize(met.groupBy("key", "hash").agg(F.first("many").alias("many")), "text-prefixes")
+        score = merged(rows.groupBy("hash").agg(F.sum("many").alias("sum")), texts, "hash").select("hash", (F.col("sum") / F.greatest("n", F.lit(1))).alias("score"))
+        rows = keep(merged(rows.select("key", "hash"), score, "hash"), "scored-prefixes")
+    with scratch(spark) as keep:
+        pivots = materialize(rows.groupBy("key").agg(F.max(F.struct("score", "hash"))["hash"].alias("y")), "pivots")
+        pairs = merged(rows.select("key", F.col("hash").alias("x")), pivots, "key").where("x <> y").select("x", "y")
+        links = _possible(_counted(pairs), texts, similarity)
+        # Texts that share none of their first shingles with another have no links.
+        sharing = materialize(rows.select("hash").distinct(), "sharing-texts")
+        near = merged(merged(fingerprint_links(texts, distance), sharing.select(F.col("hash").alias("x")), "x"), sharing.select(F.col("hash").alias("y")), "y")
+        found = keep(_verified(links.unionByName(near), own, first, size, similarity), "verified-links")
         tree = connected_components(found)
-        rows = merged(rows, tree, rows["hash"] == tree["node"], "left").select("key", "hash", "n", "score", F.coalesce("root", "hash").alias("comp"))
-        rows = materialize(rows, "live-prefixes")
-        # Texts under a shingle that are all in one component need no further link.
-        live = rows.groupBy("key").agg(F.max(F.struct("score", "hash", "n", "comp")).alias("top"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-        live = materialize(live.select("key", F.col("top.hash").alias("pivot"), F.col("top.n").alias("pivot_n"), F.col("top.comp").alias("main")), "pivots")
-        rows = materialize(merged(rows, live, "key"), "open-prefixes")
-        rest = rows.where("comp <> main")
-        if last:
-            # One of two texts in different components is not in the main one.
-            left = rest.select("key", F.col("hash").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-            right = rows.select("key", F.col("hash").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"))
-            pairs = merged(left, right, "key").where("x_comp <> y_comp")
-        else:
-            pairs = rest.select(F.col("hash").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("x_n"), F.col("pivot_n").alias("y_n"))
-        close = pairs.where(F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-6)
-        links = materialize(_ordered(close), "candidate-links")
-        found = found.unionByName(materialize(_verified(links, sets, similarity), "verified-links"))
-        rows = rows.select("key", "hash", "n", "score")
-    return found
+        rows = keep(merged(rows, tree, rows["hash"] == tree["node"], "left").select("key", "hash", F.coalesce("root", "hash").alias("comp")), "prefix-components")
+    with scratch(spark) as keep:
+        # Texts under a shingle that are all in one component need no further link; of two in different ones, one is not in the first.
+        live = rows.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("most")).where("main <> most")
+        rows = materialize(merged(rows, materialize(live.select("key", "main"), "open-keys"), "key"), "open-prefixes")
+        left = rows.where("comp <> main").select("key", F.col("hash").alias("x"), F.col("comp").alias("x_comp"))
+        right = rows.select("key", F.col("hash").alias("y"), F.col("comp").alias("y_comp"), "main")
+        # Each pair comes once under each shingle that both share.
+        pairs = merged(left, right, "key").where("x_comp <> y_comp and (y_comp = main or x < y)").select("x", "y")
+        links = _possible(_counted(pairs), texts, similarity)
+        return found.unionByName(keep(_verified(links, own, first, size, similarity), "verified-links"))
 
 
 def _texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
