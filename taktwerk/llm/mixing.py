@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 MIX = 1.5
 MOST = 2
 #: Documents of one source whose places are counted up in one task; the order's first hex digits split larger sources.
-GROUP_DOCS = 2_000
+GROUP_DOCS = 250
 #: Sums of groups or shards that are added up in one task, before the sums of these are.
 GROUP_SUMS = 4_096
 #: Multipliers of the permutation: the first that does not divide the number of blocks. Fixed primes.

@@ -21,6 +21,7 @@ none; repeated rows each get their row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -28,6 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -330,11 +332,16 @@ def component_ids(classes: DataFrame, tree: DataFrame) -> DataFrame:
 WORDS, SIMILARITY = 5, 0.8
 #: Bits in which the fingerprints of two texts' words may differ to be tried at once: about what edits here and there change.
 NEAR_BITS = 4
-#: Shingles are ranked by how often those of their bucket stand in all texts, rare ones first.
-BUCKETS = 1 << 18
+#: Shingles are ranked by how often those of their bucket stand in all texts, rare ones first; so many buckets
+#: are counted, in blocks, whatever the input.  A shingle that stands out is one that is more frequent than the noise in a bucket.
+BUCKETS = 1 << 22
+BLOCK_BUCKETS = 1 << 16
+#: Streams in which the counts of a block are added up before those of all streams are.
+COUNT_STREAMS = 64
 _U = np.uint64
-#: A shingle's number takes 56 bits; its rank stands above these in the order.
-_GRAM_BITS = _U((1 << 56) - 1)
+#: A shingle's number takes 52 bits; its rank, of up to 11 bits, stands above these in the order.
+_GRAM = 52
+_GRAM_BITS = _U((1 << _GRAM) - 1)
 
 
 def _grams(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,24 +359,57 @@ def _once(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], keys[new]
 
 
+_COUNTS = "block int, stream int, counts binary"
+
+
+def _count_rows(blocks: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for block, stream, counts in blocks:
+        packed_counts = zlib.compress(counts.astype("<u8").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([stream], pa.int32()), pa.array([packed_counts], pa.binary())], names=["block", "stream", "counts"])
+
+
 def _bucket_counts(size: int):
+    """How many shingles of the task fall into each bucket, by blocks of buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for _, texts in chunks(batches, (), lower=True):
             total += np.bincount((_grams(texts, size)[1] & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        held = np.flatnonzero(total)
-        for at in range(0, len(held), 65536):
-            part = held[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
+        stream = TaskContext.get().partitionId() % COUNT_STREAMS
+        yield from _count_rows((k, stream, part) for k, part in enumerate(total.reshape(-1, BLOCK_BUCKETS)) if part.any())
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of rows in order of block and stream."""
+
+    def sums() -> Iterator[tuple[int, int, np.ndarray]]:
+        at, total = None, None
+        for batch in batches:
+            for block, stream, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "stream", "counts")), strict=True):
+                counts = np.frombuffer(zlib.decompress(raw), dtype="<u8").astype(np.int64)
+                if at == (block, stream):
+                    total += counts
+                    continue
+                if at:
+                    yield *at, total
+                at, total = (block, stream), counts
+        if at:
+            yield *at, total
+
+    return _count_rows(sums())
+
+
 def shingle_levels(texts: DataFrame, size: int = WORDS) -> np.ndarray:
-    """For each bucket of shingles how frequent they are, in quarters of a power of two: ``BUCKETS`` numbers, whatever the input."""
-    counts = texts.select("text").mapInArrow(_bucket_counts(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, dtype=np.uint8)
-    out[counts.column("bucket").to_numpy()] = np.minimum(127, np.round(4 * np.log2(counts.column("n").to_numpy() + 1.0))).astype(np.uint8)
+    """For each bucket of shingles how frequent they are, in parts of 32 of a power of two: ``BUCKETS`` numbers, whatever the input."""
+    counts = texts.select("text").mapInArrow(_bucket_counts(size), _COUNTS)
+    for keys in (["block", "stream"], ["block"]):
+        counts = counts.withColumn("stream", F.col("stream") if len(keys) == 2 else F.lit(0)).repartition(*keys).sortWithinPartitions("block", "stream").mapInArrow(_added, _COUNTS)
+    out = np.zeros(BUCKETS, dtype=np.uint16)
+    for r in counts.toLocalIterator():
+        n = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype="<u8")
+        out[r["block"] * BLOCK_BUCKETS : (r["block"] + 1) * BLOCK_BUCKETS] = np.minimum(2047, np.round(32 * np.log2(n + 1.0)))
     return out
 
 
@@ -382,7 +422,7 @@ def prefixes(texts: list[bytes], levels: np.ndarray, size: int = WORDS, similari
     """Text and shingle of the first shingles of each text in the order of all (rare ones first), and of each text
     the number of its shingles and the place of the last of the first ones in that order.  Texts without shingles share a zero."""
     owner, grams = _grams(texts, size)
-    owner, keys = _once(owner, (levels[(grams & _U(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | grams)
+    owner, keys = _once(owner, (levels[(grams & _U(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << _U(_GRAM)) | grams)
     n = np.bincount(owner, minlength=len(texts))
     place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     first = place < prefix_size(n, similarity)[owner]
@@ -442,6 +482,12 @@ def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.where((least >= similarity * most - 1e-6) & enough).select("x", "y")
 
 
+def _most(held: str, similarity: float) -> Column:
+    """The most shingles that a similar text has, if only ``held`` of the first shingles of a text stand in another one."""
+    others = F.col("n") - prefix_size(F.col("n"), similarity) + F.col(held)
+    return F.floor(others * (1 + similarity) / similarity + 1e-6) - F.col("n")
+
+
 def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
 
@@ -490,7 +536,8 @@ def similar_links(own: DataFrame, first: DataFrame, size: int = WORDS, similarit
         # Written before copies of a text are made one, so that Spark can split the rows of a frequent shingle.
         met = materialize(merged(every, shared, "key"), "shared-prefixes")
         rows = materialize(met.groupBy("key", "hash").agg(F.first("many").alias("many")), "text-prefixes")
-        score = merged(rows.groupBy("hash").agg(F.sum("many").alias("sum")), texts, "hash").select("hash", (F.col("sum") / F.greatest("n", F.lit(1))).alias("score"))
+        score = merged(rows.groupBy("hash").agg(F.sum("many").alias("sum"), F.count(F.lit(1)).alias("held")), texts, "hash")
+        score = score.select("hash", (F.col("sum") / F.greatest("n", F.lit(1))).alias("score"), "n", "held").where(_most("held", similarity) >= similarity * F.col("n") - 1e-6)
         rows = keep(merged(rows.select("key", "hash"), score, "hash"), "scored-prefixes")
     with scratch(spark) as keep:
         pivots = materialize(rows.groupBy("key").agg(F.max(F.struct("score", "hash"))["hash"].alias("y")), "pivots")
@@ -501,15 +548,18 @@ def similar_links(own: DataFrame, first: DataFrame, size: int = WORDS, similarit
         near = merged(merged(fingerprint_links(texts, distance), sharing.select(F.col("hash").alias("x")), "x"), sharing.select(F.col("hash").alias("y")), "y")
         found = keep(_verified(links.unionByName(near), own, first, size, similarity), "verified-links")
         tree = connected_components(found)
-        rows = keep(merged(rows, tree, rows["hash"] == tree["node"], "left").select("key", "hash", F.coalesce("root", "hash").alias("comp")), "prefix-components")
+        rows = keep(merged(rows, tree, rows["hash"] == tree["node"], "left").select("key", "hash", "n", F.coalesce("root", "hash").alias("comp")), "prefix-components")
     with scratch(spark) as keep:
         # Texts under a shingle that are all in one component need no further link; of two in different ones, one is not in the first.
         live = rows.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("most")).where("main <> most")
         rows = materialize(merged(rows, materialize(live.select("key", "main"), "open-keys"), "key"), "open-prefixes")
-        left = rows.where("comp <> main").select("key", F.col("hash").alias("x"), F.col("comp").alias("x_comp"))
-        right = rows.select("key", F.col("hash").alias("y"), F.col("comp").alias("y_comp"), "main")
+        held = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("held"))
+        rows = materialize(merged(rows, held, "hash").withColumn("most", _most("held", similarity)).where(F.col("most") >= similarity * F.col("n") - 1e-6), "possible-prefixes")
+        left = rows.where("comp <> main").select("key", F.col("hash").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("most").alias("x_most"))
+        right = rows.select("key", F.col("hash").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("most").alias("y_most"), "main")
         # Each pair comes once under each shingle that both share.
-        pairs = merged(left, right, "key").where("x_comp <> y_comp and (y_comp = main or x < y)").select("x", "y")
+        pairs = merged(left, right, "key").where("x_comp <> y_comp and (y_comp = main or x < y)")
+        pairs = pairs.where((F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most"))).select("x", "y")
         links = _possible(_counted(pairs), texts, similarity)
         return found.unionByName(keep(_verified(links, own, first, size, similarity), "verified-links"))
 
