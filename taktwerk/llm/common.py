@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -25,11 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that driver and executors share, which the cluster (or the test's
-    or benchmark's session) names in ``spark.checkpoint.dir``."""
+    """A new path below the folder that driver and executors share.
+
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where it names none, a session on one machine gets a
+    temporary folder, and on a cluster this is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/taktwerk/{label}-{uuid.uuid4().hex}"
 
 

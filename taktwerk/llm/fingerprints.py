@@ -1,10 +1,10 @@
 """Order-independent document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
 A text falls into paragraphs (see :func:`paragraphs`).  Each is hashed to a wide vector of
-plus and minus ones, and a document's fingerprint is the sum of these vectors modulo 2**16.
+plus and minus ones, and a document's fingerprint is the sum of these vectors modulo 2**32.
 Addition does not depend on order, and a paragraph can be added to or taken from a
 fingerprint without the rest of the text (:func:`insert`, :func:`delete`, :func:`combine`).
-As the sums stay small against the modulus, the scalar product of two fingerprints
+As the sums of any text stay small against the modulus (a text has fewer than 2**31 paragraphs), the scalar product of two fingerprints
 estimates how many paragraphs they share, which gives :func:`likeness`.
 
 Defined results: a null text counts as empty; the empty text has no paragraphs and the zero
@@ -28,11 +28,14 @@ from taktwerk.llm.common import sliced, with_text
 
 #: Entries of a vector: the bits of one digest.
 WIDTH = 256
+MODULUS = 2**32
 #: A paragraph longer than this many code points is cut, counted from its start.
 MOST_CHARS = 100
 #: Documents that are in one group of neighbours, and the most groups that are told apart.
 GROUP_DOCS = 500
-MOST_GROUPS = 20_000
+MOST_GROUPS = 100_000
+#: Groups that one task goes through.
+TASK_GROUPS = 16
 
 #: Rows that a group holds, takes as the start of the next one, and holds outside the order.
 OWN, GUEST, ALONE = 0, 1, 2
@@ -62,30 +65,30 @@ def digest_sum(pieces: list[str]) -> np.ndarray:
 
 def insert(vector: np.ndarray, pieces: list[str]) -> np.ndarray:
     """The fingerprint vector with paragraphs added."""
-    return (vector + digest_sum(pieces)) % 65536
+    return (vector + digest_sum(pieces)) % MODULUS
 
 
 def delete(vector: np.ndarray, pieces: list[str]) -> np.ndarray:
     """The fingerprint vector with paragraphs taken away."""
-    return (vector - digest_sum(pieces)) % 65536
+    return (vector - digest_sum(pieces)) % MODULUS
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The fingerprint vector of two documents together."""
-    return (a + b) % 65536
+    return (a + b) % MODULUS
 
 
 def to_hex(vector: np.ndarray) -> str:
-    return (vector % 65536).astype("<u2").tobytes().hex()
+    return (vector % MODULUS).astype("<u4").tobytes().hex()
 
 
 def from_hex(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), dtype="<u2").astype(np.int64)
+    return np.frombuffer(bytes.fromhex(text), dtype="<u4").astype(np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """An estimate of twice the shared paragraphs over all paragraphs of both, from 0 to 1."""
-    a, b = (((v + 32768) % 65536 - 32768).astype(np.float64) for v in (a, b))
+    a, b = (((v + MODULUS // 2) % MODULUS - MODULUS // 2).astype(np.float64) for v in (a, b))
     if np.array_equal(a, b):
         return 1.0
     whole = float(a @ a + b @ b)
@@ -205,5 +208,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per document: id, ``n_chars``, the fingerprints of the text and of its edited form,
     the edited form's SHA-256, and the likeness to the edited form and to the next document."""
     own = with_text(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("long"))
-    dealt = with_neighbours(own).repartition("grp").sortWithinPartitions("grp", "kind", "id", "text")
+    # By the number of documents, so that tasks stay as small on more of them.
+    tasks = max(1, own.count() // (GROUP_DOCS * TASK_GROUPS))
+    dealt = with_neighbours(own).repartition(tasks, "grp").sortWithinPartitions("grp", "kind", "id", "text")
     return dealt.mapInArrow(_mapped, _DDL).withColumnRenamed("id", id_col)

@@ -7,7 +7,7 @@ probabilities are the means over all its positions.  Gates and candidates use x
 which takes a fraction of a hyperbolic tangent's time.
 
 The network is trained in numpy by backpropagation through time on a bounded sample:
-at most ``TRAIN_DOCS`` documents of each of at most ``MOST_LANGUAGES`` languages, chosen by a hash of
+at most ``TRAIN_DOCS`` documents of each language, chosen by a hash of
 the id, and ``TRAIN_PIECES`` pieces of each.  Prediction covers every byte of every document.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without a labelled
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taktwerk.llm.common import sliced, with_text
@@ -32,12 +32,18 @@ UNKNOWN = "und"
 WINDOW = 128
 EMBEDDING, HIDDEN = 8, 12
 LANES = 2048
-TRAIN_DOCS, TRAIN_PIECES, MOST_LANGUAGES = 300, 4, 64
+TRAIN_DOCS, TRAIN_PIECES = 300, 4
 TRAIN_WINDOW, TRAIN_LANES, TRAIN_STEPS, RATE, SEED = 48, 256, 240, 0.02, 11
 #: Bytes that go through the network together.
 CHUNK_BYTES = 4_000_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter: digits and other numbers count as word characters too.
+_WORD_CHARS = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; raised or enclosed digits, fractions and Roman numerals are none."""
+    return any(c.isalpha() for m in _WORD_CHARS.finditer(text) for c in m[0])
 
 
 @dataclass
@@ -228,7 +234,7 @@ def _predicted(model: Model | None):
         for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
             at = 0
             while at < len(known):
                 end, held = at, []
@@ -253,19 +259,20 @@ def held_out(id_col: str):
 
 
 def training_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """A bounded sample of labelled pieces: at most ``MOST_LANGUAGES * TRAIN_DOCS * TRAIN_PIECES``.
+    """A bounded sample of labelled pieces: at most ``TRAIN_DOCS * TRAIN_PIECES`` of every language.
 
     The documents of a language are those with the smallest hashes of their ids, found without
-    reading texts; pieces stand at places that follow from the hash.
+    reading texts (every task sends on no more than it may keep); pieces stand at places that follow from the hash.
+    An id that is no whole number is taken for null.
     """
-    own = with_text(docs, {"id": id_col, "lang": lang_col}).where(F.col("id").isNotNull() & F.col("lang").isNotNull())
-    own = own.where(~held_out("id")).withColumn("draw", F.xxhash64("id"))
-    languages = [r["lang"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    chosen = [r["id"] for lang in languages for r in own.where(F.col("lang") == lang).orderBy("draw", "id").limit(TRAIN_DOCS).select("id").collect()]
+    own = with_text(docs, {"id": id_col, "lang": lang_col}).withColumn("id", F.col("id").try_cast("long")).where(F.col("id").isNotNull() & F.col("lang").isNotNull())
+    own = own.where(~held_out("id")).distinct().withColumn("draw", F.xxhash64("id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    chosen = [r["id"] for r in own.withColumn("place", place).where(F.col("place") <= TRAIN_DOCS).select("id").collect()]
     if not chosen:
         return []
     picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(chosen))], "chosen long")
-    full = with_text(docs, {"id": id_col, "text": text_col, "lang": lang_col}).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    full = with_text(docs, {"id": id_col, "text": text_col, "lang": lang_col}).withColumn("id", F.col("id").try_cast("long")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
     full = full.join(F.broadcast(picked), F.col("id") == F.col("chosen"))
     room = F.greatest(F.length("text") - TRAIN_WINDOW + 1, F.lit(1))
     places = [F.substring("text", (F.pmod(F.xxhash64("id", F.lit(k)), room) + 1).cast("int"), F.lit(TRAIN_WINDOW)) for k in range(TRAIN_PIECES)]
@@ -278,6 +285,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per document: id, ``held_out``, ``lang_pred`` and ``score``."""
     model = train(training_pieces(docs, id_col, text_col, lang_col))
     own = with_text(docs, {"id": id_col, "text": text_col})
-    own = own.withColumn("id", F.col("id").cast("long"))
+    own = own.withColumn("id", F.col("id").try_cast("long"))
     out = own.mapInArrow(_predicted(model), "id long, lang_pred string, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score")

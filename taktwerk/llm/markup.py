@@ -12,6 +12,9 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*+>",
     re.S,
 )
+#: The same where quotes do not close: a tag ends at the next angle bracket.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+_START = re.compile(r"<(?=[a-zA-Z/!?])")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 #: Elements whose content is no markup.
@@ -47,9 +50,23 @@ def attributes(raw: str) -> dict[str, str]:
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """``("open", name, attributes)``, ``("close", name, "")``, ``("text", "", text)`` with character
     references decoded, and ``("raw", name, content)`` for elements whose content is no markup."""
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    pattern = _TOKEN
     while at < n:
-        m = _TOKEN.search(page, at)
+        m, begin = None, at
+        while m is None and (start := _START.search(page, begin)):
+            begin = start.start()
+            if begin > last:
+                # No tag ends here any more, but an open comment goes on to the end.
+                begin = page.find("<!--", begin)
+                m = pattern.match(page, begin) if begin >= 0 else None
+                break
+            m = pattern.match(page, begin)
+            if m is None and pattern is _TOKEN:
+                # A quote that nothing closes: from here on quotes are not followed.
+                pattern = _PLAIN
+                m = pattern.match(page, begin)
+            begin += 1
         if m is None:
             yield "text", "", html.unescape(page[at:])
             return

@@ -5,7 +5,9 @@ container other than a paragraph inside it) is hashed with its tags, classes and
 on how many pages with different main texts a subtree stands; those on many are templates, and the
 blocks in them are deleted.  Besides, elements that are no part of an article by their name,
 role or class go: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments.  If the page marks an article or its main part, what lies outside goes too.
+and comments; inside an article a class tells that only as a whole.  If the page marks an article or its
+main part, what lies outside goes too; an article inside a dropped part (a teaser in a sidebar) counts only where
+none stands outside.  Elements nested deeper than ``MOST_DEPTH`` are read as parts of the one at that depth.
 
 Defined results: a null or empty page, or one without any text, gives an empty text; a null url
 is a host of its own; pages that are copies of one page count once, so copying an article does
@@ -47,13 +49,17 @@ _DROP_WORDS = {
 }
 #: The same for what even an article in it does not bring back.
 _DROP_FIRM = {"comment", "comments", "commentlist", "disqus", "recommended", "recommendations", "related", "replies", "respond", "responses", "trending"}
+#: Words that say nothing by themselves beside one of the words above.
+_FILLERS = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "inline", "inner", "items", "link", "links", "list", "panel", "posts", "section", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
+#: Elements nested deeper are parts of the one at this depth.
+MOST_DEPTH = 512
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _KEEP, _SOFT, _FIRM, _HEAD = 0, 1, 2, 3  # kept; dropped, but for an article inside; dropped; only headings kept
 
 
 @dataclass
 class Page:
-    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # place, text, zone (2 article, 1 main, 0 other)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # place, text, zone (3 article, 2 main, 1 one of these in a dropped part, 0 other)
     subtrees: list[tuple[int, int, int]] = field(default_factory=list)  # first place, last place, hash
 
 
@@ -82,8 +88,10 @@ def _verdict(name: str, raw: str, zone: int, above: int) -> int:
         return above
     words: set[str] = set()
     for label in f"{found.get('class', '')} {found.get('id', '')}".split():
-        parts = [w.lower() for w in _WORD.findall(label)]
-        if not {"has", "with", "no", "without"} & set(parts):
+        parts = {w.lower() for w in _WORD.findall(label)}
+        if zone and not parts <= _DROP_WORDS | _DROP_FIRM | _FILLERS | {"header"}:
+            continue
+        if not {"has", "with", "no", "without"} & parts:
             words.update(parts)
     if words & _DROP_FIRM:
         return _FIRM
@@ -103,6 +111,7 @@ def read_page(page: str | None) -> Page:
     content: list[str] = []
     kept: list[str] = []
     lost: list[str] = []
+    deeper: dict[str, int] = {}
     place = 0
 
     def end_block() -> None:
@@ -124,7 +133,10 @@ def read_page(page: str | None) -> Page:
             names.pop()
             _, _, begin, first = marks.pop()
             if begin >= 0 and place > first:
-                out.subtrees.append((first, place, xxhash.xxh64_intdigest("\x1f".join(content[begin:]).encode("utf-8", "surrogatepass")) >> 1))
+                own = xxhash.xxh64_intdigest("\x1f".join(content[begin:]).encode("utf-8", "surrogatepass")) >> 1
+                out.subtrees.append((first, place, own))
+                # For the elements around, the hash stands for all that is in it.
+                content[begin:] = [f"#{own:x}"]
 
     for kind, name, data in tokens(page or ""):
         if kind == "text":
@@ -140,15 +152,16 @@ def read_page(page: str | None) -> Page:
             if name in BLOCK:
                 end_block()
             close_to(ends_before(name, names))
+            if len(names) >= MOST_DEPTH:
+                deeper[name] = deeper.get(name, 0) + 1
+                continue
             above, zone = (marks[-1][0], marks[-1][1]) if marks else (_KEEP, 0)
             verdict = _verdict(name, data, zone, above)
             if verdict == _KEEP and (name == "article" or name == "main" or "main" in data or "articleBody" in data):
                 found = attributes(data)
-                if name == "article" or found.get("itemprop") == "articleBody":
-                    zone = 2
-                elif name == "main" or found.get("role") == "main":
-                    zone = max(zone, 1)
-            hashed = name in BLOCK and name not in ("html", "body", "article", "main", "li") and not (zone == 2 and name in HEADINGS | {"p", "blockquote", "pre"})
+                own = 3 if name == "article" or found.get("itemprop") == "articleBody" else 2 if name == "main" or found.get("role") == "main" else 0
+                zone = max(zone, 1 if own and (above == _SOFT or zone == 1) else own)
+            hashed = name in BLOCK and name not in ("html", "body", "article", "main", "li") and not (zone in (1, 3) and name in HEADINGS | {"p", "blockquote", "pre"})
             label = ""
             if hashed:
                 label = f"<{name} {attributes(data).get('class', '')}" if data else f"<{name}"
@@ -158,7 +171,11 @@ def read_page(page: str | None) -> Page:
             names.append(name)
             marks.append((verdict, zone, begin, place))
         elif kind == "close":
-            if name in BLOCK:
+            if deeper.get(name):
+                deeper[name] -= 1
+                if name in BLOCK:
+                    end_block()
+            elif name in BLOCK:
                 keep = ends_at(name, names)
                 if keep < len(names):
                     close_to(keep)

@@ -101,21 +101,36 @@ def write_records(derived: DataFrame, path: str) -> None:
     lines = F.concat_ws(
         "\r\n", F.lit(VERSION.rstrip()), F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
         F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Target-URI: "), "target_uri"), F.concat(F.lit("Content-Type: "), "content_type"),
-        F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")), F.lit(""), F.col("content"),
+        F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("WARC-Source-Payload-Digest: "), "source_payload_digest"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")), F.lit(""), F.col("content"),
     )
     derived.select(lines.alias("value")).write.option("lineSep", END).options(**_GZIP).text(path)
 
 
-def _split(piece: bytes) -> tuple[dict[str, str], bytes, bool]:
-    """Headers, block, and whether the block is as long as the headers say."""
+def header(headers: list[tuple[str, str]], name: str, default: str = "") -> str:
+    """The first value of a header; names are told apart without regard to case."""
+    return next((v for k, v in headers if k.lower() == name.lower()), default)
+
+
+def listed(headers: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Headers by name for a JSON object: one that is repeated has the list of its values, in order."""
+    out: dict[str, list[str]] = {}
+    for k, v in headers:
+        out.setdefault(k, []).append(v)
+    return {k: v if len(v) > 1 else v[0] for k, v in out.items()}
+
+
+def checked(stated: str, raw: bytes) -> str:
+    """Whether a stated digest is the one of the bytes: ``pass``, ``fail``, or ``none`` if nothing (or another method) is stated."""
+    return "none" if not stated.lower().startswith("sha1:") else "pass" if stated[5:].upper() == digest(raw)[5:] else "fail"
+
+
+def _split(piece: bytes) -> tuple[list[tuple[str, str]], bytes, bool]:
+    """Headers in order, block, and whether the block is as long as the headers say."""
     head, _, rest = piece.partition(b"\r\n\r\n")
-    headers = {}
-    for line in head.decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
-        if colon:
-            headers[name.strip()] = value.strip()
+    parts = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n"))
+    headers = [(name.strip(), value.strip()) for name, colon, value in parts if colon]
     try:
-        n = int(headers.get("Content-Length", "0"))
+        n = int(header(headers, "Content-Length", "0"))
     except ValueError:
         n = 0
     return headers, rest[:n], len(rest) >= n
@@ -133,16 +148,17 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = held + VERSION.encode() + piece if held else piece
             headers, block, complete = _split(held)
             if complete:
-                rows.append((list(headers.items()), block))
+                rows.append((headers, block))
                 held = b""
-        names = pa.array([h for h, _ in rows], pa.map_(pa.string(), pa.string()))
-        yield pa.RecordBatch.from_arrays([names, pa.array([b for _, b in rows], pa.binary())], names=["headers", "block"])
+        named = pa.array([list(dict(h).items()) for h, _ in rows], pa.map_(pa.string(), pa.string()))
+        every = pa.array([[{"name": k, "value": v} for k, v in h] for h, _ in rows], pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))
+        yield pa.RecordBatch.from_arrays([named, every, pa.array([b for _, b in rows], pa.binary())], names=["headers", "all_headers", "block"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``headers`` (map) and ``block`` (bytes) of every record of the archives."""
+    """``headers`` (by name, of a repeated one the last), ``all_headers`` (every name and value, in order) and ``block`` (bytes) of every record of the archives."""
     pieces = spark.read.option("lineSep", VERSION).text(path)
-    return pieces.select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file")).mapInArrow(_whole, "headers map<string,string>, block binary")
+    return pieces.select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file")).mapInArrow(_whole, "headers map<string,string>, all_headers array<struct<name string, value string>>, block binary")
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -207,20 +223,24 @@ def _charset(content_type: str) -> str:
         return "utf-8"
 
 
-def derivatives(headers: dict[str, str], block: bytes, id_header: str = "X-Source-Row") -> list[tuple]:
+def derivatives(headers: dict[str, str] | list[tuple[str, str]], block: bytes, id_header: str = "X-Source-Row") -> list[tuple]:
     """The metadata and the conversion of a response, as rows of ``DERIVED``."""
+    headers = list(headers.items()) if isinstance(headers, dict) else headers
     status, http, body = http_parts(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     page = body.decode(_charset(kind), "replace") if "html" in kind or kind.startswith("text/") or not kind else ""
     title, metas, links, text = page_facts(page)
     source = next((v for k, v in http if k == id_header), None)
-    refers, payload = headers.get("WARC-Record-ID", ""), headers.get("WARC-Payload-Digest", "")
+    refers, payload = header(headers, "WARC-Record-ID"), header(headers, "WARC-Payload-Digest")
+    # A payload digest is one of the body as it was sent, before encodings are undone.
+    sent = block.partition(b"\r\n\r\n")[2]
     facts = {
         "Envelope": {
-            "WARC-Header-Metadata": headers,
+            "WARC-Header-Metadata": listed(headers),
+            "Digest-Check": {"Block": checked(header(headers, "WARC-Block-Digest"), block), "Payload": checked(payload, sent)},
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
-                    "Response-Message": status, "Headers": dict(http), "Entity-Length": len(body), "Entity-Digest": digest(body),
+                    "Response-Message": status, "Headers": listed(http), "Entity-Length": len(body), "Entity-Digest": digest(body),
                     "HTML-Metadata": {"Head": {"Title": title, "Metas": metas}, "Links": links},
                 }
             },
@@ -230,8 +250,8 @@ def derivatives(headers: dict[str, str], block: bytes, id_header: str = "X-Sourc
     for record_type, content_type, content in (("metadata", "application/json", json.dumps(facts, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", text)):
         raw = content.encode("utf-8", "replace")
         out.append((
-            source, record_id(record_type, refers, payload), record_type, refers, headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", ""), content_type,
-            len(raw), digest(raw), payload, json.dumps(headers, ensure_ascii=False, sort_keys=True), raw.decode(),
+            source, record_id(record_type, refers, payload), record_type, refers, header(headers, "WARC-Target-URI"), header(headers, "WARC-Date"), content_type,
+            len(raw), digest(raw), payload, json.dumps(listed(headers), ensure_ascii=False, sort_keys=True), raw.decode(),
         ))
     return out
 
@@ -244,9 +264,9 @@ def _derived(id_header: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = []
-            for headers, block in zip(batch.column("headers").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                named = dict(headers)
-                if named.get("WARC-Type") == "response":
+            for headers, block in zip(batch.column("all_headers").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                named = [(h["name"], h["value"]) for h in headers]
+                if header(named, "WARC-Type") == "response":
                     rows += derivatives(named, block, id_header)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], names=_NAMES)
 

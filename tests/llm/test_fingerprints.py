@@ -45,3 +45,15 @@ def test_documents_against_brute_force(docs, odd, empty, monkeypatch):
     assert fp.fingerprint_documents(empty).count() == 0
     one = odd.where("doc_id = 9")
     assert rows(fp.fingerprint_documents(one)) == brute([(r.doc_id, r.text) for r in one.collect()])
+
+
+def test_sums_of_very_many_like_paragraphs_do_not_wrap():
+    """The fingerprint of 65536 like paragraphs is not that of an empty text, and likeness does not depend on the size."""
+    one = fp.digest_sum(fp.paragraphs("a b.\n" * 65536))
+    assert fp.to_hex(one) != fp.to_hex(fp.digest_sum([]))
+    near = []
+    for n in (400, 40000):
+        text = "a b.\n" * n
+        new = fp.edited(text, "c d.\n" * n)
+        near.append(fp.likeness(*(fp.from_hex(fp.to_hex(fp.digest_sum(fp.paragraphs(t)))) for t in (text, new))))
+    assert abs(near[0] - near[1]) < 0.01 and near[0] > 0.5

@@ -56,3 +56,8 @@ def test_odd_rows(odd, empty, spark):
     assert langid.identify(empty).count() == 0
     bare = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(bare).collect()] == [("und", 0.0)]
+
+
+def test_numbers_of_other_kinds_are_no_letters():
+    assert not any(langid.has_letter(t) for t in ("", "12 _ ?", "² ½ Ⅷ ①", "x".replace("x", "_9³")))
+    assert all(langid.has_letter(t) for t in ("1 a", "²½א", "é"))

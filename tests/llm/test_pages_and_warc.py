@@ -137,3 +137,37 @@ def test_template_on_a_small_part_of_a_large_host(spark):
     rows = [(i, f"https://hot.example/{i}", f"<html><body><div>{box if i < 30 else ''}<p>Story {i} begins with words.</p><p>It goes on, number {i}.</p></div></body></html>") for i in range(3000)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {f"Story {i} begins with words.\nIt goes on, number {i}." for i in range(3000)}
+
+
+def test_articles_in_sidebars_and_words_in_class_names():
+    text = lambda page: pages.main_text(pages.read_page(page))
+    teaser = '<div class="sidebar"><article><p>Teaser</p></article></div>'
+    assert text(f"<body>{teaser}<article><h1>T</h1><p>Body text</p></article></body>") == "T\nBody text"
+    assert text(f"<body>{teaser}<main><p>Body text</p></main></body>") == "Body text"
+    assert text('<div class="content-sidebar-wrap"><article><p>only one</p></article></div>') == "only one"
+    kept = "".join(f'<div class="{c}"><p>{c}</p></div>' for c in ("ad-free-note", "notice-board", "share-price", "social-history"))
+    gone = "".join(f'<div class="{c}"><p>{c}</p></div>' for c in ("ad", "share-buttons", "ad-slot", "related-posts", "newsletter"))
+    assert text(f"<article><h1>T</h1>{kept}{gone}</article>") == "T\nad-free-note\nnotice-board\nshare-price\nsocial-history"
+
+
+def test_reading_takes_time_in_proportion():
+    """Pages made to be slow: unclosed quotes and tags, deep nesting, end tags of nothing."""
+    import time
+
+    n = 100_000
+    for page in ('<a "' * n, '<a "' * n + '>"', "<div>" * n + "x", "<div>" * n + "</section>" * n, "<!x" * n, "<" * n):
+        began = time.perf_counter()
+        read = pages.read_page(page)
+        assert time.perf_counter() - began < 30
+        assert "x" not in page[-1] or [b[1] for b in read.blocks][-1].endswith("x")
+
+
+def test_repeated_headers_and_digests():
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n<p>x</p>"
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Concurrent-To", "<urn:uuid:2>"), ("WARC-Concurrent-To", "<urn:uuid:3>"), ("WARC-Payload-Digest", warc.digest(b"<p>x</p>")), ("WARC-Block-Digest", "sha1:AAAA")]
+    headers, body, complete = warc._split(warc.build(head, block)[len(warc.VERSION) :])
+    assert complete and body == block and headers[:-1] == head
+    facts = json.loads(warc.derivatives(headers, block)[0][-1])["Envelope"]
+    assert facts["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:uuid:2>", "<urn:uuid:3>"]
+    assert facts["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"]
+    assert facts["Digest-Check"] == {"Block": "fail", "Payload": "pass"}
