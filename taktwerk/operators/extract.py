@@ -338,7 +338,7 @@ SAME_ROW = ["source_file", "day", "start_time", "end_time", "name", "instructor"
 def ingest(paragraphs: DataFrame, cells: DataFrame, layouts: DataFrame) -> DataFrame:
     """All documents by their layout (``source_file, layout``), one table with ``ord``, first of equal rows.
 
-    The order is that of the file's name and the place in it.
+    The order is that of the file's name and the place in it: ``ord`` goes on from one file to the next.
     """
     def of(df: DataFrame, layout: str) -> DataFrame:
         return df.join(layouts.where(F.col("layout") == layout).select("source_file"), "source_file", "left_semi")
@@ -351,7 +351,10 @@ def ingest(paragraphs: DataFrame, cells: DataFrame, layouts: DataFrame) -> DataF
     place = F.struct("source_file", "n")
     first = table.withColumn("_place", place)
     first = first.withColumn("_k", F.row_number().over(Window.partitionBy(*SAME_ROW).orderBy("_place"))).where("_k = 1").drop("_k", "_place")
-    return first.withColumn("ord", F.col("n")).drop("n")
+    # One row per file.
+    files = table.groupBy("source_file").agg((F.max("n") + 1).alias("_size"))
+    files = files.withColumn("_base", F.coalesce(F.sum("_size").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return first.join(files.drop("_size"), "source_file").withColumn("ord", (F.col("_base") + F.col("n")).cast("long")).drop("n", "_base")
 
 
 __all__ = ["adaptive_parts", "add_minutes", "basic", "bilingual", "carried", "dirty", "edge", "following", "grouped", "ingest", "matrix", "section", "unpivoted"]

@@ -114,8 +114,9 @@ state AS (SELECT conv_id, turn, d.v AS now_day, c.v AS now_category, p.a AS now_
 SQL = {
     "norm_text": f"SELECT doc_id, md5({_norm('text')}) AS norm_md5 FROM documents",
     "clean_placeholders": r"""
-        WITH f AS (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')) AS s FROM documents)
-        SELECT doc_id, CASE WHEN s IN ('', '—', '-', 'The.', 'Of.', 'Is.') THEN NULL ELSE s END AS first_line, s = '' AS blank FROM f""",
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+        f AS (SELECT doc_id, n, trim(regexp_replace(line, '\s+', ' ', 'g')) AS s FROM l)
+        SELECT doc_id, n, CASE WHEN s IN ('', '—', '-', 'The.', 'Of.', 'Is.') THEN NULL ELSE s END AS line, s = '' AS blank FROM f""",
     "tolerant_search": f"SELECT p_partkey, p_name, p_type FROM part WHERE {_tolerant('p_name', chr(39) + ' Red  Widget ' + chr(39))} OR {_tolerant('p_type', chr(39) + 'econ' + chr(39))}",
     "batch_search": f"{_SEARCH} SELECT request_id, ord, name, age_match, place, total FROM ranked WHERE place <= 5",
     "answer_text": f"""{_SEARCH} SELECT request_id, any_value(total) AS total, string_agg(name || ' — ' || day || ' ' || start_time || ', מרכז: ' || center_name
@@ -160,7 +161,7 @@ SQL = {
     "source_summary": """SELECT o_orderpriority AS source_file, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_cancelled, count(*) FILTER (o_orderstatus = 'P') AS n_tbd,
         count(*) FILTER (o_custkey % 4 = 0) AS n_no_instructor, count(*) FILTER (o_custkey % 5 <> 0) AS n_no_location FROM orders GROUP BY 1""",
     "key_diff": """SELECT CASE WHEN l.doc_id IS NULL THEN 'extra' WHEN d.doc_id IS NULL THEN 'missing' ELSE 'both' END AS side, coalesce(l.doc_id, d.doc_id) AS doc_id
-        FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d ON l.doc_id = d.doc_id""",
+        FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT DISTINCT doc_id FROM documents) d ON l.doc_id = d.doc_id""",
     "precision_recall": f"""WITH {_VERSIONS}, j AS (SELECT e.k AS ek, x.k AS xk FROM e FULL JOIN x ON e.k = x.k AND e.source_file = x.source_file)
         SELECT count(*) FILTER (ek IS NOT NULL AND xk IS NOT NULL) AS matched, count(*) FILTER (xk IS NULL) AS missing, count(*) FILTER (ek IS NULL) AS extra,
                (count(*) FILTER (ek IS NOT NULL AND xk IS NOT NULL))::double / count(ek) AS recall, (count(*) FILTER (ek IS NOT NULL AND xk IS NOT NULL))::double / count(xk) AS precision FROM j""",
@@ -183,7 +184,7 @@ SQL = {
         SELECT doc_id, n::bigint AS n, md5(nxt) AS next_md5 FROM a WHERE length(text) < 40 AND length(nxt) > 200""",
     "matrix_unpivot": "SELECT strftime(ts, '%a') AS weekday, strftime(ts, '%H') AS hour, count(*) AS n FROM events GROUP BY ALL",
     "named_columns": "SELECT o_orderkey, o_orderstatus AS state, o_orderpriority AS priority, o_custkey::varchar AS who FROM orders",
-    "adaptive_split": rf"""WITH {_LINES}, s AS (SELECT doc_id, n, CASE WHEN contains(text, '|') THEN string_split(text, '|') WHEN contains(text, ',') THEN string_split(text, ',') ELSE string_split_regex(text, '\s+[–-]\s+|\s{{2,}}') END AS p FROM lines WHERE length(text) < 200),
+    "adaptive_split": rf"""WITH {_LINES}, s AS (SELECT doc_id, n, CASE WHEN contains(text, '|') THEN string_split(text, '|') WHEN contains(text, ',') THEN string_split(text, ',') ELSE string_split_regex(text, '\s+[–-]\s+|\s{{2,}}') END AS p FROM lines),
         q AS (SELECT doc_id, n, list_filter(list_transform(p, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x NOT IN ('', '—', '-')) AS p FROM s)
         SELECT doc_id, n::bigint AS n, len(p)::bigint AS n_parts, p[1] AS head FROM q""",
     "regex_fields": """WITH h AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)
@@ -196,8 +197,9 @@ SQL = {
         CASE WHEN turn > 1 THEN '7:00' WHEN turn % 3 = 1 THEN '9:30' END AS start_after FROM conversations""",
     "routes": f"""WITH {_MESSAGES} SELECT CASE WHEN conv_id % 9 = 0 OR trim(text) = '' OR turn = 5 THEN 'clarify' WHEN turn % 2 = 1 THEN CASE WHEN intent = 'activity' THEN 'search' ELSE 'clarify' END
         WHEN intent = 'activity' AND confident THEN 'search' ELSE 'fallback' END AS route, count(*) AS n FROM m GROUP BY 1""",
-    "lexicon_slots": r"""WITH lex AS (SELECT DISTINCT (n_nationkey % 3)::varchar AS slot, ['the', 'and', 'that', 'der', 'que', 'con', 'les', 'und', 'with'][n_nationkey % 9 + 1] AS variant FROM nation),
-        tok AS (SELECT DISTINCT conv_id, turn, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS token FROM conversations)
+    "lexicon_slots": r"""WITH lex AS (SELECT DISTINCT (n_nationkey % 3)::varchar AS slot, ['the', 'and', 'that', 'der', 'que', 'con', 'les', 'und', 'with', 'of the', 'and the', 'in the'][n_nationkey % 12 + 1] AS variant FROM nation),
+        w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM conversations),
+        tok AS (SELECT DISTINCT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM w)
         SELECT conv_id, turn, slot, upper(max_by(variant, (length(variant), variant))) AS canonical FROM tok JOIN lex ON token = variant GROUP BY conv_id, turn, slot""",
     "conv_labels": rf"""WITH c AS (SELECT conv_id, turn, text, {_norm('text')} AS t FROM conversations)
         SELECT conv_id, turn, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[\p{{L}}\p{{N}}]') THEN 'symbols' WHEN contains(t, 'thank') OR contains(t, 'stop') THEN 'stop' ELSE 'message' END AS label,

@@ -39,8 +39,8 @@ def norm_text(spark, sf):
 
 
 def clean_placeholders(spark, sf):
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    return _table(spark, sf, "documents").select("doc_id", tx.clean_text(first, ["The.", "Of.", "Is."]).alias("first_line"), tx.is_blank(first).alias("blank"))
+    lines = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select("doc_id", F.col("n").cast("long").alias("n"), tx.clean_text(F.col("line"), ["The.", "Of.", "Is."]).alias("line"), tx.is_blank(F.col("line")).alias("blank"))
 
 
 def tolerant_search(spark, sf):
@@ -204,7 +204,7 @@ def _versions(spark, sf):
 
 
 def key_diff(spark, sf):
-    labels, docs = _table(spark, sf, "labels").withColumn("ord", F.col("doc_id")), _table(spark, sf, "documents").where("doc_id % 3 <> 0").withColumn("ord", F.col("doc_id"))
+    labels, docs = _table(spark, sf, "labels").withColumn("ord", F.col("doc_id")), _table(spark, sf, "documents").withColumn("ord", F.col("doc_id"))
     return rows.compared(labels, docs, ["doc_id"], []).select("side", "doc_id")
 
 
@@ -285,7 +285,7 @@ def named_columns(spark, sf):
 
 
 def adaptive_split(spark, sf):
-    lines = _lines(spark, sf).where((F.length("text") > 0) & (F.length("text") < 200))
+    lines = _lines(spark, sf).where(F.length("text") > 0)
     parts = extract.adaptive_parts(F.col("text"))
     return lines.select(F.col("source_file").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n"), F.size(parts).cast("long").alias("n_parts"), F.get(parts, F.lit(0)).alias("head"))
 
@@ -337,7 +337,7 @@ def routes(spark, sf):
 
 
 def lexicon_slots(spark, sf):
-    lex = _table(spark, sf, "nation").select((F.col("n_nationkey") % 3).cast("string").alias("slot"), F.element_at(F.array(*[F.lit(w) for w in ("the", "and", "that", "der", "que", "con", "les", "und", "with")]), (F.col("n_nationkey") % 9 + 1).cast("int")).alias("variant"))
+    lex = _table(spark, sf, "nation").select((F.col("n_nationkey") % 3).cast("string").alias("slot"), F.element_at(F.array(*[F.lit(w) for w in ("the", "and", "that", "der", "que", "con", "les", "und", "with", "of the", "and the", "in the")]), (F.col("n_nationkey") % 12 + 1).cast("int")).alias("variant"))
     lex = lex.distinct().withColumn("canonical", F.upper("variant"))
     found = messages.lexicon_slots(_table(spark, sf, "conversations"), ["conv_id", "turn"], lex)
     return found.select("conv_id", "turn", "slot", "canonical")
@@ -404,7 +404,11 @@ def json_fields(spark, sf):
 
 def _stream(spark: SparkSession, sf: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over a table's files until all is read, and read what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     path = f"{base.rstrip('/')}/taktwerk/stream-{uuid.uuid4().hex}"
     schema = _table(spark, sf, name).schema
     source = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")

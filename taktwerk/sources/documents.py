@@ -168,6 +168,10 @@ def json_table(spark: SparkSession, path: str, schema: str, required: bool = Tru
                 return spark.createDataFrame([], schema)
             raise
     reader = spark.read.schema(schema)
+    if not corrupt:
+        whole = spark.read.option("wholetext", True).text(path)
+        if not whole.where(~F.regexp_like("value", F.lit(r"^[\s\uFEFF]*\["))).isEmpty():
+            raise ValueError(f"{path} holds no array of records")
     reader = reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader.option("multiLine", True).option("mode", "FAILFAST")
     return reader.json(path)
 

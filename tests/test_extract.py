@@ -85,6 +85,23 @@ def test_rows_of_all_layouts(table):
     assert got == sorted(EXPECTED, key=repr)
 
 
+def test_order_over_all_documents(table):
+    got = table.select("source_file", "ord").orderBy("ord").collect()
+    assert [r.source_file for r in got] == sorted(r.source_file for r in got)
+    per_file = {}
+    for r in got:
+        per_file.setdefault(r.source_file, []).append(r.ord)
+    assert all(max(a) < min(b) for a, b in zip(list(per_file.values()), list(per_file.values())[1:]))
+
+
+def test_json_that_is_no_array(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}')
+    (tmp_path / "b.json").write_text(' [{"a": 1}, {"a": 2}]')
+    with pytest.raises(ValueError):
+        documents.json_table(spark, str(tmp_path / "a.json"), "a int")
+    assert sorted(r.a for r in documents.json_table(spark, str(tmp_path / "b.json"), "a int").collect()) == [1, 2]
+
+
 def test_details(table):
     by_name = {(r.center_name, r.name, r.start_time): r for r in table.collect()}
     edge = by_name["מרכז ו", "קפוארה גילאי 6-9", "18:00"]

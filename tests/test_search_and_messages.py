@@ -131,6 +131,13 @@ def test_message_rules(spark):
         assert {k: got[n][k] for k in want} == want, text
 
 
+def test_lexicon_with_names_of_several_words(spark):
+    msgs = spark.createDataFrame([(1, "Lessons at the North  Pool, today"), (2, "the pool"), (3, "north of the pool"), (4, None), (5, "nort pool")], "id long, text string")
+    lex = spark.createDataFrame([("centre", "north pool", "North Pool"), ("centre", "pool", "Pool"), ("centre", "", "none")], "slot string, variant string, canonical string")
+    assert {r.id: r.canonical for r in messages.lexicon_slots(msgs, ["id"], lex).collect()} == {1: "North Pool", 2: "Pool", 3: "Pool", 5: "Pool"}
+    assert {r.id for r in messages.lexicon_slots(msgs, ["id"], lex.where("variant = 'north pool'"), near=True).collect()} == {1, 5}
+
+
 def test_lexicon_with_misspellings(spark):
     msgs = spark.createDataFrame([(1, "פילאטיס ביום רבעי"), (2, "פלאטיס"), (3, "כדור")], "id int, text string")
     lex = spark.createDataFrame([("day", "רביעי", "רביעי"), ("category", "פילאטיס", "pilates")], "slot string, variant string, canonical string")
