@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taktwerk.llm.common import materialize, merged, packed, scratch, sliced, unpacked, with_text
@@ -471,15 +471,20 @@ def _shingle_sets(size: int):
     return run
 
 
+def _enough(shared: Column, similarity: float) -> Column:
+    """Whether texts (``x_n, x_last, y_n, y_last``) can have the similarity if they share at most ``shared`` shingles in
+    the prefixes of both: what else they share lies behind the prefix that ends first."""
+    behind = F.when(F.col("x_last") <= F.col("y_last"), F.col("x_n") - prefix_size(F.col("x_n"), similarity)).otherwise(F.col("y_n") - prefix_size(F.col("y_n"), similarity))
+    return (shared + behind) * (1 + similarity) >= similarity * (F.col("x_n") + F.col("y_n")) - 1e-6
+
+
 def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of pairs ``x, y, shared`` those whose texts can have the similarity if ``shared`` is the number of
-    shingles in the prefixes of both: what else they share lies behind the prefix that ends first."""
+    shingles in the prefixes of both."""
     for side in ("x", "y"):
         pairs = merged(pairs, texts.select(F.col("hash").alias(side), F.col("n").alias(f"{side}_n"), F.col("last").alias(f"{side}_last")), side)
-    behind = F.when(F.col("x_last") <= F.col("y_last"), F.col("x_n") - prefix_size(F.col("x_n"), similarity)).otherwise(F.col("y_n") - prefix_size(F.col("y_n"), similarity))
     least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    enough = (F.col("shared") + behind) * (1 + similarity) >= similarity * (F.col("x_n") + F.col("y_n")) - 1e-6
-    return pairs.where((least >= similarity * most - 1e-6) & enough).select("x", "y")
+    return pairs.where((least >= similarity * most - 1e-6) & _enough(F.col("shared"), similarity)).select("x", "y")
 
 
 def _most(held: str, similarity: float) -> Column:
@@ -488,6 +493,16 @@ def _most(held: str, similarity: float) -> Column:
     return F.floor(others * (1 + similarity) / similarity + 1e-6) - F.col("n")
 
 
+def _shared_keys(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``shared`` of pairs ``x, y``: how many of the first shingles (rows ``key, hash``) both texts have."""
+    ends = pairs.select(F.col("x").alias("hash")).unionByName(pairs.select(F.col("y").alias("hash"))).distinct()
+    # A text's keys are fewer than its words.
+    keys = materialize(merged(rows.select("key", "hash"), ends, "hash").groupBy("hash").agg(F.collect_list("key").alias("keys")), "prefix-keys")
+    one = merged(pairs, keys.select(F.col("hash").alias("x"), F.col("keys").alias("p")), "x")
+    both = merged(one, keys.select(F.col("hash").alias("y"), F.col("keys").alias("q")), "y")
+    return both.select("x", "y", F.size(F.array_intersect("p", "q")).alias("shared"))
+
+
 def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
 
@@ -551,16 +566,21 @@ def similar_links(own: DataFrame, first: DataFrame, size: int = WORDS, similarit
         rows = keep(merged(rows, tree, rows["hash"] == tree["node"], "left").select("key", "hash", "n", F.coalesce("root", "hash").alias("comp")), "prefix-components")
     with scratch(spark) as keep:
         # Texts under a shingle that are all in one component need no further link; of two in different ones, one is not in the first.
-        live = rows.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("most")).where("main <> most")
-        rows = materialize(merged(rows, materialize(live.select("key", "main"), "open-keys"), "key"), "open-prefixes")
-        held = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("held"))
-        rows = materialize(merged(rows, held, "hash").withColumn("most", _most("held", similarity)).where(F.col("most") >= similarity * F.col("n") - 1e-6), "possible-prefixes")
-        left = rows.where("comp <> main").select("key", F.col("hash").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("most").alias("x_most"))
-        right = rows.select("key", F.col("hash").alias("y"), F.col("comp").alias("y_comp"), F.col("n").alias("y_n"), F.col("most").alias("y_most"), "main")
-        # Each pair comes once under each shingle that both share.
+        live = rows.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("many")).where("main <> most")
+        rows = materialize(merged(rows, materialize(live.select("key", "main", "many"), "open-keys"), "key"), "open-prefixes")
+        held = merged(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("held")), texts.select("hash", "last"), "hash")
+        rows = merged(rows, held, "hash").withColumn("most", _most("held", similarity)).where(F.col("most") >= similarity * F.col("n") - 1e-6)
+        # The shingles of a text from this one on, those that fewest texts hold first: the first one that two texts
+        # share has all others that they share behind it in both, so they meet only where enough are left.
+        rest = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("many"), F.desc("key")))
+        rows = materialize(rows.withColumn("rest", rest), "possible-prefixes")
+        side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("comp", "n", "last", "most", "rest")]
+        left = rows.where("comp <> main").select("key", F.col("hash").alias("x"), *side("x"))
+        right = rows.select("key", F.col("hash").alias("y"), *side("y"), "main")
         pairs = merged(left, right, "key").where("x_comp <> y_comp and (y_comp = main or x < y)")
-        pairs = pairs.where((F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most"))).select("x", "y")
-        links = _possible(_counted(pairs), texts, similarity)
+        pairs = pairs.where((F.col("x_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("x_most")) & _enough(F.least("x_rest", "y_rest"), similarity))
+        pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "meeting-pairs")
+        links = _possible(_shared_keys(pairs, rows), texts, similarity)
         return found.unionByName(keep(_verified(links, own, first, size, similarity), "verified-links"))
 
 
