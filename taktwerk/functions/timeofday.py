@@ -12,7 +12,7 @@ from taktwerk.functions.text import clean_text, mapped
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(c, pattern, group), F.lit("")), F.lit("9999")).cast("int")
+    return F.regexp_extract(c, pattern, group).try_cast("int")
 
 
 def _clock(hour: Column, minute: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from taktwerk.plans import layouts
+
 _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 
 
@@ -224,6 +226,7 @@ SQL = {
         SELECT request_id, count(*) AS n, sum(ord)::bigint AS total FROM acts JOIN q ON status IS NULL AND contains(lower(day), d) AND {_AGE.format(age='q.age')} <> 'no_match' GROUP BY 1""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
 }
+SQL["stream_messages"] = SQL["message_rules"]
 _CASES = f"""{_SEARCH}, n AS (SELECT request_id, count(*) AS c FROM found GROUP BY 1),
     e AS (SELECT q.request_id AS id, coalesce(c, 0) AS result_count,
         (CASE WHEN q.request_id % 3 = 0 AND q.day IS DISTINCT FROM 'economy' THEN 1 ELSE 0 END + CASE WHEN q.request_id % 2 = 0 AND NOT contains(lower(trim(coalesce(q.category, ''))), 'red') THEN 1 ELSE 0 END
@@ -234,4 +237,4 @@ SQL["eval_score"] = f"""{_CASES} SELECT count(*) AS total, count(*) FILTER (n_fa
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | layouts.SQL

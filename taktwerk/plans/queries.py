@@ -13,6 +13,7 @@ from taktwerk.functions import text as tx
 from taktwerk.functions import timeofday as td
 from taktwerk.functions.ages import age_bound, age_status, certainty, strict_int
 from taktwerk.operators import conversation, evalcases, extract, messages, quality, rows, search
+from taktwerk.plans import layouts
 from taktwerk.sources.documents import lines_of
 from taktwerk.streaming import jobs
 
@@ -309,8 +310,7 @@ def audience_rule(spark, sf):
     return rows.looked_up(p.withColumn("kind", F.lit("other")), "p_name", table, "name", "audience", "found").select("p_partkey", F.when(F.col("found") == F.col("p_name"), "other").otherwise(F.col("found")).alias("audience"))
 
 
-def _messages(spark, sf):
-    c = _table(spark, sf, "conversations")
+def _understood_from(c):
     return c.select(
         "conv_id", "turn", "text", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 7).cast("int")).alias("msg_date"), F.lit("other").alias("intent"), F.lit(False).alias("confident"),
         F.when(F.col("turn") % 2 == 0, "Mon").when(F.col("turn") % 3 == 0, "Wed").alias("day"), F.when(F.col("turn") % 3 == 1, "9:30").alias("start_after"), F.when(F.col("turn") % 3 == 1, "25:00").alias("start_before"),
@@ -318,6 +318,10 @@ def _messages(spark, sf):
     )
 
 
+def _messages(spark, sf):
+    return _understood_from(_table(spark, sf, "conversations"))
+
+
 def message_rules(spark, sf):
     out = messages.understand(_messages(spark, sf), WORDS)
     return out.select("conv_id", "turn", "intent", "confident", "target_audience", "day", "start_after", "start_before", "center_name", "location", "branch", "instructor")
@@ -444,6 +448,11 @@ def stream_validate(spark, sf):
     return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
 
 
+def stream_messages(spark, sf):
+    found = _stream(spark, sf, "conversations", lambda s: jobs.understand_stream(_understood_from(s), WORDS))
+    return found.select("conv_id", "turn", "intent", "confident", "target_audience", "day", "start_after", "start_before", "center_name", "location", "branch", "instructor")
+
+
 def stream_search(spark, sf):
     acts = _parts_as_activities(spark, sf)
 
@@ -464,7 +473,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         norm_text, clean_placeholders, tolerant_search, batch_search, answer_text, age_summaries, single_search, time_window, daypart_join, weekday_name, add_minutes, time_forms, infer_end,
         range_status, certainty_rank, page, dedup_first, dedup_last, dup_groups, profile, violations, verdict, source_summary, key_diff, precision_recall, field_mismatch, set_ops,
         lookup_default, locations, doc_lines, header_carry, gate, lookahead, matrix_unpivot, named_columns, adaptive_split, regex_fields, display_line, audience_rule, message_rules,
-        merge_candidates, routes, lexicon_slots, conv_labels, conv_state, known_slots, paging_sessions, eval_cases, eval_score, json_fields, stream_state, stream_validate, stream_search,
+        merge_candidates, routes, lexicon_slots, conv_labels, conv_state, known_slots, paging_sessions, eval_cases, eval_score, json_fields, stream_state, stream_validate, stream_messages, stream_search,
         stream_dedup,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | layouts.queries()
