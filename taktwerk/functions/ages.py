@@ -21,7 +21,11 @@ def strict_int(c: Column) -> Column:
 
 def age_status(low: Column, high: Column, age: Column) -> Column:
     """``unknown`` without bounds, ``no_match`` outside of them, else ``match``; null without an age."""
-    lo, hi = age_bound(low), age_bound(high)
+    return bound_status(age_bound(low), age_bound(high), age)
+
+
+def bound_status(lo: Column, hi: Column, age: Column) -> Column:
+    """:func:`age_status` of bounds that are whole numbers already."""
     known = F.when(lo.isNull() & hi.isNull(), "unknown").when((age < lo) | (age > hi), "no_match").otherwise("match")
     return F.when(age.isNotNull(), known)
 

@@ -47,6 +47,11 @@ def tolerant_match(value: Column, wanted: Column) -> Column:
     return F.when(wanted.isNull(), F.lit(True)).when(value.isNull(), F.lit(False)).otherwise(F.contains(v, w) | F.contains(w, v))
 
 
+def form_match(value: Column, wanted: Column) -> Column:
+    """:func:`tolerant_match` of texts that are in search form already, or null."""
+    return F.when(wanted.isNull(), F.lit(True)).when(value.isNull(), F.lit(False)).otherwise(F.contains(value, wanted) | F.contains(wanted, value))
+
+
 def any_in(text: Column, words: list[str]) -> Column:
     """Whether the text holds one of the words."""
     out = F.lit(False)

@@ -68,11 +68,14 @@ def time_range(c: Column) -> Column:
 
 def seconds_of(c: Column) -> Column:
     """Seconds of the day of ``H:M``, ``H:M:S``, a timestamp's text, or a text that begins with a time; else null."""
-    t = F.trim(c.cast("string"))
-    t = F.regexp_replace(t, r"^\d{4}-\d{2}-\d{2}[ T]", "")
-    head = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?"
-    h, m, s = _part(t, head, 1), _part(t, head, 2), F.coalesce(_part(t, head, 3), F.lit(0))
-    return F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s)
+    head = r"^(?:\d{4}-\d{2}-\d{2}[ T])?(\d{1,2}:\d{1,2}(?::\d{1,2})?)"
+
+    def of(parts: Column) -> Column:
+        h, m = (F.get(parts, F.lit(k)).try_cast("int") for k in (0, 1))
+        s = F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0))
+        return F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s)
+
+    return _let(F.split(F.regexp_extract(F.trim(c.cast("string")), head, 1), ":"), of)
 
 
 def strict_seconds(c: Column) -> Column:

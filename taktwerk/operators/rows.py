@@ -115,10 +115,9 @@ def duration_rules(spark, rows: list[tuple] | None = None) -> DataFrame:
 
 def with_dayparts(df: DataFrame, time: Column, parts: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """A row for every daypart in which the time lies, both ends included; ``daypart`` is its label."""
-    found = F.array_compact(F.array(*[
-        F.when(seconds_of(time).between(int(lo[:2]) * 3600 + int(lo[3:]) * 60, int(hi[:2]) * 3600 + int(hi[3:]) * 60), F.lit(label)) for label, lo, hi in parts or rules.DAYPARTS
-    ]))
-    return df.withColumn("daypart", F.explode(found))
+    bound = lambda t: int(t[:2]) * 3600 + int(t[3:]) * 60
+    found = F.array_compact(F.array(*[F.when(F.col("_at").between(bound(lo), bound(hi)), F.lit(label)) for label, lo, hi in parts or rules.DAYPARTS]))
+    return df.withColumn("_at", seconds_of(time)).withColumn("daypart", F.explode(found)).drop("_at")
 
 
 def daypart_of(after: Column, before: Column) -> Column:

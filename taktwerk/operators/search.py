@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taktwerk.functions import rules
-from taktwerk.functions.ages import age_bound, age_status, certainty
-from taktwerk.functions.text import search_form, tolerant_match
-from taktwerk.functions.timeofday import at_or_after, at_or_before
+from taktwerk.functions.ages import age_bound, age_status, bound_status, certainty
+from taktwerk.functions.text import form_match, search_form, tolerant_match
+from taktwerk.functions.timeofday import at_or_after, at_or_before, seconds_of
 
 #: Filters that are compared as text, with the activity's column of the same name.
 TEXT_FILTERS = ["day", "location", "target_audience", "center_name", "branch", "instructor"]
@@ -59,6 +59,44 @@ def conditions(row: dict[str, Column], want: dict[str, Column], with_cancelled:
     return ok
 
 
+def _prepared(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns as the join compares them, each row's once: texts in search form, times in seconds, ages in years.
+
+    A blank filter becomes null, as it lets every row pass; a bound that is no time becomes one that none meets.
+    """
+    made = {}
+    for c in columns:
+        if c == "start_time":
+            made[c] = seconds_of(F.col(c))
+        elif c in ("start_after", "start_before"):
+            made[c] = F.when(_present(F.col(c)), F.coalesce(seconds_of(F.col(c)), F.lit(-1 if c == "start_before" else 86_400)))
+        elif c in ("min_age", "max_age"):
+            made[c] = age_bound(F.col(c))
+        elif c in ("age", "status"):
+            made[c] = F.col(c)
+        else:
+            made[c] = F.when(F.col(c).isNotNull(), search_form(F.col(c)))
+    return df.select("*", *[v.alias(f"_f_{c}") for c, v in made.items()]), {c: f"_f_{c}" for c in made}
+
+
+def _prepared_conditions(row: dict[str, Column], want: dict[str, Column], with_cancelled: bool = False) -> Column:
+    """:func:`conditions` on columns of :func:`_prepared`."""
+    asked = lambda f: want[f].isNotNull() & (want[f] != "")
+    ok = F.lit(True) if with_cancelled else ~row["status"].eqNullSafe(F.lit("cancelled"))
+    if "category" in want:
+        ok = ok & (~asked("category") | form_match(row["category"], want["category"]) | form_match(row["name"], want["category"]) | form_match(row["english_name"], want["category"]))
+    if "age" in want:
+        ok = ok & (F.coalesce(bound_status(row["min_age"], row["max_age"], want["age"]), F.lit("match")) != "no_match")
+    if "start_after" in want:
+        ok = ok & (want["start_after"].isNull() | F.coalesce(row["start_time"] >= want["start_after"], F.lit(False)))
+    if "start_before" in want:
+        ok = ok & (want["start_before"].isNull() | F.coalesce(row["start_time"] <= want["start_before"], F.lit(False)))
+    for f in TEXT_FILTERS:
+        if f in want:
+            ok = ok & (~asked(f) | form_match(row[f], want[f]))
+    return ok
+
+
 def search(activities: DataFrame, with_cancelled: bool = False, **filters) -> DataFrame:
     """One request: its rows, the age status if an age is asked for, in order of certainty and ingestion."""
     row = {c: activities[c] for c in activities.columns}
@@ -80,21 +118,22 @@ def search_many(activities: DataFrame, requests: DataFrame, with_cancelled: bool
     at most ``MOST_DAYS``, and the join is one of equals on the day.  All other requests are a stated set that
     is counted and met with all rows in blocks of ``BROADCAST_REQUESTS``.
     """
+    compared = ["name", "category", "english_name", "min_age", "max_age", "status", "start_time", *TEXT_FILTERS]
+    shown_columns = activities.columns
+    activities, own = _prepared(activities, [c for c in compared if c in shown_columns])
+    requests, asked = _prepared(requests, [c for c in rules.SEARCH_FIELDS if c in requests.columns])
     a, q = activities.alias("a"), requests.alias("q")
-    row = {c: F.col(f"a.{c}") for c in activities.columns}
-    for c in ("category", "english_name", "min_age", "max_age", "status", "start_time", *TEXT_FILTERS):
-        row.setdefault(c, F.lit(None).cast("string"))
-    want = {c: F.col(f"q.{c}") for c in requests.columns if c != "request_id"}
+    row = {c: F.col(f"a.{own[c]}") if c in own else F.lit(None).cast("int" if c in ("min_age", "max_age", "start_time") else "string") for c in compared}
+    want = {c: F.col(f"q.{f}") for c, f in asked.items()}
     age = want.get("age", F.lit(None).cast("int"))
-    shown = [F.col("q.request_id"), *[F.col(f"a.{c}") for c in activities.columns], age_status(row["min_age"], row["max_age"], age).alias("age_match")]
+    shown = [F.col("q.request_id"), *[F.col(f"a.{c}") for c in shown_columns], bound_status(row["min_age"], row["max_age"], age).alias("age_match")]
     rest = {k: v for k, v in want.items() if k != "day"}
     parts = []
     days = activities.select("day").distinct() if "day" in want else None
     if days is not None and days.limit(MOST_DAYS + 1).count() <= MOST_DAYS:
         days = days.alias("d")
-        asked = requests.where(_present(F.col("day"))).alias("q")
-        tied = asked.join(F.broadcast(days), tolerant_match(F.col("d.day"), F.col("q.day"))).select("q.*", F.col("d.day").alias("on_day")).alias("q")
-        parts.append(a.join(tied, F.col("a.day") == F.col("q.on_day")).where(conditions(row, rest, with_cancelled)).select(*shown))
+        tied = requests.where(_present(F.col("day"))).alias("q").join(F.broadcast(days), tolerant_match(F.col("d.day"), F.col("q.day"))).select("q.*", F.col("d.day").alias("on_day")).alias("q")
+        parts.append(a.join(tied, F.col("a.day") == F.col("q.on_day")).where(_prepared_conditions(row, rest, with_cancelled)).select(*shown))
         open_day = requests.where(~F.coalesce(_present(F.col("day")), F.lit(False)))
     else:
         open_day, rest = requests, want
@@ -102,7 +141,7 @@ def search_many(activities: DataFrame, requests: DataFrame, with_cancelled: bool
     blocks = max(0 if parts else 1, -(-n // BROADCAST_REQUESTS))
     for k in range(blocks):
         block = open_day if blocks == 1 else open_day.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == k)
-        parts.append(a.join(F.broadcast(block.alias("q")), conditions(row, rest, with_cancelled)).select(*shown))
+        parts.append(a.join(F.broadcast(block.alias("q")), _prepared_conditions(row, rest, with_cancelled)).select(*shown))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
