@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taktwerk.llm import mixing, quality
+from taktwerk.llm import mixing, quality, urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -96,5 +96,42 @@ FROM z
 """
 
 
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+
+OP11 = f"""
+WITH a AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+c AS (SELECT rid, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+r(verdict, h, p) AS (VALUES {_RULES})
+SELECT page_id, host, path, h || p AS rule, coalesce(verdict, '{urls.DEFAULT}') AS verdict
+FROM c LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h) DESC, length(p) DESC) = 1
+"""
+
+#: The CRC-32 of a text of plain characters, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::bigint)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+                  len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint AS words FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({{'id': id, 'words': words}} ORDER BY turn NULLS FIRST, id) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT *, {_CRC.format(x='conv_id::varchar')} % 4 AS h FROM s),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+      FROM h LEFT JOIN s b ON b.conv_id = h.conv_id - (h.conv_id % 20 + 20) % 20),
+p AS (SELECT conv_id, len(turns) AS n, d, CASE WHEN d > 0 THEN turns[d].words ELSE 0 END AS w,
+             coalesce(array_to_string(list_transform(turns[1:d], lambda x: x.id), ''), '') AS k
+      FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+node AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends FROM p GROUP BY k, d),
+kids AS (SELECT left(k, (d - 1) * 64) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+below AS (SELECT left(k, i * 64) AS k, count(*) FILTER (WHERE leaf) AS n_leaves, sum((n - 1) * w) AS saved
+          FROM (SELECT node.*, kids.n IS NULL AS leaf, unnest(range(0, d + 1)) AS i FROM node LEFT JOIN kids ON node.k = kids.k) GROUP BY 1)
+SELECT a.conv_id, a.d::bigint AS depth, u.conv_id AS parent_conv_id, a.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       below.n_leaves, below.saved::bigint AS saved_tokens, a.ends AS ends_sha256
+FROM node a JOIN below ON a.k = below.k LEFT JOIN kids ON a.k = kids.k LEFT JOIN node u ON a.d > 0 AND u.k = left(a.k, (a.d - 1) * 64)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7, "op9_quality_rules": OP9}
+    return {"op7_mixing": OP7, "op9_quality_rules": OP9, "op11_url_rules": OP11, "op12_prefix_trie": OP12}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taktwerk.llm import elias_fano, fingerprints, langid, mixing, packing, pages, quality, simhash, suffixes, warc
+from taktwerk.llm import elias_fano, fingerprints, langid, mixing, packing, pages, quality, repair, simhash, suffixes, trie, urls, warc
 from taktwerk.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_tree(trie.branched(trie.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
@@ -62,4 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_quality_rules": op9_quality_rules,
         "op10_fingerprints": op10_fingerprints,
+        "op11_url_rules": op11_url_rules,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_repair": op13_repair,
     }
