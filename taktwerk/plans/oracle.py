@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import layouts
+from taktwerk.plans import chats, layouts
 
 _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 
@@ -101,7 +101,7 @@ m AS (SELECT conv_id, turn, text, intent, intent = 'activity' AS confident,
 """
 
 _TURNS = f"""
-t0 AS (SELECT conv_id, turn, {_norm('text')} AS t FROM conversations),
+t0 AS (SELECT conv_id, turn, length(text) AS len, {_norm('text')} AS t FROM conversations),
 t1 AS (SELECT *, CASE WHEN contains(t, 'ation') AND turn > 0 THEN 1 ELSE 0 END AS fresh, contains(t, 'the') AS no_day, contains(t, 'und') AS no_time, contains(t, 'eau') AS no_cat,
     CASE WHEN contains(t, 'er') THEN 'd' || turn END AS day, CASE WHEN contains(t, 'ou') THEN 'c' || turn END AS category,
     CASE WHEN contains(t, 'st') THEN 'a' || turn END AS sa, CASE WHEN contains(t, 'ei') THEN 'b' || turn END AS sb FROM t0),
@@ -226,6 +226,7 @@ SQL = {
         SELECT request_id, count(*) AS n, sum(ord)::bigint AS total FROM acts JOIN q ON status IS NULL AND contains(lower(day), d) AND {_AGE.format(age='q.age')} <> 'no_match' GROUP BY 1""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
 }
+SQL["chat_sessions"] = SQL["stream_sessions"] = chats.sessions_sql(_TURNS[: _TURNS.index("t2 AS")].rstrip().rstrip(","))
 SQL["stream_messages"] = SQL["message_rules"]
 _CASES = f"""{_SEARCH}, n AS (SELECT request_id, count(*) AS c FROM found GROUP BY 1),
     e AS (SELECT q.request_id AS id, coalesce(c, 0) AS result_count,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,11 @@ from taktwerk.functions import text as tx
 from taktwerk.functions import timeofday as td
 from taktwerk.functions.ages import age_bound, age_status, certainty, strict_int
 from taktwerk.operators import conversation, evalcases, extract, messages, quality, rows, search
-from taktwerk.plans import layouts
+from taktwerk.plans import chats, layouts
+from taktwerk.plans.common import CLEAR, STOP, slots_of
+from taktwerk.plans.common import SLOTS as _SLOTS
+from taktwerk.plans.common import streamed as _stream
+from taktwerk.plans.common import table as _table
 from taktwerk.sources.documents import lines_of
 from taktwerk.streaming import jobs
 
@@ -24,11 +26,6 @@ WORDS = messages.Words(
     dayparts=[("morning", ["ered"], ["with"]), ("noon", ["ande"], ["de", "von"]), ("evening", ["ment"], ["un"]), ("night", ["keit"], ["ist"])],
     audiences=[("mixed", ["schen"]), ("women", ["elle"]), ("families", ["esth"])], no_centers=["the", "la"], branch="in",
 )
-STOP, CLEAR = ["thank", "stop"], [("day", ["the"]), ("time", ["und"]), ("category", ["eau"])]
-
-
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def _clock(ts) -> object:
@@ -355,26 +352,19 @@ def conv_labels(spark, sf):
     return c.select("conv_id", "turn", kinds.alias("label"), F.array_join(cleared, ",").alias("cleared"), may.alias("follow_up"), F.md5(tx.edge_stripped(tx.search_form(F.col("text")))).alias("core_md5"))
 
 
-def _turns(spark, sf):
-    c = _table(spark, sf, "conversations")
+def _turns(rows):
     t = tx.search_form(F.col("text"))
-    return c.select(
-        "conv_id", "turn", (F.contains(t, F.lit("ation")) & (F.col("turn") > 0)).alias("new_query"), conversation.cleared_fields(F.col("text"), CLEAR).alias("cleared"),
-        F.when(F.contains(t, F.lit("er")), F.concat(F.lit("d"), F.col("turn").cast("string"))).alias("day"), F.when(F.contains(t, F.lit("ou")), F.concat(F.lit("c"), F.col("turn").cast("string"))).alias("category"),
-        F.when(F.contains(t, F.lit("st")), F.concat(F.lit("a"), F.col("turn").cast("string"))).alias("start_after"), F.when(F.contains(t, F.lit("ei")), F.concat(F.lit("b"), F.col("turn").cast("string"))).alias("start_before"),
-    )
-
-
-_SLOTS = ["day", "category", "start_after", "start_before"]
+    fresh = F.contains(t, F.lit("ation")) & (F.col("turn") > 0)
+    return rows.select("conv_id", "turn", fresh.alias("new_query"), conversation.cleared_fields(F.col("text"), CLEAR).alias("cleared"), *slots_of(t))
 
 
 def conv_state(spark, sf):
-    out = conversation.carried_state(_turns(spark, sf), _SLOTS, new_query=F.col("new_query"), cleared=F.col("cleared"))
+    out = conversation.carried_state(_turns(_table(spark, sf, "conversations")), _SLOTS, new_query=F.col("new_query"), cleared=F.col("cleared"))
     return out.select("conv_id", "turn", *[f"now_{s}" for s in _SLOTS])
 
 
 def known_slots(spark, sf):
-    out = conversation.carried_state(_turns(spark, sf), _SLOTS, new_query=F.col("new_query"), cleared=F.col("cleared"))
+    out = conversation.carried_state(_turns(_table(spark, sf, "conversations")), _SLOTS, new_query=F.col("new_query"), cleared=F.col("cleared"))
     known = conversation.known_slots([f"now_{s}" for s in _SLOTS])
     return out.groupBy(F.array_join(known, ",").alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -406,40 +396,9 @@ def json_fields(spark, sf):
     return _table(spark, sf, "events").groupBy((parsed["k"] % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.sum(parsed["k"]).alias("total"))
 
 
-def _stream(spark: SparkSession, sf: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a stream over a table's files until all is read, and read what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    path = f"{base.rstrip('/')}/taktwerk/stream-{uuid.uuid4().hex}"
-    schema = _table(spark, sf, name).schema
-    source = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
-    done = make(source).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
-
-
 def stream_state(spark, sf):
-    old = spark.conf.get(jobs.STATE_STORE[0], None)
-    spark.conf.set(*jobs.STATE_STORE)
-    try:
-        def make(source):
-            t = tx.search_form(F.col("text"))
-            own = source.select(
-                "conv_id", "turn", (F.contains(t, F.lit("ation")) & (F.col("turn") > 0)).alias("new_query"), conversation.cleared_fields(F.col("text"), CLEAR).alias("cleared"),
-                F.when(F.contains(t, F.lit("er")), F.concat(F.lit("d"), F.col("turn").cast("string"))).alias("day"), F.when(F.contains(t, F.lit("ou")), F.concat(F.lit("c"), F.col("turn").cast("string"))).alias("category"),
-                F.when(F.contains(t, F.lit("st")), F.concat(F.lit("a"), F.col("turn").cast("string"))).alias("start_after"), F.when(F.contains(t, F.lit("ei")), F.concat(F.lit("b"), F.col("turn").cast("string"))).alias("start_before"),
-            )
-            return jobs.conversation_stream(own, _SLOTS)
-
-        return _stream(spark, sf, "conversations", make).drop("late")
-    finally:
-        if old is None:
-            spark.conf.unset(jobs.STATE_STORE[0])
-        else:
-            spark.conf.set(jobs.STATE_STORE[0], old)
+    with jobs.state_store(spark):
+        return _stream(spark, sf, "conversations", lambda source: jobs.conversation_stream(_turns(source), _SLOTS)).drop("late")
 
 
 def stream_validate(spark, sf):
@@ -476,4 +435,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_candidates, routes, lexicon_slots, conv_labels, conv_state, known_slots, paging_sessions, eval_cases, eval_score, json_fields, stream_state, stream_validate, stream_messages, stream_search,
         stream_dedup,
     )
-    return {f.__name__: f for f in found} | layouts.queries()
+    return {f.__name__: f for f in found} | layouts.queries() | chats.queries()

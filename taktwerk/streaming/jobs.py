@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from taktwerk.operators import sessions
 from taktwerk.operators.messages import Words, understand
 from taktwerk.operators.quality import Rule, violations
 from taktwerk.operators.search import conditions
 
 #: Set this before a stateful stream starts; the default store does not hold such state.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-PAIR = ("start_after", "start_before")
+PAIR = sessions.PAIR
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in ``STATE_STORE``; the session's own setting comes back afterwards."""
+    name, old = STATE_STORE[0], spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
 class ConversationState(StatefulProcessor):
@@ -67,6 +81,93 @@ def conversation_stream(turns: DataFrame, slots: list[str]) -> DataFrame:
     return turns.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=ConversationState(slots), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+def _plain(value):
+    """A value of a pandas row: arrays as lists, all that stands for null as None."""
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    return None if pd.isna(value) else value
+
+
+class SessionState(StatefulProcessor):
+    """Sessions on a stream: a state variable each for the place in the chat, the last search, the open question and the paging.
+
+    A chat that stays silent is forgotten by a timer in event time; that leaves a row with the reply ``expired``.
+    """
+
+    def __init__(self, slots: list[str], idle: float):
+        self._slots, self._idle = slots, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        texts = ", ".join(f"{s} string" for s in self._slots)
+        self._place = handle.getValueState("place", "turn long, at double")
+        self._last = handle.getValueState("last_search", texts)
+        self._asked = handle.getValueState("open_question", texts)
+        self._paging = handle.getValueState("paging", "found long, offset long")
+
+    def _filters(self, state) -> sessions.Slots | None:
+        if not state.exists():
+            return None
+        return {s: v for s, v in zip(self._slots, state.get(), strict=True) if v is not None}
+
+    def _load(self) -> sessions.Session:
+        turn, at = self._place.get() if self._place.exists() else (None, None)
+        found, offset = self._paging.get() if self._paging.exists() else (0, 0)
+        return sessions.Session(turn, at, self._filters(self._last), self._filters(self._asked), found, offset)
+
+    def _save(self, session: sessions.Session) -> None:
+        self._place.update((session.turn, session.at))
+        for state, held in ((self._last, session.last), (self._asked, session.asked)):
+            if held is not None:
+                state.update(tuple(held.get(s) for s in self._slots))
+            elif state.exists():
+                state.clear()
+        if session.paging:
+            self._paging.update((session.found, session.offset))
+        elif self._paging.exists():
+            self._paging.clear()
+
+    def _shown(self, rows: list[tuple]) -> pd.DataFrame:
+        kinds = {"long": "Int64", "string": object, "boolean": "boolean"}
+        names = [c.split(" ") for c in sessions.output(self._slots).split(", ")]
+        return pd.DataFrame(rows, columns=[n for n, _ in names]).astype({n: kinds[k] for n, k in names})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [{c: _plain(v) for c, v in row.items()} for chunk in rows for row in chunk.to_dict("records")]
+        far = float("-inf")
+        new.sort(key=lambda r: (far if r["turn"] is None else r["turn"], far if r["seconds"] is None else r["seconds"]))
+        session, out = self._load(), []
+        for row in new:
+            # Pandas makes whole numbers with gaps to floating ones.
+            row |= {c: None if row[c] is None else int(row[c]) for c in ("turn", "results")}
+            m = sessions.message(row, self._slots)
+            out.append(sessions.replied(key[0], m, sessions.step(session, m, self._idle), session, self._slots))
+        self._save(session)
+        if session.at is not None:
+            for timer in self._handle.listTimers():
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(int((session.at + self._idle) * 1000) + 1)
+        for at in range(0, len(out), 10_000):
+            yield self._shown(out[at : at + 10_000])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        session = self._load()
+        # The place stays, so that turns that come again are late; what the chat remembered goes.
+        session.forget()
+        self._save(session)
+        yield self._shown([sessions.replied(key[0], {"turn": session.turn}, sessions.Reply("expired"), session, self._slots)])
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(messages: DataFrame, slots: list[str], idle: float = sessions.IDLE_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """:func:`taktwerk.operators.sessions.session_replies` on a stream of the same columns."""
+    return sessions.timed(messages, slots).withWatermark("at", delay).groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=SessionState(slots, idle), outputStructType=sessions.output(slots), outputMode="Append", timeMode="EventTime"
+    )
+
+
 def understand_stream(messages: DataFrame, words: Words | None = None) -> DataFrame:
     """The message rules need no state: the same columns on a stream."""
     return understand(messages, words)
