@@ -13,14 +13,17 @@ from taktwerk.functions import rules
 from taktwerk.functions.ages import age_bound, age_status, bound_status, certainty
 from taktwerk.functions.text import form_match, search_form, tolerant_match
 from taktwerk.functions.timeofday import at_or_after, at_or_before, seconds_of
+from taktwerk.operators.index import contained_pairs
+from taktwerk.operators.ranking import ranked
+from taktwerk.sources.tables import written
 
 #: Filters that are compared as text, with the activity's column of the same name.
 TEXT_FILTERS = ["day", "location", "target_audience", "center_name", "branch", "instructor"]
 PAGE = 5
-#: The most requests that are sent to every task; beyond, requests are split over tasks instead.
-BROADCAST_REQUESTS = 20_000
-#: The most distinct days that requests are compared with before the join.
-MOST_DAYS = 1_000
+#: Columns that a wanted type may stand in.
+TYPE_COLUMNS = ["name", "category", "english_name"]
+#: Years in a band of ages, the last band, and parts that all rows are dealt to for requests that ask for nothing.
+AGE_BAND, AGE_BANDS, ALL_PARTS = 10, 12, 32
 
 
 def category_of(explicit: Column, source_file: Column) -> Column:
@@ -110,44 +113,118 @@ def search(activities: DataFrame, with_cancelled: bool = False, **filters) -> Da
     return out.orderBy("ord")
 
 
-def search_many(activities: DataFrame, requests: DataFrame, with_cancelled: bool = False) -> DataFrame:
-    """Every request against every activity: ``request_id``, the activity's columns, ``age_match``, ``place``
-    (by certainty, then ingestion) and ``total``.
+def _age_band(age: Column) -> Column:
+    return F.least(F.floor(age / AGE_BAND), F.lit(AGE_BANDS)).cast("int")
 
-    Where requests ask for a day, the tolerant day is resolved on the distinct days first, if these are
-    at most ``MOST_DAYS``, and the join is one of equals on the day.  All other requests are a stated set that
-    is counted and met with all rows in blocks of ``BROADCAST_REQUESTS``.
+
+def _row_keys(row: dict[str, Column], column: str, order: Column) -> Column:
+    """Under which keys of a column an activity is found, as an array of texts."""
+    if column == "start_time":
+        keys = F.array(F.floor(row[column] / 3600))
+    elif column == "age":
+        low, high = _age_band(F.coalesce(row["min_age"], F.lit(0))), _age_band(F.coalesce(row["max_age"], F.lit(AGE_BAND * AGE_BANDS)))
+        known = F.when(low <= high, F.sequence(low, F.greatest(low, high)))
+        keys = F.when(row["min_age"].isNull() & row["max_age"].isNull(), F.array(F.lit(-1))).otherwise(known)
+    elif column == "all":
+        keys = F.array(F.pmod(F.xxhash64(order), F.lit(ALL_PARTS)))
+    else:
+        return F.array_compact(F.array(row[column]))
+    return F.array_compact(F.coalesce(F.transform(keys, lambda k: k.cast("string")), F.array().cast("array<string>")))
+
+
+def _request_keys(want: dict[str, Column]) -> dict[str, Column]:
+    """Per column that is no text: the keys under which what a request can find stands, or null if it does not ask."""
+    out = {"all": F.sequence(F.lit(0), F.lit(ALL_PARTS - 1))}
+    after, before = (want.get(c, F.lit(None).cast("int")) for c in ("start_after", "start_before"))
+    first, last = F.floor(F.coalesce(after, F.lit(0)) / 3600).cast("int"), F.floor(F.coalesce(before, F.lit(86_399)) / 3600).cast("int")
+    hours = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+    out["start_time"] = F.when(after.isNotNull() | before.isNotNull(), hours)
+    if "age" in want:
+        out["age"] = F.when(want["age"].isNotNull(), F.array(F.lit(-1), _age_band(want["age"])))
+    return {c: F.transform(k, lambda x: x.cast("string")) for c, k in out.items()}
+
+
+def _entries(kind: str, column: str, keys: Column) -> Column:
+    return F.transform(keys, lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"), v.alias("key")))
+
+
+def _tied(activities: DataFrame, requests: DataFrame, row: dict[str, Column], want: dict[str, Column]) -> DataFrame:
+    """``request_id, column, key``: for each request the keys of one column under which all that it finds stands.
+
+    Of a request's filters that one drives whose keys hold fewest activities.  Which values a text filter lets through is
+    looked up in an index over the distinct values, both for texts that hold the wanted one and for texts inside it.
+    """
+    columns = [(f, f) for f in TEXT_FILTERS if f in want] + ([("category", c) for c in TYPE_COLUMNS] if "category" in want else [])
+    keys = _request_keys(want)
+    each = [(f, c, _row_keys(row, c, F.col("ord"))) for f, c in [*columns, *[(k, k) for k in keys]]]
+    entries = F.concat(*[_entries(f, c, k) for f, c, k in each])
+    values = written(activities.select(F.inline(entries)).groupBy("kind", "column", "key").agg(F.count(F.lit(1)).alias("n")), "search-values")
+    texts = [f for f in want if f in TEXT_FILTERS or f == "category"]
+    asked = requests.select(
+        "request_id", F.inline(F.array_compact(F.array(*[F.when(want[f].isNotNull() & (want[f] != ""), F.struct(F.lit(f).alias("kind"), want[f].alias("wanted"))) for f in texts] or [F.lit(None).cast("struct<kind:string,wanted:string>")])))
+    )
+    wanted = asked.select("kind", F.col("wanted").alias("text")).distinct()
+    held = values.where(F.col("kind").isin(*texts)).select("kind", F.col("key").alias("text")).distinct()
+    inside = contained_pairs(wanted, held).select("kind", F.col("needle").alias("wanted"), F.col("hay").alias("key"))
+    around = contained_pairs(held, wanted).where("needle <> hay").select("kind", F.col("hay").alias("wanted"), F.col("needle").alias("key"))
+    passed = asked.join(inside.unionByName(around), ["kind", "wanted"], "left").select("request_id", "kind", "key")
+    exact = requests.select("request_id", F.inline(F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(c).alias("kind"), k.alias("keys"))) for c, k in keys.items()]))))
+    passed = passed.unionByName(exact.select("request_id", "kind", F.explode_outer("keys").alias("key")))
+    costs = passed.join(values, ["kind", "key"], "left").groupBy("request_id", "kind").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "key"))).alias("keys"))
+    least = costs.groupBy("request_id").agg(F.min_by("keys", F.struct("cost", "kind")).alias("keys"))
+    return least.select("request_id", F.inline("keys"))
+
+
+def matches(activities: DataFrame, requests: DataFrame, with_cancelled: bool = False) -> DataFrame:
+    """Every request with every activity that fits: ``request_id``, the activity's columns and ``age_match``.
+
+    Requests and activities meet in joins of equals, under the keys of one column for each request (:func:`_tied`), and all
+    filters are tested then.  A request without any filter meets all rows, in ``ALL_PARTS`` parts.
     """
     compared = ["name", "category", "english_name", "min_age", "max_age", "status", "start_time", *TEXT_FILTERS]
     shown_columns = activities.columns
     activities, own = _prepared(activities, [c for c in compared if c in shown_columns])
     requests, asked = _prepared(requests, [c for c in rules.SEARCH_FIELDS if c in requests.columns])
-    a, q = activities.alias("a"), requests.alias("q")
-    row = {c: F.col(f"a.{own[c]}") if c in own else F.lit(None).cast("int" if c in ("min_age", "max_age", "start_time") else "string") for c in compared}
-    want = {c: F.col(f"q.{f}") for c, f in asked.items()}
-    age = want.get("age", F.lit(None).cast("int"))
-    shown = [F.col("q.request_id"), *[F.col(f"a.{c}") for c in shown_columns], bound_status(row["min_age"], row["max_age"], age).alias("age_match")]
-    rest = {k: v for k, v in want.items() if k != "day"}
+    kind = lambda c: "int" if c in ("min_age", "max_age", "start_time") else "string"
+    row = lambda t: {c: F.col(f"{t}{own[c]}") if c in own else F.lit(None).cast(kind(c)) for c in compared}
+    want = lambda t: {c: F.col(f"{t}{f}") for c, f in asked.items()}
+    tied = written(_tied(activities, requests, row(""), want("")), "search-keys")
+    used = {r["column"] for r in tied.select("column").distinct().collect()}
+    a_row, q_want = row("a."), want("q.")
+    age = q_want.get("age", F.lit(None).cast("int"))
+    shown = [F.col("q.request_id"), *[F.col(f"a.{c}") for c in shown_columns], bound_status(a_row["min_age"], a_row["max_age"], age).alias("age_match")]
+    fits = _prepared_conditions(a_row, q_want, with_cancelled)
     parts = []
-    days = activities.select("day").distinct() if "day" in want else None
-    if days is not None and days.limit(MOST_DAYS + 1).count() <= MOST_DAYS:
-        days = days.alias("d")
-        tied = requests.where(_present(F.col("day"))).alias("q").join(F.broadcast(days), tolerant_match(F.col("d.day"), F.col("q.day"))).select("q.*", F.col("d.day").alias("on_day")).alias("q")
-        parts.append(a.join(tied, F.col("a.day") == F.col("q.on_day")).where(_prepared_conditions(row, rest, with_cancelled)).select(*shown))
-        open_day = requests.where(~F.coalesce(_present(F.col("day")), F.lit(False)))
-    else:
-        open_day, rest = requests, want
-    n = open_day.count()
-    blocks = max(0 if parts else 1, -(-n // BROADCAST_REQUESTS))
-    for k in range(blocks):
-        block = open_day if blocks == 1 else open_day.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == k)
-        parts.append(a.join(F.broadcast(block.alias("q")), _prepared_conditions(row, rest, with_cancelled)).select(*shown))
+    for column in sorted(used):
+        own_keys = _row_keys(row(""), column, F.col("ord"))
+        a = activities.withColumn("_key", F.explode(own_keys) if column == "age" else F.get(own_keys, F.lit(0))).alias("a")
+        q = tied.where(F.col("column") == column).select("request_id", F.col("key").alias("_key")).join(requests, "request_id").alias("q")
+        ok = fits
+        if column in TYPE_COLUMNS:
+            # A row whose value in an earlier column lets it through has come out there.
+            for earlier in TYPE_COLUMNS[: TYPE_COLUMNS.index(column)]:
+                ok = ok & ~F.coalesce(form_match(a_row[earlier], q_want["category"]), F.lit(False))
+        parts.append(a.join(q, F.col("a._key") == F.col("q._key")).where(ok).select(*shown))
+    if not parts:
+        parts.append(activities.alias("a").join(requests.where("false").alias("q"), F.col("a.ord") == F.col("q.request_id").cast("string")).select(*shown))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy("request_id")
-    rank = F.row_number().over(w.orderBy(certainty(F.col("age_match")), "ord"))
-    return out.withColumn("place", rank).withColumn("total", F.count(F.lit(1)).over(w))
+    return out
+
+
+def search_many(activities: DataFrame, requests: DataFrame, with_cancelled: bool = False, first: int | None = None) -> DataFrame:
+    """:func:`matches` with ``place`` (by certainty, then ingestion) and ``total`` of each request.
+
+    With ``first`` only so many rows of each request come out, and no task holds more of one; else the places of requests that
+    most rows fit are counted over many tasks.
+    """
+    out = matches(activities, requests, with_cancelled).withColumn("_certainty", certainty(F.col("age_match")))
+    if first is None:
+        return ranked(out, ["request_id"], ["_certainty", "ord"]).drop("_certainty")
+    totals = out.groupBy("request_id").agg(F.count(F.lit(1)).alias("total"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("_certainty", "ord"))
+    return out.withColumn("place", place).where(F.col("place") <= first).drop("_certainty").join(totals, "request_id")
 
 
 def top(ranked: DataFrame, keys: list[str], order: list, n: int = PAGE) -> DataFrame:
@@ -155,13 +232,14 @@ def top(ranked: DataFrame, keys: list[str], order: list, n: int = PAGE) -> DataF
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
-def page(ranked: DataFrame, keys: list[str], order: list, offset: Column | int, n: int = PAGE) -> DataFrame:
-    """The page of each group after ``offset`` rows, with ``place``, ``next_offset`` and ``has_more``."""
-    off = F.lit(offset) if isinstance(offset, int) else offset
-    w = Window.partitionBy(*keys)
-    out = ranked.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(w))
-    out = out.where((F.col("place") > off) & (F.col("place") <= off + n))
-    return out.withColumn("next_offset", F.least(off + n, F.col("total"))).withColumn("has_more", F.col("total") > off + n).drop("total")
+def page(df: DataFrame, keys: list[str], order: list, offset: int, n: int = PAGE) -> DataFrame:
+    """The page of each group after ``offset`` rows, with ``place``, ``next_offset`` and ``has_more``.
+
+    No task holds more of a group than the rows up to the page's end; for pages far behind see :mod:`taktwerk.operators.ranking`.
+    """
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    out = top(df, keys, order, offset + n).where(F.col("place") > offset).alias("p").join(totals.alias("t"), [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]).select("p.*", "t.total")
+    return out.withColumn("next_offset", F.least(F.lit(offset + n), F.col("total"))).withColumn("has_more", F.col("total") > offset + n).drop("total")
 
 
 def display_line(c: dict[str, Column]) -> Column:
@@ -200,6 +278,7 @@ def answers(results: DataFrame, line: Column, n: int = PAGE) -> DataFrame:
     """Per request: the total, the first ``n`` lines as one text, and whether there are more."""
     first = results.where(F.col("place") <= n).withColumn("line", line)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    # At most ``n`` lines of a request meet in one row.
     return first.groupBy("request_id").agg(F.first("total").alias("total"), lines.alias("answer")).withColumn("has_more", F.col("total") > n)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taktwerk.sources.tables import shared_folder
+
 #: Words of the given texts that stand for thanks, and for clearing a field.
 STOP, CLEAR = ["thank", "stop"], [("day", ["the"]), ("time", ["und"]), ("category", ["eau"])]
 SLOTS = ["day", "category", "start_after", "start_before"]
@@ -25,16 +25,6 @@ def slots_of(t: Column) -> list[Column]:
     return [F.when(F.contains(t, F.lit(words[s])), F.concat(F.lit(sign[s]), F.col("turn").cast("string"))).alias(s) for s in SLOTS]
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path below the folder that ``spark.checkpoint.dir`` names; a session on one machine without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    return f"{base.rstrip('/')}/taktwerk/{label}-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, sf: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over a table's files until all is read, and read what it wrote."""
     path = shared_folder(spark, "stream")

@@ -126,6 +126,11 @@ SQL = {
         || CASE WHEN age_match = 'unknown' THEN ', לא צוין טווח גיל במקור' ELSE '' END, chr(10) ORDER BY place) AS answer, any_value(total) > 5 AS has_more FROM ranked WHERE place <= 5 GROUP BY request_id""",
     "age_summaries": f"""{_SEARCH}, c AS (SELECT request_id, count(*) FILTER (age_match = 'match') AS n_match, count(*) FILTER (age_match = 'unknown') AS n_unknown FROM ranked GROUP BY request_id)
         SELECT *, CASE WHEN n_match > 0 AND n_unknown > 0 THEN 'both' WHEN n_match > 0 THEN 'certain' WHEN n_unknown > 0 THEN 'unknown' ELSE 'none' END AS summary FROM c""",
+    "all_places": f"{_SEARCH} SELECT request_id, ord, age_match, place, total FROM ranked",
+    "deep_page": """WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS place, count(*) OVER (PARTITION BY event_type) AS total FROM events)
+        SELECT *, least(1050, total) AS next_offset, total > 1050 AS has_more FROM r WHERE place BETWEEN 1001 AND 1050""",
+    "next_page": """SELECT o_orderpriority, o_totalprice, o_orderkey FROM orders WHERE (o_orderpriority, o_totalprice, o_orderkey) > ('3-MEDIUM', 100000.0, 0)
+        ORDER BY 1, 2, 3 LIMIT 200""",
     "single_search": f"""WITH {_PARTS}, r AS (SELECT *, {_AGE.format(age='20')} AS age_match FROM acts WHERE status IS NULL AND contains(lower(day), 'medium') AND sec >= 36000)
         SELECT ord, age_match FROM r WHERE age_match <> 'no_match'""",
     "time_window": "WITH s AS (SELECT event_id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::bigint AS second FROM events) SELECT * FROM s WHERE second BETWEEN 30600 AND 61200",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taktwerk.functions import text as tx
 from taktwerk.functions import timeofday as td
 from taktwerk.functions.ages import age_bound, age_status, certainty, strict_int
-from taktwerk.operators import conversation, evalcases, extract, messages, quality, rows, search
+from taktwerk.operators import conversation, evalcases, extract, messages, quality, ranking, rows, search
 from taktwerk.plans import chats, layouts
 from taktwerk.plans.common import CLEAR, STOP, slots_of
 from taktwerk.plans.common import SLOTS as _SLOTS
@@ -66,18 +66,37 @@ def _requests(spark, sf):
 
 
 def batch_search(spark, sf):
-    found = search.search_many(_parts_as_activities(spark, sf), _requests(spark, sf)).where(F.col("place") <= search.PAGE)
+    found = search.search_many(_parts_as_activities(spark, sf), _requests(spark, sf), first=search.PAGE)
     return found.select("request_id", "ord", "name", "age_match", F.col("place").cast("long").alias("place"), "total")
 
 
 def answer_text(spark, sf):
-    ranked = search.search_many(_parts_as_activities(spark, sf), _requests(spark, sf))
+    ranked = search.search_many(_parts_as_activities(spark, sf), _requests(spark, sf), first=search.PAGE)
     line = search.display_line({c: F.col(c) for c in ("name", "day", "start_time", "center_name", "min_age", "max_age", "age_match")})
     return search.answers(ranked, line)
 
 
 def age_summaries(spark, sf):
-    return search.age_summary(search.search_many(_parts_as_activities(spark, sf), _requests(spark, sf)))
+    return search.age_summary(search.matches(_parts_as_activities(spark, sf), _requests(spark, sf)))
+
+
+def all_places(spark, sf):
+    """Every match of every request with its place, counted over ranges; a request that most rows fit fills many of them."""
+    found = search.search_many(_parts_as_activities(spark, sf), _requests(spark, sf))
+    return found.select("request_id", "ord", "age_match", "place", "total")
+
+
+def deep_page(spark, sf):
+    """The page of each kind of event behind its first thousand."""
+    events = _table(spark, sf, "events").select("event_type", "ts", "event_id")
+    places = ranking.kept_in_order(ranking.ranked(events, ["event_type"], ["ts", "event_id"], descending=("ts",)), ["event_type"])
+    return ranking.page_at(places, 1000, 50).select("event_type", "event_id", "place", "total", "next_offset", "has_more")
+
+
+def next_page(spark, sf):
+    """The rows that follow a row by its own values, with nothing counted before it."""
+    orders = _table(spark, sf, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    return ranking.page_after(orders, ["o_orderpriority", "o_totalprice", "o_orderkey"], ["3-MEDIUM", 100_000.0, 0], 200)
 
 
 def single_search(spark, sf):
@@ -377,7 +396,7 @@ def paging_sessions(spark, sf):
 
 def eval_cases(spark, sf):
     q = _requests(spark, sf)
-    found = search.search_many(_parts_as_activities(spark, sf), q).select(F.col("request_id").alias("id"), "ord")
+    found = search.matches(_parts_as_activities(spark, sf), q).select(F.col("request_id").alias("id"), "ord")
     cases = q.select(
         F.col("request_id").alias("id"), F.struct(F.when(F.col("request_id") % 3 == 0, "economy").alias("day"), F.when(F.col("request_id") % 2 == 0, "RED").alias("category_contains"), F.lit(5).alias("min_results")).alias("expected"),
         F.struct("day", "category").alias("observed"),
@@ -429,7 +448,7 @@ def stream_dedup(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        norm_text, clean_placeholders, tolerant_search, batch_search, answer_text, age_summaries, single_search, time_window, daypart_join, weekday_name, add_minutes, time_forms, infer_end,
+        norm_text, clean_placeholders, tolerant_search, batch_search, answer_text, age_summaries, all_places, deep_page, next_page, single_search, time_window, daypart_join, weekday_name, add_minutes, time_forms, infer_end,
         range_status, certainty_rank, page, dedup_first, dedup_last, dup_groups, profile, violations, verdict, source_summary, key_diff, precision_recall, field_mismatch, set_ops,
         lookup_default, locations, doc_lines, header_carry, gate, lookahead, matrix_unpivot, named_columns, adaptive_split, regex_fields, display_line, audience_rule, message_rules,
         merge_candidates, routes, lexicon_slots, conv_labels, conv_state, known_slots, paging_sessions, eval_cases, eval_score, json_fields, stream_state, stream_validate, stream_messages, stream_search,
