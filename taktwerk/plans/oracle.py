@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import chats, layouts
+from taktwerk.plans import chats, layouts, stores
 
 _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 
@@ -243,4 +243,4 @@ SQL["eval_score"] = f"""{_CASES} SELECT count(*) AS total, count(*) FILTER (n_fa
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | layouts.SQL
+    return SQL | layouts.SQL | stores.SQL

@@ -177,7 +177,7 @@ def json_table(spark: SparkSession, path: str, schema: str, required: bool = Tru
 
 
 def save_table(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Overwrite a processed table; ``json`` writes one record per line, nulls included."""
+    """Overwrite a processed table; ``json`` writes one record per line, nulls included.  For one array see :mod:`taktwerk.sources.arrays`."""
     writer = df.write.mode("overwrite")
     writer.option("ignoreNullFields", False).json(path) if form == "json" else writer.parquet(path)
 

@@ -46,8 +46,8 @@ def test_single_search(activities):
 def test_many_searches_equal_single_ones(spark, activities, monkeypatch):
     asked = [(1, "יום שלישי", "17:00", None, None), (2, None, None, 12, None), (3, "שני", None, None, "יוגה"), (4, " ", None, None, "יוגה"), (5, None, None, None, None)]
     requests = spark.createDataFrame(asked, "request_id long, day string, start_after string, age int, category string")
-    for limit in (20_000, 2):
-        monkeypatch.setattr(search, "BROADCAST_REQUESTS", limit)
+    for parts in (32, 2):
+        monkeypatch.setattr(search, "ALL_PARTS", parts)
         got = search.search_many(activities, requests).collect()
         for rid, day, after, age, category in asked:
             want = ords(search.search(activities, **{k: v for k, v in (("day", day), ("start_after", after), ("age", age), ("category", category)) if v is not None}))
