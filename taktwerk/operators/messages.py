@@ -170,16 +170,18 @@ def lexicon_slots(messages: DataFrame, key: list[str], lexicon: DataFrame, near:
     """Candidate slots from a lexicon (``slot, variant, canonical``): per message and slot the canonical
     value of the longest variant whose words the text has in a row; with ``near`` also one letter off.
 
-    As many words in a row as the longest variant has are exploded and met with the variants by
-    equality; one-letter misses go by the variant with one letter left out, so that no pair of all words
-    and variants is formed.  The lexicon is a table of rules, of which only its longest variant is asked for first.
+    Words in a row, as many as some variant has, are exploded and met with the variants by equality; one-letter
+    misses go by the variant with one letter left out, so that no pair of all words and variants is formed.  The lexicon is a
+    table of any size, of which only the numbers of words that occur are asked for first; see also :mod:`taktwerk.operators.lexicon`.
     """
     words = lambda c: F.filter(F.split(squeezed(F.lower(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     lex = lexicon.select("slot", "canonical", F.array_join(words(F.col("variant")), " ").alias("variant"), F.size(words(F.col("variant"))).alias("n")).where("n > 0")
-    most = lex.agg(F.max("n")).first()[0] or 1
+    lengths = {r.n for r in lex.select("n").distinct().collect()} or {1}
+    # One letter off may also be the blank between two words.
+    lengths |= {n + step for n in lengths for step in (-1, 1) if n + step > 0} if near else set()
     own = messages.select(*key, words(F.col("text")).alias("words"))
     in_a_row = lambda k: F.transform("words", lambda w, i: F.when(i + k <= F.size("words"), F.array_join(F.slice("words", i + 1, F.lit(k)), " ")))
-    tokens = own.select(*key, F.explode(F.array_distinct(F.concat(*[in_a_row(k) for k in range(1, most + 1)]))).alias("token")).where("token IS NOT NULL")
+    tokens = own.select(*key, F.explode(F.array_distinct(F.concat(*[in_a_row(k) for k in sorted(lengths)]))).alias("token")).where("token IS NOT NULL")
     lex = lex.drop("n")
     if near:
         cut = lambda c: F.explode(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))

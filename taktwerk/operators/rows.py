@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taktwerk.functions import rules
 from taktwerk.functions.text import locations_match, unified_audience
 from taktwerk.functions.timeofday import add_minutes, seconds_of
+from taktwerk.operators.intervals import first_rule, in_intervals
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
@@ -92,19 +93,12 @@ def infer_end(df: DataFrame, rule_table: DataFrame, explicit: str = "end_time")
     An end that is given stays.  Else the rule with the lowest priority that fits source, day,
     start and name gives the minutes; a rule without minutes says that the end is unknown.
     """
-    kept = F.struct("priority", "minutes", F.col("day").alias("on_day"), F.col("start_time").alias("at"), F.col("name").alias("of"))
-    per_source = rule_table.groupBy(F.col("source_file").alias("_source")).agg(F.collect_list(kept).alias("_rules"))
-    out = df.join(per_source, df["source_file"] == F.col("_source"), "left")
-    # A source has few rules; each row looks through those of its source.
-    fits = F.filter(
-        "_rules",
-        lambda r: (r["on_day"].isNull() | (r["on_day"] == F.col("day"))) & (r["at"].isNull() | (r["at"] == F.col("start_time"))) & (r["of"].isNull() | (r["of"] == F.col("name"))),
-    )
-    best = F.array_min(F.transform(fits, lambda r: F.struct(r["priority"].alias("p"), r["minutes"].alias("m"))))["m"]
+    out = first_rule(df, rule_table, ["source_file", "day", "start_time", "name"], "priority", "minutes", "_minutes")
+    best = F.col("_minutes")
     given = F.col(explicit).isNotNull()
     end = F.when(given, F.col(explicit)).otherwise(add_minutes(F.col("start_time"), best))
     origin = F.when(given, "explicit").when(end.isNotNull(), "inferred_source_rule").otherwise("missing")
-    return out.withColumn("end_inferred", end).withColumn("end_time_source", origin).drop("_source", "_rules")
+    return out.withColumn("end_inferred", end).withColumn("end_time_source", origin).drop("_minutes")
 
 
 def duration_rules(spark, rows: list[tuple] | None = None) -> DataFrame:
@@ -113,11 +107,19 @@ def duration_rules(spark, rows: list[tuple] | None = None) -> DataFrame:
     return spark.createDataFrame(rows if rows is not None else rules.DURATIONS, schema)
 
 
-def with_dayparts(df: DataFrame, time: Column, parts: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """A row for every daypart in which the time lies, both ends included; ``daypart`` is its label."""
+def dayparts(spark, parts: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """The dayparts as a table of intervals in seconds: ``daypart, low, high``."""
     bound = lambda t: int(t[:2]) * 3600 + int(t[3:]) * 60
-    found = F.array_compact(F.array(*[F.when(F.col("_at").between(bound(lo), bound(hi)), F.lit(label)) for label, lo, hi in parts or rules.DAYPARTS]))
-    return df.withColumn("_at", seconds_of(time)).withColumn("daypart", F.explode(found)).drop("_at")
+    return spark.createDataFrame([(label, bound(lo), bound(hi)) for label, lo, hi in parts or rules.DAYPARTS], "daypart string, low int, high int")
+
+
+def with_dayparts(df: DataFrame, time: Column, parts: DataFrame | None = None) -> DataFrame:
+    """A row for every daypart in which the time lies, both ends included; ``daypart`` is its label.
+
+    ``parts`` is a table as :func:`dayparts` gives it, of any size.
+    """
+    table = dayparts(df.sparkSession) if parts is None else parts
+    return in_intervals(df, seconds_of(time), table, "low", "high", 3600).drop("low", "high")
 
 
 def daypart_of(after: Column, before: Column) -> Column:

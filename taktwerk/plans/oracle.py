@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import chats, layouts, stores
+from taktwerk.plans import chats, layouts, reports, stores
 
 _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 
@@ -241,6 +241,10 @@ SQL["eval_cases"] = f"{_CASES} SELECT *, n_failures = 0 AS passed FROM e"
 SQL["eval_score"] = f"""{_CASES} SELECT count(*) AS total, count(*) FILTER (n_failures = 0) AS passed, count(*) FILTER (n_failures > 0) AS failed,
     round(100.0 * count(*) FILTER (n_failures = 0) / count(*), 6)::double AS score_percent FROM e"""
 
+#: What makes two orders one activity.
+_SAME = """CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority END, o_orderkey % 40 = 0, dayofweek(o_orderdate), o_orderpriority, CASE WHEN o_orderkey % 30 = 0 THEN -1 WHEN o_orderkey % 31 <> 0 THEN (o_orderkey % 24) * 60 + o_orderkey % 60 END,
+    CASE WHEN o_orderkey % 9 <> 0 THEN ((o_orderkey + 1) % 25) * 60 + o_orderkey % 60 END"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | layouts.SQL | stores.SQL
+    return SQL | layouts.SQL | stores.SQL | reports.sql({"orders": _ORDERS, "cases": _CASES, "same": _SAME})

@@ -11,9 +11,13 @@ from taktwerk.functions import text as tx
 from taktwerk.functions import timeofday as td
 from taktwerk.functions.ages import age_bound, age_status, certainty, strict_int
 from taktwerk.operators import conversation, evalcases, extract, messages, quality, ranking, rows, search
-from taktwerk.plans import chats, layouts, stores
+from taktwerk.plans import chats, layouts, reports, stores
 from taktwerk.plans.common import CLEAR, STOP, slots_of
 from taktwerk.plans.common import SLOTS as _SLOTS
+from taktwerk.plans.common import eval_cases
+from taktwerk.plans.common import order_rows as _order_rows
+from taktwerk.plans.common import parts_as_activities as _parts_as_activities
+from taktwerk.plans.common import requests as _requests
 from taktwerk.plans.common import streamed as _stream
 from taktwerk.plans.common import table as _table
 from taktwerk.sources.documents import lines_of
@@ -47,24 +51,6 @@ def tolerant_search(spark, sf):
     return found.select("p_partkey", "p_name", "p_type")
 
 
-def _parts_as_activities(spark, sf):
-    return _table(spark, sf, "part").select(
-        F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("day"), F.col("p_brand").alias("center_name"),
-        F.when(F.col("p_size") % 5 != 0, F.col("p_size")).cast("string").alias("min_age"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") + 10).cast("string").alias("max_age"),
-        F.when(F.col("p_size") % 7 == 0, "cancelled").alias("status"), F.format_string("%02d:%02d", F.col("p_size") % 24, F.col("p_size")).alias("start_time"),
-        F.lit(None).cast("string").alias("english_name"), F.lit(None).cast("string").alias("category"),
-    )
-
-
-def _requests(spark, sf):
-    n = F.col("n_nationkey")
-    return _table(spark, sf, "nation").select(
-        n.cast("long").alias("request_id"), F.when(n % 2 == 0, F.element_at(F.array(F.lit("red"), F.lit("BLUE "), F.lit("ring")), (n % 3 + 1).cast("int"))).alias("category"),
-        F.when(n % 3 != 0, n * 2).alias("age"), F.when(n % 4 == 0, F.lit("economy")).when(n % 4 == 1, F.lit("small")).alias("day"),
-        F.when(n % 5 == 0, F.lit("8:00")).alias("start_after"), F.when(n % 5 < 2, F.lit("17:30")).alias("start_before"), F.when(n % 6 == 5, F.lit("brand#1")).alias("center_name"),
-    )
-
-
 def batch_search(spark, sf):
     found = search.search_many(_parts_as_activities(spark, sf), _requests(spark, sf), first=search.PAGE)
     return found.select("request_id", "ord", "name", "age_match", F.col("place").cast("long").alias("place"), "total")
@@ -181,17 +167,6 @@ def profile(spark, sf):
     return quality.profile(cust, {"segment": "missing", "c_nationkey": None}, {"segment": tx.is_blank(F.col("segment"))})
 
 
-def _order_rows(spark, sf):
-    k = F.col("o_orderkey")
-    return _table(spark, sf, "orders").select(
-        k.alias("ord"), F.when(k % 50 != 0, F.col("o_orderpriority")).alias("name"), F.when(k % 40 == 0, " ").otherwise("c").alias("center_name"),
-        F.date_format("o_orderdate", "EEEE").alias("day"), F.when(k % 30 == 0, F.lit("25:00")).when(k % 31 != 0, F.format_string("%d:%02d", k % 24, k % 60)).alias("start_time"),
-        F.when(k % 9 != 0, F.format_string("%d:%02d:00", (k + 1) % 25, k % 60)).alias("end_time"), (k % 130 - 5).cast("string").alias("min_age"),
-        F.when(k % 17 == 0, "12.0").otherwise((k % 100).cast("string")).alias("max_age"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("instructor"),
-        F.col("o_orderpriority").alias("location"),
-    )
-
-
 def _order_rules():
     c = {x: F.col(x) for x in ("name", "center_name", "day", "start_time", "end_time", "min_age", "max_age", "status", "instructor", "location")}
     return quality.activity_row_rules(c)
@@ -394,17 +369,6 @@ def paging_sessions(spark, sf):
     return conversation.sessions(t).select("conv_id", "turn", "offset", "page_rows", "has_more")
 
 
-def eval_cases(spark, sf):
-    q = _requests(spark, sf)
-    found = search.matches(_parts_as_activities(spark, sf), q).select(F.col("request_id").alias("id"), "ord")
-    cases = q.select(
-        F.col("request_id").alias("id"), F.struct(F.when(F.col("request_id") % 3 == 0, "economy").alias("day"), F.when(F.col("request_id") % 2 == 0, "RED").alias("category_contains"), F.lit(5).alias("min_results")).alias("expected"),
-        F.struct("day", "category").alias("observed"),
-    )
-    done = evalcases.evaluate(evalcases.result_counts(cases, found))
-    return done.select("id", "result_count", F.size("failures").cast("long").alias("n_failures"), "passed")
-
-
 def eval_score(spark, sf):
     done = eval_cases(spark, sf)
     return evalcases.score(done).select("total", "passed", "failed", F.round("score_percent", 6).alias("score_percent"))
@@ -454,4 +418,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_candidates, routes, lexicon_slots, conv_labels, conv_state, known_slots, paging_sessions, eval_cases, eval_score, json_fields, stream_state, stream_validate, stream_messages, stream_search,
         stream_dedup,
     )
-    return {f.__name__: f for f in found} | layouts.queries() | chats.queries() | stores.queries()
+    return {f.__name__: f for f in found} | layouts.queries() | chats.queries() | stores.queries() | reports.queries()

@@ -188,6 +188,17 @@ def ingest_stream(records: DataFrame, keys: list[str], time: str, delay: str = "
     return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_by_order_stream(records: DataFrame, keys: list[str], order: str, time: str, gap: str, delay: str) -> DataFrame:
+    """Of records with equal keys the one with the least ``order``, in whatever order they arrive.
+
+    Records of a key that come no more than ``gap`` apart in event time are one group; it comes out once, when the watermark
+    (``delay`` behind the latest event) has passed its end.  A key that is seen again later makes a new group.
+    """
+    payload = F.struct(*[c for c in records.columns if c not in keys])
+    least = records.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.min_by(payload, F.col(order)).alias("_first"))
+    return least.select(*keys, "_first.*")
+
+
 def validate_stream(records: DataFrame, row_rules: list[Rule], keep: list[str]) -> DataFrame:
     """Broken rules of a stream's rows."""
     return violations(records, row_rules, keep)
