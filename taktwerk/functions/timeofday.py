@@ -66,6 +66,11 @@ def time_range(c: Column) -> Column:
     return _let(parts, lambda p: F.struct(canonical_time(F.get(p, F.lit(0))).alias("start"), canonical_time(F.get(p, F.lit(1))).alias("end")))
 
 
+def _stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def seconds_of(c: Column) -> Column:
     """Seconds of the day of ``H:M``, ``H:M:S``, a timestamp's text, or a text that begins with a time; else null."""
     head = r"^(?:\d{4}-\d{2}-\d{2}[ T])?(\d{1,2}:\d{1,2}(?::\d{1,2})?)"
@@ -75,18 +80,18 @@ def seconds_of(c: Column) -> Column:
         s = F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0))
         return F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s)
 
-    return _let(F.split(F.regexp_extract(F.trim(c.cast("string")), head, 1), ":"), of)
+    return _let(F.split(F.regexp_extract(_stripped(c), head, 1), ":"), of)
 
 
 def strict_seconds(c: Column) -> Column:
     """Seconds of the day of exactly ``H:M`` or ``H:M:S``; else null."""
-    t = F.trim(c.cast("string"))
+    t = _stripped(c)
     return F.when(t.rlike(r"^\d{1,2}:\d{1,2}(:\d{1,2})?$"), seconds_of(t))
 
 
 def valid_clock(c: Column) -> Column:
     """``HH:mm`` of exactly ``h:mm`` within the day; else null."""
-    t = F.trim(c)
+    t = _stripped(c)
     h, m = _part(t, r"^(\d{1,2}):(\d{2})$", 1), _part(t, r"^(\d{1,2}):(\d{2})$", 2)
     return F.when((h <= 23) & (m <= 59), _clock(h, m))
 

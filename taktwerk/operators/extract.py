@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from taktwerk.functions import rules
 from taktwerk.functions.text import any_in, clean_text, squeezed
 from taktwerk.functions.timeofday import add_minutes, canonical_day, canonical_time, status_of, time_range
+from taktwerk.operators.ranking import running_total
 from taktwerk.operators.rows import audience_by_name, duration_rules, infer_end, keep_first
 from taktwerk.schemas import ACTIVITY
+from taktwerk.sources.tables import written
 
 TIME = r"\d{1,2}[:.]\d{2}"
 
@@ -347,14 +349,37 @@ def ingest(paragraphs: DataFrame, cells: DataFrame, layouts: DataFrame) -> DataF
         basic(of(paragraphs, "basic")), dirty(of(paragraphs, "dirty")), matrix(of(paragraphs, "table"), of(cells, "table")),
         bilingual(of(paragraphs, "bilingual"), of(cells, "bilingual")), grouped(of(paragraphs, "grouped")), edge(of(paragraphs, "edge")),
     ]
-    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    table = written(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "activities")
     place = F.struct("source_file", "n")
     first = table.withColumn("_place", place)
     first = first.withColumn("_k", F.row_number().over(Window.partitionBy(*SAME_ROW).orderBy("_place"))).where("_k = 1").drop("_k", "_place")
     # One row per file.
     files = table.groupBy("source_file").agg((F.max("n") + 1).alias("_size"))
-    files = files.withColumn("_base", F.coalesce(F.sum("_size").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return first.join(files.drop("_size"), "source_file").withColumn("ord", (F.col("_base") + F.col("n")).cast("long")).drop("n", "_base")
+    files = running_total(files, ["source_file"], "_size", "_base").drop("_size")
+    return first.join(files, "source_file").withColumn("ord", (F.col("_base") + F.col("n")).cast("long")).drop("n", "_base")
 
 
-__all__ = ["adaptive_parts", "add_minutes", "basic", "bilingual", "carried", "dirty", "edge", "following", "grouped", "ingest", "matrix", "section", "unpivoted"]
+def routed(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files that a manifest (``source_file, layout``) names, with their layout, and what does not fit: ``source_file, problem``.
+
+    ``absent``: the manifest names a file that is not there; ``unrouted``: a file is there that it does not name.
+    """
+    named = files.withColumn("source_file", F.regexp_extract("path", "[^/]*$", 0))
+    kept = named.join(manifest.select("source_file", "layout"), "source_file")
+    listed = named.select("source_file")
+    absent = manifest.select("source_file").join(listed, "source_file", "left_anti").select("source_file", F.lit("absent").alias("problem"))
+    unrouted = listed.join(manifest.select("source_file"), "source_file", "left_anti").select("source_file", F.lit("unrouted").alias("problem"))
+    return kept, absent.unionByName(unrouted)
+
+
+def ingest_files(files: DataFrame, manifest: DataFrame, paragraphs_of, cells_of) -> tuple[DataFrame, DataFrame]:
+    """All files of a manifest as one table (:func:`ingest`), and the files that do not fit it (:func:`routed`).
+
+    Files (``path, content``) are opened once; ``paragraphs_of`` and ``cells_of`` read them (see :mod:`taktwerk.sources.documents`).
+    """
+    kept, problems = routed(files, manifest)
+    parts = [written(read(kept.select("path", "content")), name) for read, name in ((paragraphs_of, "paragraphs"), (cells_of, "cells"))]
+    return ingest(*parts, manifest.select("source_file", "layout")), problems
+
+
+__all__ = ["adaptive_parts", "add_minutes", "basic", "bilingual", "carried", "dirty", "edge", "following", "grouped", "ingest", "ingest_files", "matrix", "routed", "section", "unpivoted"]

@@ -54,3 +54,17 @@ def page_after(df: DataFrame, order: list[str], last: list, n: int) -> DataFrame
         here = F.col(order[i])
         later = (here > F.lit(last[i])) | ((here == F.lit(last[i])) & later)
     return df.where(later).orderBy(*order).limit(n)
+
+
+def running_total(df: DataFrame, order: list[str], value: str, into: str) -> DataFrame:
+    """The rows with the sum of ``value`` over all rows before them in a total order.
+
+    Rows are dealt by ranges and written; sums of whole ranges (one row each) give where a range begins, a window within it the rest.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("_range"))
+    dealt = written(dealt, "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    begins = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(begins), "_range").select(*df.columns, (F.col("_begin") + within).alias(into))

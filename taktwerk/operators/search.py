@@ -282,10 +282,10 @@ def answers(results: DataFrame, line: Column, n: int = PAGE) -> DataFrame:
     return first.groupBy("request_id").agg(F.first("total").alias("total"), lines.alias("answer")).withColumn("has_more", F.col("total") > n)
 
 
-def search_events(events: DataFrame, **filters) -> DataFrame:
+def search_events(events: DataFrame, target_age_group: str | None = None, **filters) -> DataFrame:
     """Events by target age group, day, place and start; the filters of the activity search."""
     table = events.withColumnRenamed("target_age_group", "target_audience")
-    return search(table, with_cancelled=True, **filters)
+    return search(table, with_cancelled=True, **{"target_audience": target_age_group} | filters)
 
 
 def search_volunteering(posts: DataFrame, volunteer_age: int | None = None, **filters) -> DataFrame:

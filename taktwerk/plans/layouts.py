@@ -11,6 +11,8 @@ from taktwerk.functions import rules
 from taktwerk.functions import text as tx
 from taktwerk.functions import timeofday as td
 from taktwerk.operators import conversation, evalcases, extract, quality, rows
+from taktwerk.sources import documents
+
 
 def _columns() -> list[Column]:
     return [F.col(c) for c in ("p_size", "p_name", "p_brand", "p_type")]
@@ -37,36 +39,104 @@ def _shown(table: DataFrame, *columns: str) -> DataFrame:
     return table.select(F.col("source_file").cast("long").alias("p_partkey"), *columns)
 
 
-def layout_basic(spark, sf):
+def basic_lines() -> list[Column]:
     n, name, brand, kind = _columns()
     tail = F.when(n % 2 == 0, F.lit(f" ({rules.MIXED}) – extra")).otherwise("")
     time = F.format_string("%d:%02d - 23.59 ", n % 24, n % 60)
-    docs = _paragraphs(spark, sf, F.concat(F.lit("  "), name), F.lit("9:00-10:00 early"), F.lit(rules.SECTION_START[1]), F.lit("יום שני"), F.concat(time, name, F.lit(" – "), brand, F.lit(" - "), kind, tail), F.lit("no time"))
-    return _shown(extract.basic(docs), "center_name", "day", "start_time", "end_time", "name", "instructor", "location", "target_audience", "notes")
+    return [F.concat(F.lit("  "), name), F.lit("9:00-10:00 early"), F.lit(rules.SECTION_START[1]), F.lit("יום שני"), F.concat(time, name, F.lit(" – "), brand, F.lit(" - "), kind, tail), F.lit("no time")]
 
 
-def layout_dirty(spark, sf):
+def layout_basic(spark, sf):
+    return _shown(extract.basic(_paragraphs(spark, sf, *basic_lines())), "center_name", "day", "start_time", "end_time", "name", "instructor", "location", "target_audience", "notes")
+
+
+def dirty_lines() -> list[Column]:
     n, name, brand, kind = _columns()
     line = _choice(
         n % 3, F.concat(F.lit("9.15 | "), name, F.lit(" | "), brand, F.lit(" | "), kind), F.concat(F.lit("18:00-19:00, "), name, F.lit(", "), brand, F.lit(f", {rules.CANCELLED}")),
         F.concat(F.lit(f"8:00 {rules.EVENING} - "), name, F.lit(" - "), F.lit(rules.PLACEHOLDERS[1])),
     )
-    docs = _paragraphs(spark, sf, name, F.lit(rules.SECTION_START[1]), F.lit("יום חמישי"), line, F.lit("* 10:00 remark"), line)
-    return _shown(extract.dirty(docs), "day", "start_time", "end_time", "end_time_source", "name", "instructor", "location", "status")
+    return [name, F.lit(rules.SECTION_START[1]), F.lit("יום חמישי"), line, F.lit("* 10:00 remark"), line]
 
 
-def layout_grouped(spark, sf):
+def layout_dirty(spark, sf):
+    return _shown(extract.dirty(_paragraphs(spark, sf, *dirty_lines())), "day", "start_time", "end_time", "end_time_source", "name", "instructor", "location", "status")
+
+
+def grouped_lines() -> list[Column]:
     n, name, brand, kind = _columns()
     detail = F.concat(F.lit("ימים: Monday | שעה: 9:00-10:00 | מדריך/ה: "), brand, F.lit(" | אולם: "), kind, F.when(n % 2 == 0, F.lit(" | גברים | נשים | רמת בסיס | רמת המשך | aside")).otherwise(""))
-    docs = _paragraphs(spark, sf, name, F.lit(rules.GROUPED_START[0]), name, detail, F.lit(f"{rules.GROUPED_END_PREFIX} end"), detail)
-    return _shown(extract.grouped(docs), "day", "start_time", "end_time", "raw_name", "instructor", "location", "target_audience", "level", "notes")
+    return [name, F.lit(rules.GROUPED_START[0]), name, detail, F.lit(f"{rules.GROUPED_END_PREFIX} end"), detail]
 
 
-def layout_edge(spark, sf):
+def layout_grouped(spark, sf):
+    return _shown(extract.grouped(_paragraphs(spark, sf, *grouped_lines())), "day", "start_time", "end_time", "raw_name", "instructor", "location", "target_audience", "level", "notes")
+
+
+def edge_lines() -> list[Column]:
     n, name, brand, kind = _columns()
     meta = F.concat(F.lit("מדריך/ה: "), brand, F.lit(" /  second | מיקום: "), kind, F.when(n % 3 == 0, F.lit(" – סניף ב'")).otherwise(""), F.lit(" | קהל: נשים"), F.when(n % 2 == 0, F.lit(" | חובה הרשמה מראש")).otherwise(""))
-    docs = _paragraphs(spark, sf, name, F.lit(rules.EDGE_START[0]), F.lit("יום שלישי"), F.concat(F.lit("9:30 – 10:15 "), name), F.when(n % 5 != 0, meta), F.lit(rules.EDGE_END), F.lit("11:00-12:00 late"))
-    return _shown(extract.edge(docs), "branch", "day", "start_time", "end_time", "raw_name", "instructor", "location", "target_audience", "notes")
+    return [name, F.lit(rules.EDGE_START[0]), F.lit("יום שלישי"), F.concat(F.lit("9:30 – 10:15 "), name), F.when(n % 5 != 0, meta), F.lit(rules.EDGE_END), F.lit("11:00-12:00 late")]
+
+
+def layout_edge(spark, sf):
+    return _shown(extract.edge(_paragraphs(spark, sf, *edge_lines())), "branch", "day", "start_time", "end_time", "raw_name", "instructor", "location", "target_audience", "notes")
+
+
+#: Layouts by the part's number modulo 8; 6: named by the manifest but absent, 7: there but not named.
+_LAYOUTS = ("basic", "dirty", "table", "bilingual", "grouped", "edge", "basic")
+
+
+def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A Word file for every part, in one of the six layouts, and the manifest that names them."""
+    n, name, brand, kind = _columns()
+    which = (F.col("p_partkey") % 8).cast("int")
+    file = F.concat(F.format_string("%08d", "p_partkey"), F.lit(".docx"))
+    grid = [[*map(F.lit, rules.TABLE_HEADER)], [F.lit(" 8.00 "), F.concat(name, F.lit("\n"), brand, F.lit("\n"), kind, F.when(n % 2 == 0, F.lit(f"\n{rules.MIXED}")).otherwise("")), F.lit("—")], [F.lit("no time"), brand, brand]]
+    english = [[*map(F.lit, rules.BILINGUAL_COLUMNS)], [F.lit("Monday"), F.lit("6:05 PM - 7:00 PM"), F.concat(name, F.lit(" / יוגה")), brand, F.concat(kind, F.lit(" (Age "), n.cast("string"), F.lit("+)"))],
+               [F.lit("—"), F.lit("9:00"), name, brand, kind]]
+    table = lambda rows: F.array(F.array(*[F.array(*r) for r in rows]))
+    lines = {0: basic_lines(), 1: dirty_lines(), 4: grouped_lines(), 5: edge_lines(), 7: [name]}
+    paragraphs, tables = F.array(name), F.array().cast("array<array<array<string>>>")
+    for k, own in lines.items():
+        paragraphs = F.when(which == k, F.array_compact(F.array(*own))).otherwise(paragraphs)
+    for k, own in ((2, grid), (3, english)):
+        tables = F.when(which == k, table(own)).otherwise(tables)
+    parts = _parts(spark, sf)
+    files = documents.word_files(parts.where(which != 6).select(F.concat(F.lit("folder/"), file).alias("path"), paragraphs.alias("p"), tables.alias("t")), "path", "p", "t")
+    layout = F.element_at(F.array(*[F.lit(x) for x in _LAYOUTS]), which + 1)
+    return files, parts.where(which != 7).select(file.alias("source_file"), layout.alias("layout"))
+
+
+def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return extract.ingest_files(*_files(spark, sf), documents.paragraphs, documents.cells)
+
+
+def ingest_all(spark, sf):
+    """Word files in all six layouts, by a manifest, as one table in the order of the files."""
+    found, _ = _ingested(spark, sf)
+    key = F.substring("source_file", 1, 8).cast("long").alias("p_partkey")
+    return found.select(key, "ord", "center_name", "day", "start_time", "end_time", "raw_name", "instructor", "location", "target_audience", F.col("min_age").cast("long").alias("min_age"), "status")
+
+
+def ingest_problems(spark, sf):
+    """Files that the manifest names and that are absent, and files that it does not name."""
+    return _ingested(spark, sf)[1]
+
+
+def workbook_rows(spark, sf):
+    """Parts by brand as workbooks of two sheets, and the rows of one of them."""
+    n, name, brand, kind = _columns()
+    own = _parts(spark, sf).withColumn("file", F.concat(F.lit("books/"), (F.col("p_partkey") / 50).cast("int").cast("string"), F.lit(".xlsx")))
+    row = F.array(F.col("p_partkey").cast("string"), name, F.when(n % 3 != 0, F.concat(F.lit(" "), kind)), F.when(n % 4 != 0, brand).otherwise("<&>"))
+    # At most fifty parts in a book.
+    books = own.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    head = F.array(*[F.lit(x) for x in (" Number", "Name", "Kind ", "Brand")])
+    sheet = lambda title, rows: F.struct(F.lit(title).alias("name"), rows.alias("rows"))
+    books = books.select("file", F.array(sheet("other", F.array(head)), sheet("parts & more", F.concat(F.array(head), F.col("rows")))).alias("sheets"))
+    grid = documents.workbook_cells(documents.workbook_files(books, "file", "sheets"))
+    found = documents.sheet_rows(grid, "parts & more", {"Number": "number", "Name": "name", "Kind": "kind", "Brand": "brand"})
+    return found.select(F.col("number").cast("long").alias("p_partkey"), F.col("row_no").cast("long").alias("row_no"), "name", "kind", "brand")
 
 
 def name_sides(spark, sf):
@@ -168,6 +238,20 @@ SQL = {
         CASE WHEN even THEN 'המשך' END AS level, CASE WHEN even THEN 'aside' END AS notes FROM p""",
     "layout_edge": f"""{_BASE} SELECT p_partkey, CASE WHEN m AND p_size % 3 = 0 THEN 'ב' END AS branch, 'שלישי' AS day, '09:30' AS start_time, '10:15' AS end_time, p_name AS raw_name, CASE WHEN m THEN p_brand || ' / second' END AS instructor,
         CASE WHEN m THEN p_type END AS location, CASE WHEN m THEN 'נשים' END AS target_audience, CASE WHEN m AND even THEN 'חובה הרשמה מראש | registration_required' END AS notes FROM (SELECT *, p_size % 5 <> 0 AS m FROM p)""",
+    "ingest_all": """WITH p AS (SELECT *, p_partkey % 8 AS w, p_size % 2 = 0 AS even, p_size % 5 <> 0 AS m FROM part WHERE p_partkey % 8 < 6),
+        f AS (SELECT *, CASE w WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 10001 WHEN 3 THEN 1 WHEN 4 THEN 3 ELSE 3 END AS n FROM p),
+        o AS (SELECT *, (sum(n + 1) OVER (ORDER BY p_partkey) - 1)::bigint AS ord FROM f)
+        SELECT p_partkey, ord, p_name AS center_name, ['שני', 'חמישי', 'ראשון', 'שני', 'שני', 'שלישי'][w + 1] AS day,
+            CASE w WHEN 0 THEN format('{:02d}:{:02d}', p_size % 24, p_size % 60) WHEN 1 THEN ['09:15', '18:00', '20:00'][p_size % 3 + 1] WHEN 2 THEN '08:00' WHEN 3 THEN '18:05' WHEN 4 THEN '09:00' ELSE '09:30' END AS start_time,
+            CASE w WHEN 0 THEN '23:59' WHEN 1 THEN CASE WHEN p_size % 3 = 1 THEN '19:00' END WHEN 3 THEN '19:00' WHEN 4 THEN '10:00' WHEN 5 THEN '10:15' END AS end_time,
+            CASE w WHEN 3 THEN p_name || ' / יוגה' ELSE p_name END AS raw_name,
+            CASE WHEN w = 1 AND p_size % 3 = 2 THEN NULL WHEN w = 5 THEN CASE WHEN m THEN p_brand || ' / second' END ELSE p_brand END AS instructor,
+            CASE WHEN w = 1 AND p_size % 3 <> 0 OR w = 5 AND NOT m THEN NULL ELSE p_type END AS location,
+            CASE w WHEN 0 THEN CASE WHEN even THEN 'גם לגברים' ELSE 'נשים' END WHEN 1 THEN 'נשים' WHEN 2 THEN CASE WHEN even THEN 'גם לגברים' ELSE 'נשים' END
+                WHEN 3 THEN 'גם לגברים' WHEN 4 THEN CASE WHEN even THEN 'נשים' END ELSE CASE WHEN m THEN 'נשים' END END AS target_audience,
+            CASE WHEN w = 3 THEN p_size::bigint END AS min_age, CASE WHEN w = 1 THEN ['active', 'cancelled', 'tbd'][p_size % 3 + 1] ELSE 'active' END AS status FROM o""",
+    "ingest_problems": "SELECT format('{:08d}.docx', p_partkey) AS source_file, CASE p_partkey % 8 WHEN 6 THEN 'absent' ELSE 'unrouted' END AS problem FROM part WHERE p_partkey % 8 > 5",
+    "workbook_rows": """SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS row_no, p_name AS name, CASE WHEN p_size % 3 <> 0 THEN p_type END AS kind, CASE WHEN p_size % 4 <> 0 THEN p_brand ELSE '<&>' END AS brand FROM part""",
     "name_sides": "SELECT p_partkey, CASE p_size % 4 WHEN 2 THEN p_type WHEN 3 THEN p_name ELSE 'יוגה' END AS he, CASE WHEN p_size % 4 < 3 THEN p_name END AS en FROM part",
     "place_parts": """SELECT p_partkey, p_brand AS location, CASE WHEN p_size % 4 < 2 THEN p_size END::bigint AS min_age, CASE WHEN p_size % 4 = 1 THEN p_size + 9 END::bigint AS max_age,
         CASE WHEN p_size % 4 = 2 THEN 'upstairs' END AS note FROM part""",
@@ -199,6 +283,6 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        layout_basic, layout_dirty, layout_grouped, layout_edge, name_sides, place_parts, detail_fields, audiences, field_forms, turn_labels, request_texts, eval_checks, activity_profile, same_activities,
+        ingest_all, ingest_problems, workbook_rows, layout_basic, layout_dirty, layout_grouped, layout_edge, name_sides, place_parts, detail_fields, audiences, field_forms, turn_labels, request_texts, eval_checks, activity_profile, same_activities,
     )
     return {f.__name__: f for f in found}

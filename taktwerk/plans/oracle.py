@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taktwerk.plans import chats, layouts, reports, stores
+from taktwerk.plans import chats, layouts, lookups, reports, stores
 
 _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 
@@ -247,4 +247,4 @@ _SAME = """CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority END, o_orderkey %
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | layouts.SQL | stores.SQL | reports.sql({"orders": _ORDERS, "cases": _CASES, "same": _SAME})
+    return SQL | layouts.SQL | stores.SQL | lookups.SQL | reports.sql({"orders": _ORDERS, "cases": _CASES, "same": _SAME})

@@ -11,7 +11,7 @@ from taktwerk.functions import text as tx
 from taktwerk.functions import timeofday as td
 from taktwerk.functions.ages import age_bound, age_status, certainty, strict_int
 from taktwerk.operators import conversation, evalcases, extract, messages, quality, ranking, rows, search
-from taktwerk.plans import chats, layouts, reports, stores
+from taktwerk.plans import chats, layouts, lookups, reports, stores
 from taktwerk.plans.common import CLEAR, STOP, slots_of
 from taktwerk.plans.common import SLOTS as _SLOTS
 from taktwerk.plans.common import eval_cases
@@ -418,4 +418,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         merge_candidates, routes, lexicon_slots, conv_labels, conv_state, known_slots, paging_sessions, eval_cases, eval_score, json_fields, stream_state, stream_validate, stream_messages, stream_search,
         stream_dedup,
     )
-    return {f.__name__: f for f in found} | layouts.queries() | chats.queries() | stores.queries() | reports.queries()
+    return {f.__name__: f for f in found} | layouts.queries() | chats.queries() | stores.queries() | reports.queries() | lookups.queries()

@@ -10,8 +10,10 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,26 @@ def _xml(raw: bytes, member: str) -> ElementTree.Element | None:
         return ElementTree.fromstring(z.read(member)) if member in z.namelist() else None
 
 
+def _elements(raw: bytes, member: str, *path: str) -> Iterator[ElementTree.Element]:
+    """The elements at a path of tags below the root, one at a time as the member is read; each is emptied behind its use."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        if member not in z.namelist():
+            return
+        depth, want = 0, len(path) + 1
+        tags: list[str] = []
+        with z.open(member) as stream:
+            for event, node in ElementTree.iterparse(stream, ("start", "end")):
+                if event == "start":
+                    depth += 1
+                    tags.append(node.tag)
+                    continue
+                if depth == want and all(p in ("*", t) for p, t in zip(path, tags[1:], strict=True)):
+                    yield node
+                    node.clear()
+                depth -= 1
+                tags.pop()
+
+
 def _text(node: ElementTree.Element) -> str:
     parts = []
     for x in node.iter():
@@ -46,18 +68,14 @@ def _text(node: ElementTree.Element) -> str:
 
 def docx_paragraphs(raw: bytes) -> list[str]:
     """The trimmed paragraphs of the body that are not blank, without those in tables."""
-    root = _xml(raw, "word/document.xml")
-    body = root.find(f"{_W}body") if root is not None else None
-    found = [_text(p).strip() for p in body.findall(f"{_W}p")] if body is not None else []
+    found = (_text(p).strip() for p in _elements(raw, "word/document.xml", f"{_W}body", f"{_W}p"))
     return [t for t in found if t]
 
 
 def docx_cells(raw: bytes) -> list[tuple[int, int, int, str]]:
     """Table, row, column and text of every cell; one that spans columns stands in each."""
-    root = _xml(raw, "word/document.xml")
-    body = root.find(f"{_W}body") if root is not None else None
     out = []
-    for t, table in enumerate(body.findall(f"{_W}tbl") if body is not None else []):
+    for t, table in enumerate(_elements(raw, "word/document.xml", f"{_W}body", f"{_W}tbl")):
         above: dict[int, str] = {}
         for r, row in enumerate(table.findall(f"{_W}tr")):
             col = 0
@@ -82,14 +100,13 @@ def _column(ref: str) -> int:
 
 def xlsx_cells(raw: bytes) -> list[tuple[str, int, int, str]]:
     """Sheet name, row, column and text of every cell that has a value."""
-    shared_xml, book, links = (_xml(raw, m) for m in ("xl/sharedStrings.xml", "xl/workbook.xml", "xl/_rels/workbook.xml.rels"))
-    shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in shared_xml] if shared_xml is not None else []
+    book, links = (_xml(raw, m) for m in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels"))
+    shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in _elements(raw, "xl/sharedStrings.xml", "*")]
     targets = {x.get("Id"): x.get("Target").lstrip("/") for x in links} if links is not None else {}
     out = []
     for sheet in book.iter(f"{_S}sheet") if book is not None else []:
         target = targets.get(sheet.get(f"{_R}id"), "")
-        root = _xml(raw, target if target.startswith("xl/") else f"xl/{target}")
-        for row in root.iter(f"{_S}row") if root is not None else []:
+        for row in _elements(raw, target if target.startswith("xl/") else f"xl/{target}", f"{_S}sheetData", f"{_S}row"):
             for cell in row.iter(f"{_S}c"):
                 value, inline = cell.find(f"{_S}v"), cell.find(f"{_S}is")
                 text = "".join(t.text or "" for t in inline.iter(f"{_S}t")) if inline is not None else value.text if value is not None else None
@@ -130,10 +147,74 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return _mapped(files, xlsx_cells, "source_file string, sheet string, row_no int, col_no int, text string")
 
 
+def word_bytes(paragraphs: list[str], tables: list[list[list[str]]]) -> bytes:
+    """A Word file with paragraphs, then tables (rows of texts; a line break in one begins a paragraph)."""
+    line = lambda t: f"<w:p><w:r><w:t xml:space='preserve'>{escape(t)}</w:t></w:r></w:p>"
+    cell = lambda t: "<w:tc>" + "".join(map(line, (t or "").split("\n"))) + "</w:tc>"
+    grid = lambda rows: "<w:tbl>" + "".join("<w:tr>" + "".join(map(cell, r)) + "</w:tr>" for r in rows) + "</w:tbl>"
+    body = "".join(map(line, paragraphs)) + "".join(map(grid, tables))
+    return _zipped({"word/document.xml": f"<w:document xmlns:w='{_W[1:-1]}'><w:body>{body}</w:body></w:document>"})
+
+
+def workbook_bytes(sheets: dict[str, list[list[str | None]]]) -> bytes:
+    """A workbook with sheets of texts; a null leaves its cell out."""
+    names, members, links = [], {}, []
+    for k, (name, rows) in enumerate(sheets.items(), 1):
+        lines = []
+        for r, row in enumerate(rows, 1):
+            cells = "".join(f"<c r='{_letters(c)}{r}' t='inlineStr'><is><t xml:space='preserve'>{escape(v)}</t></is></c>" for c, v in enumerate(row) if v is not None)
+            lines.append(f"<row r='{r}'>{cells}</row>")
+        members[f"xl/worksheets/sheet{k}.xml"] = f"<worksheet xmlns='{_S[1:-1]}'><sheetData>{''.join(lines)}</sheetData></worksheet>"
+        names.append(f"<sheet name={quoteattr(name)} sheetId='{k}' r:id='rId{k}'/>")
+        links.append(f"<Relationship Id='rId{k}' Target='worksheets/sheet{k}.xml'/>")
+    members["xl/workbook.xml"] = f"<workbook xmlns='{_S[1:-1]}' xmlns:r='{_R[1:-1]}'><sheets>{''.join(names)}</sheets></workbook>"
+    members["xl/_rels/workbook.xml.rels"] = f"<Relationships>{''.join(links)}</Relationships>"
+    return _zipped(members)
+
+
+def _letters(column: int) -> str:
+    out, n = "", column + 1
+    while n:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def _zipped(members: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def word_files(df: DataFrame, path: str, paragraphs: str, tables: str) -> DataFrame:
+    """``path, content`` of a Word file for each row: its paragraphs (texts) and tables (arrays of rows of texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, lines, grids = (batch.column(i).to_pylist() for i in range(3))
+            made = [word_bytes(p or [], t or []) for p, t in zip(lines, grids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    return df.select(F.col(path).cast("string"), paragraphs, tables).mapInArrow(run, "path string, content binary")
+
+
+def workbook_files(df: DataFrame, path: str, sheets: str) -> DataFrame:
+    """``path, content`` of a workbook for each row: ``sheets`` is an array of name and rows of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [workbook_bytes({s["name"]: s["rows"] for s in row or []}) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    return df.select(F.col(path).cast("string"), sheets).mapInArrow(run, "path string, content binary")
+
+
 def sheet_rows(grid: DataFrame, sheet: str, columns: dict[str, str]) -> DataFrame:
     """A sheet's rows with the columns its first row names, renamed, trimmed, blank as null."""
     own = grid.where(F.col("sheet") == sheet)
-    head = own.where("row_no = 0").select("source_file", "col_no", F.trim("text").alias("head"))
+    head = own.where("row_no = 0").select("source_file", "col_no", nullified(F.col("text")).alias("head"))
     body = own.where("row_no > 0").join(head, ["source_file", "col_no"])
     wide = body.groupBy("source_file", "row_no").pivot("head", list(columns)).agg(F.first("text")).drop("source_file")
     return wide.select("row_no", *[nullified(F.col(f"`{old}`")).alias(new) for old, new in columns.items()])

@@ -73,3 +73,10 @@ def test_ages(spark):
     got = [r.s for r in df.select(age_status(F.col("lo"), F.col("hi"), F.col("age")).alias("s")).collect()]
     assert got == ["unknown", "no_match", "match", "no_match", "match", None]
     assert values(spark, certainty(X()), ["match", "unknown", "no_match", None]) == [0, 1, 2, 3]
+
+
+def test_white_space_of_any_kind_around_times(spark):
+    odd = ["\t9:30", "9:30\n", "  9:30 \r\n", "\n", None]
+    assert values(spark, td.seconds_of(X()), odd) == [34_200, 34_200, 34_200, None, None]
+    assert values(spark, td.strict_seconds(X()), odd) == [34_200, 34_200, 34_200, None, None]
+    assert values(spark, td.valid_clock(X()), odd) == ["09:30", "09:30", "09:30", None, None]
