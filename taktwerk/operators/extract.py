@@ -372,14 +372,16 @@ def routed(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]
     return kept, absent.unionByName(unrouted)
 
 
-def ingest_files(files: DataFrame, manifest: DataFrame, paragraphs_of, cells_of) -> tuple[DataFrame, DataFrame]:
+def ingest_files(files: DataFrame, manifest: DataFrame, contents_of) -> tuple[DataFrame, DataFrame]:
     """All files of a manifest as one table (:func:`ingest`), and the files that do not fit it (:func:`routed`).
 
-    Files (``path, content``) are opened once; ``paragraphs_of`` and ``cells_of`` read them (see :mod:`taktwerk.sources.documents`).
+    Files (``path, content``) are opened once, by ``contents_of`` (see :func:`taktwerk.sources.documents.contents`).
     """
     kept, problems = routed(files, manifest)
-    parts = [written(read(kept.select("path", "content")), name) for read, name in ((paragraphs_of, "paragraphs"), (cells_of, "cells"))]
-    return ingest(*parts, manifest.select("source_file", "layout")), problems
+    both = written(contents_of(kept.select("path", "content")), "contents")
+    paragraphs = both.where("n IS NOT NULL").select("source_file", "n", "text")
+    cells = both.where("n IS NULL").select("source_file", "table_no", "row_no", "col_no", "text")
+    return ingest(paragraphs, cells, manifest.select("source_file", "layout")), problems
 
 
 __all__ = ["adaptive_parts", "add_minutes", "basic", "bilingual", "carried", "dirty", "edge", "following", "grouped", "ingest", "ingest_files", "matrix", "routed", "section", "unpivoted"]

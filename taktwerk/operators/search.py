@@ -144,8 +144,9 @@ def _request_keys(want: dict[str, Column]) -> dict[str, Column]:
     return {c: F.transform(k, lambda x: x.cast("string")) for c, k in out.items()}
 
 
-def _entries(kind: str, column: str, keys: Column) -> Column:
-    return F.transform(keys, lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"), v.alias("key")))
+def _entries(kind: str | None, column: str, keys: Column) -> Column:
+    named = [F.lit(kind).alias("kind")] if kind else []
+    return F.transform(keys, lambda v: F.struct(*named, F.lit(column).alias("column"), v.alias("key")))
 
 
 def _tied(activities: DataFrame, requests: DataFrame, row: dict[str, Column], want: dict[str, Column]) -> DataFrame:
@@ -163,11 +164,16 @@ def _tied(activities: DataFrame, requests: DataFrame, row: dict[str, Column], wa
     asked = requests.select(
         "request_id", F.inline(F.array_compact(F.array(*[F.when(want[f].isNotNull() & (want[f] != ""), F.struct(F.lit(f).alias("kind"), want[f].alias("wanted"))) for f in texts] or [F.lit(None).cast("struct<kind:string,wanted:string>")])))
     )
+    # Both directions in one look-up: wanted texts inside of held ones, and held ones inside of wanted ones.
     wanted = asked.select("kind", F.col("wanted").alias("text")).distinct()
     held = values.where(F.col("kind").isin(*texts)).select("kind", F.col("key").alias("text")).distinct()
-    inside = contained_pairs(wanted, held).select("kind", F.col("needle").alias("wanted"), F.col("hay").alias("key"))
-    around = contained_pairs(held, wanted).where("needle <> hay").select("kind", F.col("hay").alias("wanted"), F.col("needle").alias("key"))
-    passed = asked.join(inside.unionByName(around), ["kind", "wanted"], "left").select("request_id", "kind", "key")
+    way = lambda df, sign: df.select(F.concat("kind", F.lit(sign)).alias("kind"), "text")
+    pairs = contained_pairs(way(wanted, "<").unionByName(way(held, ">")), way(held, "<").unionByName(way(wanted, ">")))
+    inside = F.endswith("kind", F.lit("<"))
+    pairs = pairs.where(inside | (F.col("needle") != F.col("hay"))).select(
+        F.expr("left(kind, length(kind) - 1)").alias("kind"), F.when(inside, F.col("needle")).otherwise(F.col("hay")).alias("wanted"), F.when(inside, F.col("hay")).otherwise(F.col("needle")).alias("key")
+    )
+    passed = asked.join(pairs, ["kind", "wanted"], "left").select("request_id", "kind", "key")
     exact = requests.select("request_id", F.inline(F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(c).alias("kind"), k.alias("keys"))) for c, k in keys.items()]))))
     passed = passed.unionByName(exact.select("request_id", "kind", F.explode_outer("keys").alias("key")))
     costs = passed.join(values, ["kind", "key"], "left").groupBy("request_id", "kind").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "key"))).alias("keys"))
@@ -194,23 +200,14 @@ def matches(activities: DataFrame, requests: DataFrame, with_cancelled: bool = F
     age = q_want.get("age", F.lit(None).cast("int"))
     shown = [F.col("q.request_id"), *[F.col(f"a.{c}") for c in shown_columns], bound_status(a_row["min_age"], a_row["max_age"], age).alias("age_match")]
     fits = _prepared_conditions(a_row, q_want, with_cancelled)
-    parts = []
-    for column in sorted(used):
-        own_keys = _row_keys(row(""), column, F.col("ord"))
-        a = activities.withColumn("_key", F.explode(own_keys) if column == "age" else F.get(own_keys, F.lit(0))).alias("a")
-        q = tied.where(F.col("column") == column).select("request_id", F.col("key").alias("_key")).join(requests, "request_id").alias("q")
-        ok = fits
-        if column in TYPE_COLUMNS:
-            # A row whose value in an earlier column lets it through has come out there.
-            for earlier in TYPE_COLUMNS[: TYPE_COLUMNS.index(column)]:
-                ok = ok & ~F.coalesce(form_match(a_row[earlier], q_want["category"]), F.lit(False))
-        parts.append(a.join(q, F.col("a._key") == F.col("q._key")).where(ok).select(*shown))
-    if not parts:
-        parts.append(activities.alias("a").join(requests.where("false").alias("q"), F.col("a.ord") == F.col("q.request_id").cast("string")).select(*shown))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys = F.concat(F.array().cast("array<struct<column:string,key:string>>"), *[_entries(None, c, _row_keys(row(""), c, F.col("ord"))) for c in sorted(used)])
+    a = activities.select("*", F.inline(keys).alias("_column", "_key")).alias("a")
+    q = tied.withColumnsRenamed({"column": "_column", "key": "_key"}).join(requests, "request_id").alias("q")
+    for k, column in enumerate(TYPE_COLUMNS):
+        # A row whose value in an earlier column lets it through has come out there.
+        for earlier in TYPE_COLUMNS[:k] if column in used else ():
+            fits = fits & ~((F.col("a._column") == column) & F.coalesce(form_match(a_row[earlier], q_want["category"]), F.lit(False)))
+    return a.join(q, (F.col("a._column") == F.col("q._column")) & (F.col("a._key") == F.col("q._key"))).where(fits).select(*shown)
 
 
 def search_many(activities: DataFrame, requests: DataFrame, with_cancelled: bool = False, first: int | None = None) -> DataFrame:

@@ -102,26 +102,23 @@ def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         paragraphs = F.when(which == k, F.array_compact(F.array(*own))).otherwise(paragraphs)
     for k, own in ((2, grid), (3, english)):
         tables = F.when(which == k, table(own)).otherwise(tables)
-    parts = _parts(spark, sf)
+    # A table in one file, but documents that many tasks can make and read.
+    parts = _parts(spark, sf).repartition("p_partkey")
     files = documents.word_files(parts.where(which != 6).select(F.concat(F.lit("folder/"), file).alias("path"), paragraphs.alias("p"), tables.alias("t")), "path", "p", "t")
     layout = F.element_at(F.array(*[F.lit(x) for x in _LAYOUTS]), which + 1)
     return files, parts.where(which != 7).select(file.alias("source_file"), layout.alias("layout"))
 
 
-def _ingested(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return extract.ingest_files(*_files(spark, sf), documents.paragraphs, documents.cells)
-
-
 def ingest_all(spark, sf):
     """Word files in all six layouts, by a manifest, as one table in the order of the files."""
-    found, _ = _ingested(spark, sf)
+    found, _ = extract.ingest_files(*_files(spark, sf), documents.contents)
     key = F.substring("source_file", 1, 8).cast("long").alias("p_partkey")
     return found.select(key, "ord", "center_name", "day", "start_time", "end_time", "raw_name", "instructor", "location", "target_audience", F.col("min_age").cast("long").alias("min_age"), "status")
 
 
 def ingest_problems(spark, sf):
     """Files that the manifest names and that are absent, and files that it does not name."""
-    return _ingested(spark, sf)[1]
+    return extract.routed(*_files(spark, sf))[1]
 
 
 def workbook_rows(spark, sf):

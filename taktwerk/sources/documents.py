@@ -122,7 +122,7 @@ def _mapped(files: DataFrame, parse, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(_name(path), *row) for path, raw in zip(batch["path"], batch["content"], strict=True) for row in parse(bytes(raw))]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -142,6 +142,15 @@ def cells(files: DataFrame) -> DataFrame:
     return _mapped(files, docx_cells, CELL)
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """Paragraphs and cells of Word documents in one table, each file opened once: those with ``n`` are paragraphs."""
+    def both(raw: bytes) -> list[tuple]:
+        lines = [(n, None, None, None, text) for n, text in enumerate(docx_paragraphs(raw))]
+        return lines + [(None, *cell) for cell in docx_cells(raw)]
+
+    return _mapped(files, both, "source_file string, n int, table_no int, row_no int, col_no int, text string")
+
+
 def workbook_cells(files: DataFrame) -> DataFrame:
     """(source_file, sheet, row_no, col_no, text) of workbooks."""
     return _mapped(files, xlsx_cells, "source_file string, sheet string, row_no int, col_no int, text string")

@@ -38,7 +38,7 @@ def test_manifest_and_files_that_do_not_fit(spark):
     kept, problems = extract.routed(files, manifest)
     assert [(r.source_file, r.layout) for r in kept.collect()] == [("x.docx", "basic")]
     assert sorted(map(tuple, problems.collect())) == [("y.docx", "unrouted"), ("z.docx", "absent")]
-    found, problems = extract.ingest_files(files, manifest, documents.paragraphs, documents.cells)
+    found, problems = extract.ingest_files(files, manifest, documents.contents)
     assert found.count() == 0 and problems.count() == 2 and "ord" in found.columns
 
 
