@@ -87,19 +87,3 @@ def verdict(found: DataFrame) -> DataFrame:
     """One row: errors, warnings, and PASS if there is no error."""
     out = found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     return out.withColumn("status", F.when(F.col("errors") == 0, "PASS").otherwise("FAIL"))
-
-
-def validation_report(df: DataFrame) -> DataFrame:
-    """The report as one row of nested values: summary, statistics, errors, warnings and duplicates."""
-    c = {x: F.col(x) for x in df.columns}
-    found = violations(df, activity_row_rules(c), ["ord"])
-    totals = df.agg(F.count(F.lit(1)).alias("total_activities"))
-    dups = same_activities(df).agg(F.count(F.lit(1)).alias("duplicate_groups"), F.collect_list(F.struct("first", "members")).alias("duplicates"))
-    by_rule = found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
-    by_rule = by_rule.agg(F.array_sort(F.collect_list(F.struct("severity", "rule", "n"))).alias("rules"))
-    stats = activity_profile(df).agg(F.array_sort(F.collect_list(F.struct("column", "value", "n"))).alias("statistics"))
-    # Each part is one row; the parts meet on a constant.
-    out = verdict(found).withColumn("_k", F.lit(1))
-    for part in (totals, dups, by_rule, stats):
-        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")

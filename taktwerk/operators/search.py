@@ -15,7 +15,7 @@ from taktwerk.functions.text import form_match, search_form, tolerant_match
 from taktwerk.functions.timeofday import at_or_after, at_or_before, seconds_of
 from taktwerk.operators.index import contained_pairs
 from taktwerk.operators.ranking import ranked
-from taktwerk.sources.tables import written
+from taktwerk.sources.tables import scratch, written
 
 #: Filters that are compared as text, with the activity's column of the same name.
 TEXT_FILTERS = ["day", "location", "target_audience", "center_name", "branch", "instructor"]
@@ -194,7 +194,8 @@ def matches(activities: DataFrame, requests: DataFrame, with_cancelled: bool = F
     kind = lambda c: "int" if c in ("min_age", "max_age", "start_time") else "string"
     row = lambda t: {c: F.col(f"{t}{own[c]}") if c in own else F.lit(None).cast(kind(c)) for c in compared}
     want = lambda t: {c: F.col(f"{t}{f}") for c, f in asked.items()}
-    tied = written(_tied(activities, requests, row(""), want("")), "search-keys")
+    with scratch(activities.sparkSession) as keep:
+        tied = keep(_tied(activities, requests, row(""), want("")), "search-keys")
     used = {r["column"] for r in tied.select("column").distinct().collect()}
     a_row, q_want = row("a."), want("q.")
     age = q_want.get("age", F.lit(None).cast("int"))

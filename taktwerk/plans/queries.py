@@ -12,7 +12,7 @@ from taktwerk.functions import timeofday as td
 from taktwerk.functions.ages import age_bound, age_status, certainty, strict_int
 from taktwerk.operators import conversation, evalcases, extract, messages, quality, ranking, rows, search
 from taktwerk.plans import chats, layouts, lookups, reports, stores
-from taktwerk.plans.common import CLEAR, STOP, slots_of
+from taktwerk.plans.common import CLEAR, STOP, shared_folder, slots_of
 from taktwerk.plans.common import SLOTS as _SLOTS
 from taktwerk.plans.common import eval_cases
 from taktwerk.plans.common import order_rows as _order_rows
@@ -396,13 +396,12 @@ def stream_messages(spark, sf):
 
 
 def stream_search(spark, sf):
-    acts = _parts_as_activities(spark, sf)
-
-    def make(source):
-        n = F.col("n_nationkey")
-        return jobs.search_stream(source.select(n.cast("long").alias("request_id"), F.when(n % 2 == 0, "economy").otherwise("small").alias("day"), (n * 2).alias("age")), acts)
-
-    return _stream(spark, sf, "nation", make).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("total"))
+    path, n = shared_folder(spark, "stream"), F.col("n_nationkey")
+    source = spark.readStream.schema(_table(spark, sf, "nation").schema).parquet(f"{sf}/nation.parquet*")
+    asked = source.select(n.cast("long").alias("request_id"), F.when(n % 2 == 0, "economy").otherwise("small").alias("day"), (n * 2).alias("age"))
+    each = jobs.search_stream(_parts_as_activities(spark, sf), f"{path}/out")
+    asked.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("total"))
 
 
 def stream_dedup(spark, sf):

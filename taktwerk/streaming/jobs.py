@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -14,7 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from taktwerk.operators import sessions
 from taktwerk.operators.messages import Words, understand
 from taktwerk.operators.quality import Rule, violations
-from taktwerk.operators.search import conditions
+from taktwerk.operators.search import matches
+from taktwerk.sources.tables import scratch
 
 #: Set this before a stateful stream starts; the default store does not hold such state.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -173,14 +174,17 @@ def understand_stream(messages: DataFrame, words: Words | None = None) -> DataFr
     return understand(messages, words)
 
 
-def search_stream(requests: DataFrame, activities: DataFrame) -> DataFrame:
-    """Each request of a stream with the activities of a table that fit."""
-    q, a = requests.alias("q"), activities.alias("a")
-    row = {c: F.col(f"a.{c}") for c in activities.columns}
-    for c in ("category", "name", "english_name", "min_age", "max_age", "status", "start_time", "day", "location", "target_audience", "center_name", "branch", "instructor"):
-        row.setdefault(c, F.lit(None).cast("string"))
-    want = {c: F.col(f"q.{c}") for c in requests.columns if c != "request_id"}
-    return q.join(a, conditions(row, want)).select("q.request_id", "a.*")
+def search_stream(activities: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on a stream of requests: each batch meets the table by the keys of :func:`taktwerk.operators.search.matches`.
+
+    A batch's finds go to a folder of their own below ``out``, which a batch that is run again replaces.
+    """
+
+    def run(requests: DataFrame, number: int) -> None:
+        with scratch(requests.sparkSession):
+            matches(activities, requests).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    return run
 
 
 def ingest_stream(records: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:

@@ -1,13 +1,14 @@
 """Search, paging, quality, messages, conversations and cases on small tables."""
 
 import datetime
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from taktwerk.functions import rules
 from taktwerk.operators import conversation as conv
-from taktwerk.operators import evalcases, messages, quality, rows, search
+from taktwerk.operators import evalcases, messages, quality, reports, rows, search
 from taktwerk.schemas import ORDERED_ACTIVITY
 from taktwerk.streaming import jobs
 
@@ -90,10 +91,12 @@ def test_row_rules_and_report(spark, activities):
     common = {"center_empty", "instructor_empty", "location_empty"}
     assert by[7] == common | {"name_empty", "day_unknown", "start_invalid", "min_age_range", "max_age_range", "ages_crossed", "status_unknown"} - {"ages_crossed"}
     assert by[8] == common | {"end_not_after_start", "ages_crossed"}
-    report = quality.validation_report(activities.unionByName(activities.where("ord = 1").withColumn("ord", F.lit(9).cast("long")).withColumn("name", F.lit(" יוגה")))).first()
-    assert (report.status, report.total_activities, report.duplicate_groups) == ("FAIL", 7, 1)
-    assert [len(d.members) for d in report.duplicates] == [2]
-    assert {(s.column, s.value, s.n) for s in report.statistics} >= {("status", "missing", 1), ("missing:age_range", "missing", 3), ("day", "שלישי", 6)}
+    twice = activities.unionByName(activities.where("ord = 1").withColumn("ord", F.lit(9).cast("long")).withColumn("name", F.lit(" יוגה")))
+    report = reports.validate(twice, tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/r")
+    summary = report.part("summary").first()
+    assert (summary.status, summary.total_activities, summary.duplicate_groups) == ("FAIL", 7, 1)
+    assert sorted(r.ord for r in report.part("duplicates").collect()) == [1, 9]
+    assert {(s.column, s.value, s.n) for s in report.part("statistics").collect()} >= {("status", "missing", 1), ("missing:age_range", "missing", 3), ("day", "שלישי", 6)}
 
 
 def test_dayparts_overlap(spark):

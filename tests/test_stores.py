@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from taktwerk.sources import arrays, records
+from taktwerk.sources import arrays, records, tables
 from taktwerk.sources.versions import Conflict, Versions, with_current
 
 
@@ -103,3 +103,15 @@ def test_loose_records(spark):
     texts = [(1, '{"k": 3}'), (2, '{"k": "x"}'), (3, "{"), (4, None), (5, "7"), (6, ""), (7, '{"k": {"k": 1}}'), (8, "null")]
     got = records.loose(spark.createDataFrame(texts, "i int, raw string"), "raw", {"k": ("$.k", "int")}).orderBy("i").collect()
     assert [(r.state, r.k) for r in got] == [("object", 3), ("object", None), ("broken", None), ("null", None), ("other", None), ("broken", None), ("object", None), ("other", None)]
+
+
+def test_scratch_removes_all_but_what_is_kept(spark):
+    with tables.scratch(spark) as keep:
+        gone, kept = tables.written(spark.range(3), "a"), keep(spark.range(4), "b")
+        with tables.scratch(spark) as inner:
+            mine = inner(spark.range(5), "c")
+        assert (gone.count(), mine.count()) == (3, 5)
+    assert kept.count() == 4
+    for df in (gone, mine):
+        with pytest.raises(Exception, match="(?i)not.*exist"):
+            df.count()
