@@ -2,8 +2,9 @@
 
 Archives are written with Spark's text writer: a record ends with two line breaks, which is the
 writer's separator, so that each part is a valid WARC/1.0 file in one gzip stream.  They are read with
-Spark's text reader, split at the version line; a piece that is shorter than its Content-Length says
-(because the version line stands in a payload) is joined with the pieces after it.
+Spark's text reader, split at the version (1.0 or 1.1); a piece that is shorter than its Content-Length says
+(because a version stands in a payload) is joined with the pieces after it.  A record whose length is wrong comes out
+with that fault, and those behind it come out whole.
 
 From each response come a metadata record (JSON: the source record's headers, the HTTP status and
 headers, title, meta elements and links of the page) and a conversion record (its visible text).  Both
@@ -25,7 +26,9 @@ import json
 import re
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -136,29 +139,96 @@ def _split(piece: bytes) -> tuple[list[tuple[str, str]], bytes, bool]:
     return headers, rest[:n], len(rest) >= n
 
 
+#: What pieces of an archive are cut at; a record's piece goes on with the last digit of its version.
+SPLIT = b"WARC/1."
+#: A block that is said to be longer is given up where another record begins.
+MOST_BLOCK = 1 << 28
+
+
+def _opening(piece: bytes) -> tuple[list[tuple[str, str]], int, int | None] | None:
+    """Headers, where the block begins, and its stated length, if a piece begins a record (of version 1.0 or 1.1)."""
+    if piece[:3] not in (b"0\r\n", b"1\r\n"):
+        return None
+    end = piece.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    headers, _, _ = _split(piece[3 : end + 4])
+    if not header(headers, "WARC-Type"):
+        return None
+    length = header(headers, "Content-Length")
+    return headers, end + 4, int(length) if length.isascii() and length.isdigit() else None
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """Headers, block and fault of each record of one archive.
+
+    A block that holds the cut itself is put together from its pieces by the stated length.  Where nothing but line ends stands
+    behind that length, the length is right.  Else the record comes out with the fault ``length`` and what stands in its first piece, and
+    reading goes on at the next piece that begins a record, so that a wrong length costs no record but its own.
+    """
+    waiting: deque[bytes] = deque()
+
+    def take() -> bytes | None:
+        return waiting.popleft() if waiting else next(pieces, None)
+
+    while (piece := take()) is not None:
+        found = _opening(piece)
+        if found is None:
+            continue
+        headers, start, length = found
+        if length is None:
+            yield headers, piece[start:].removesuffix(END.encode()), "no length"
+            continue
+        parts, have = [piece], len(piece) - start
+        while have < length + len(END):
+            more = take()
+            if more is None:
+                break
+            if length > MOST_BLOCK and _opening(more) is not None and parts[-1].endswith(END.encode()):
+                waiting.appendleft(more)
+                break
+            parts.append(more)
+            have += len(SPLIT) + len(more)
+        block = SPLIT.join([parts[0][start:], *parts[1:]])
+        if len(block) >= length and not block[length:].strip(b"\r\n"):
+            yield headers, block[:length], None
+        else:
+            yield headers, parts[0][start:].removesuffix(END.encode()), "length"
+            waiting.extendleft(reversed(parts[1:]))
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, source = b"", None
-    for batch in batches:
-        rows: list[tuple[list, bytes]] = []
-        for piece, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist(), strict=True):
-            if file != source:
-                held, source = b"", file
-            if not held and not piece:
-                continue
-            held = held + VERSION.encode() + piece if held else piece
-            headers, block, complete = _split(held)
-            if complete:
-                rows.append((headers, block))
-                held = b""
-        named = pa.array([list(dict(h).items()) for h, _ in rows], pa.map_(pa.string(), pa.string()))
-        every = pa.array([[{"name": k, "value": v} for k, v in h] for h, _ in rows], pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))
-        yield pa.RecordBatch.from_arrays([named, every, pa.array([b for _, b in rows], pa.binary())], names=["headers", "all_headers", "block"])
+    def each() -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            yield from zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        named = pa.array([list(dict(h).items()) for h, _, _ in rows], pa.map_(pa.string(), pa.string()))
+        every = pa.array([[{"name": k, "value": v} for k, v in h] for h, _, _ in rows], pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))
+        blocks, faults = pa.array([b for _, b, _ in rows], pa.binary()), pa.array([f for _, _, f in rows], pa.string())
+        return pa.RecordBatch.from_arrays([named, every, blocks, faults], names=["headers", "all_headers", "block", "fault"])
+
+    rows: list[tuple] = []
+    size = 0
+    for _, pieces in groupby(each(), key=lambda x: x[0]):
+        for record in _records(piece for _, piece in pieces):
+            rows.append(record)
+            size += len(record[1])
+            if len(rows) >= 1000 or size >= 8_000_000:
+                yield made(rows)
+                rows, size = [], 0
+    if rows:
+        yield made(rows)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``headers`` (by name, of a repeated one the last), ``all_headers`` (every name and value, in order) and ``block`` (bytes) of every record of the archives."""
-    pieces = spark.read.option("lineSep", VERSION).text(path)
-    return pieces.select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file")).mapInArrow(_whole, "headers map<string,string>, all_headers array<struct<name string, value string>>, block binary")
+    """``headers`` (by name, of a repeated one the last), ``all_headers`` (every name and value, in order), ``block`` (bytes) and ``fault`` of every record of the archives.
+
+    ``fault`` is null for a whole record, else ``length`` or ``no length``.  Files are read as gzip streams, each by one task.
+    """
+    pieces = spark.read.option("lineSep", SPLIT.decode()).text(path)
+    schema = "headers map<string,string>, all_headers array<struct<name string, value string>>, block binary, fault string"
+    return pieces.select(F.col("value").cast("binary").alias("value"), F.input_file_name().alias("file")).mapInArrow(_whole, schema)
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -274,8 +344,8 @@ def _derived(id_header: str):
 
 
 def derive(records: DataFrame, id_header: str = "X-Source-Row") -> DataFrame:
-    """The derived records of a table of :func:`read_records`."""
-    return records.mapInArrow(_derived(id_header), DERIVED)
+    """The derived records of the whole records of :func:`read_records`; what is left of a broken one is not derived from."""
+    return records.where("fault IS NULL").select("all_headers", "block").mapInArrow(_derived(id_header), DERIVED)
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:

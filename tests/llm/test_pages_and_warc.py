@@ -171,3 +171,41 @@ def test_repeated_headers_and_digests():
     assert facts["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:uuid:2>", "<urn:uuid:3>"]
     assert facts["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"]
     assert facts["Digest-Check"] == {"Block": "fail", "Payload": "pass"}
+
+
+def _pieces(archive: bytes):
+    return iter(archive.split(warc.SPLIT))
+
+
+def _record(name, block, length=None, version=b"WARC/1.0"):
+    size = b"" if length == "none" else b"Content-Length: %d\r\n" % (len(block) if length is None else length)
+    return version + b"\r\nWARC-Type: resource\r\nWARC-Record-ID: <" + name + b">\r\n" + size + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_a_wrong_length_costs_its_own_record_only():
+    quoted = b"before WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1. after"
+    blocks = [b"one", quoted, b"", b"three\r\n\r\nWARC/1.0", b"last"]
+    whole = [_record(b"r%d" % i, b, version=(b"WARC/1.0", b"WARC/1.1")[i % 2]) for i, b in enumerate(blocks)]
+    read = lambda parts: [(warc.header(h, "WARC-Record-ID"), b, f) for h, b, f in warc._records(_pieces(b"".join(parts)))]
+    want = [(f"<r{i}>", b, None) for i, b in enumerate(blocks)]
+    assert read(whole) == want and read([]) == [] and read([b"junk", *whole]) == want
+    for i, block in enumerate(blocks):
+        for length in (10**6, len(block) + 900, "none") + ((len(block) - 2,) if len(block) > 2 else ()):
+            got = read([*whole[:i], _record(b"r%d" % i, block, length), *whole[i + 1 :]])
+            assert [x for x in got if x[0] != f"<r{i}>" and x[2] is None and x[0]] == [x for x in want if x[0] != f"<r{i}>"]
+            assert [x[2] for x in got if x[0] == f"<r{i}>"] == ["no length" if length == "none" else "length"]
+    # Cut off in the last record.
+    assert read([*whole[:4], whole[4][:-6]])[-1] == ("<r4>", b"la", "length")
+
+
+def test_a_length_beyond_all_measure_ends_at_the_next_record(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BLOCK", 50)
+    parts = [_record(b"a", b"x", 10**12), _record(b"b", b"y")]
+    assert [(b, f) for _, b, f in warc._records(_pieces(b"".join(parts)))] == [(b"x", "length"), (b"y", None)]
+
+
+def test_read_records_tells_of_faults(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(_record(b"a", b"x", 99) + _record(b"b", b"y", version=b"WARC/1.1") + _record(b"c", b"z"))
+    got = warc.read_records(spark, f"file://{tmp_path}/a.warc")
+    assert [(r.headers["WARC-Record-ID"], bytes(r.block), r.fault) for r in got.collect()] == [("<a>", b"x", "length"), ("<b>", b"y", None), ("<c>", b"z", None)]
+    assert warc.derive(got).count() == 0
