@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 _TOKEN = re.compile(
@@ -89,10 +90,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = stop
 
 
-def ends_before(name: str, stack: list[str]) -> int:
-    """How many elements of the stack stay open when an element ``name`` begins."""
+def ends_before(name: str, stack: list[str], open_: Counter[str]) -> int:
+    """How many elements of the stack stay open when an element ``name`` begins.
+
+    ``open_`` counts the elements of the stack by name, so that one which is not there is not searched for.
+    """
     keep = len(stack)
-    if name in BLOCK and name not in _INSIDE_P:
+    if open_["p"] and name in BLOCK and name not in _INSIDE_P:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k] == "p":
                 keep = k
@@ -100,7 +104,7 @@ def ends_before(name: str, stack: list[str]) -> int:
             if stack[k] in _P_BORDER:
                 break
     names, border = _ENDS.get(name, (None, None))
-    if names:
+    if names and any(open_[n] for n in names):
         for k in range(keep - 1, -1, -1):
             if stack[k] in border:
                 break
@@ -109,8 +113,10 @@ def ends_before(name: str, stack: list[str]) -> int:
     return keep
 
 
-def ends_at(name: str, stack: list[str]) -> int:
+def ends_at(name: str, stack: list[str], open_: Counter[str]) -> int:
     """How many elements stay open when an end tag comes; an inline one does not end blocks."""
+    if not open_[name]:
+        return len(stack)
     inline = name not in BLOCK
     for k in range(len(stack) - 1, -1, -1):
         if stack[k] == name:

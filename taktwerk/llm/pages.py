@@ -17,8 +17,11 @@ not make it a template; repeated rows each get their row; an empty table gives a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -51,8 +54,6 @@ _DROP_WORDS = {
 _DROP_FIRM = {"comment", "comments", "commentlist", "disqus", "recommended", "recommendations", "related", "replies", "respond", "responses", "trending"}
 #: Words that say nothing by themselves beside one of the words above.
 _FILLERS = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "inline", "inner", "items", "link", "links", "list", "panel", "posts", "section", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
-#: Elements nested deeper are parts of the one at this depth.
-MOST_DEPTH = 512
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _KEEP, _SOFT, _FIRM, _HEAD = 0, 1, 2, 3  # kept; dropped, but for an article inside; dropped; only headings kept
 
@@ -111,7 +112,7 @@ def read_page(page: str | None) -> Page:
     content: list[str] = []
     kept: list[str] = []
     lost: list[str] = []
-    deeper: dict[str, int] = {}
+    open_: Counter[str] = Counter()
     place = 0
 
     def end_block() -> None:
@@ -130,7 +131,7 @@ def read_page(page: str | None) -> Page:
         while len(names) > keep:
             if names[-1] in BLOCK:
                 end_block()
-            names.pop()
+            open_[names.pop()] -= 1
             _, _, begin, first = marks.pop()
             if begin >= 0 and place > first:
                 own = xxhash.xxh64_intdigest("\x1f".join(content[begin:]).encode("utf-8", "surrogatepass")) >> 1
@@ -151,10 +152,7 @@ def read_page(page: str | None) -> Page:
                 continue
             if name in BLOCK:
                 end_block()
-            close_to(ends_before(name, names))
-            if len(names) >= MOST_DEPTH:
-                deeper[name] = deeper.get(name, 0) + 1
-                continue
+            close_to(ends_before(name, names, open_))
             above, zone = (marks[-1][0], marks[-1][1]) if marks else (_KEEP, 0)
             verdict = _verdict(name, data, zone, above)
             if verdict == _KEEP and (name == "article" or name == "main" or "main" in data or "articleBody" in data):
@@ -169,18 +167,12 @@ def read_page(page: str | None) -> Page:
             if name in BLOCK:
                 content.append(label or f"<{name}")
             names.append(name)
+            open_[name] += 1
             marks.append((verdict, zone, begin, place))
         elif kind == "close":
-            if deeper.get(name):
-                deeper[name] -= 1
-                if name in BLOCK:
-                    end_block()
-            elif name in BLOCK:
-                keep = ends_at(name, names)
-                if keep < len(names):
-                    close_to(keep)
-            else:
-                close_to(ends_at(name, names))
+            keep = ends_at(name, names, open_)
+            if keep < len(names):
+                close_to(keep)
     close_to(0)
     end_block()
     return out
@@ -188,8 +180,10 @@ def read_page(page: str | None) -> Page:
 
 def main_blocks(page: Page, templates: set[int] | frozenset[int] = frozenset()) -> list[tuple[int, str, int]]:
     """The blocks of the article, or else of the main part, or else of the page, that lie in no template."""
-    gone = [(a, b) for a, b, h in page.subtrees if h in templates]
-    left = [x for x in page.blocks if not any(a <= x[0] < b for a, b in gone)]
+    gone = sorted((a, b) for a, b, h in page.subtrees if h in templates)
+    begins, ends = [a for a, _ in gone], list(accumulate((b for _, b in gone), max))
+    # Of the templates that begin up to a place, the one that ends last decides.
+    left = [x for x in page.blocks if not (k := bisect_right(begins, x[0])) or ends[k - 1] <= x[0]]
     best = max((zone for _, _, zone in left), default=0)
     return [x for x in left if x[2] == best]
 
@@ -213,8 +207,9 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = main_blocks(read)
             main = xxhash.xxh64_intdigest("\n".join(x[1] for x in kept).encode("utf-8", "surrogatepass")) >> 1
             seen: dict[int, bool] = {}
+            places = [x[0] for x in kept]
             for a, b, h in read.subtrees:
-                seen[h] = seen.get(h, False) or any(a <= x[0] < b for x in kept)
+                seen[h] = seen.get(h, False) or bisect_left(places, a) < bisect_left(places, b)
             rows += [(row.as_py(), _host(url.as_py()), h, main, matters) for h, matters in seen.items()]
             rows.append((row.as_py(), _host(url.as_py()), None, main, False))
         columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))]

@@ -4,7 +4,9 @@ import hashlib
 import html
 import json
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
 from taktwerk.llm import pages, warc
@@ -209,3 +211,24 @@ def test_read_records_tells_of_faults(spark, tmp_path):
     got = warc.read_records(spark, f"file://{tmp_path}/a.warc")
     assert [(r.headers["WARC-Record-ID"], bytes(r.block), r.fault) for r in got.collect()] == [("<a>", b"x", "length"), ("<b>", b"y", None), ("<c>", b"z", None)]
     assert warc.derive(got).count() == 0
+
+
+def test_menus_and_forms_go_at_any_depth():
+    for depth in (5, 600, 40_000):
+        page = "<div>" * depth + "<p>body</p><nav>MENU</nav><form>FORM</form>" + "</div>" * depth + "<p>after</p>"
+        assert pages.main_text(pages.read_page(page)) == "body\nafter"
+
+
+def test_templates_are_taken_out_in_proportion():
+    """Every block against nested and neighbouring templates, by a plain test of all pairs; and a long list in little time."""
+    page = pages.read_page("<div>" + "".join(f"<div>a{i}<div>b{i}</div></div>" for i in range(40)) + "</div>")
+    for step in (2, 3, 7):
+        some = {h for _, _, h in page.subtrees[::step]}
+        gone = [(a, b) for a, b, h in page.subtrees if h in some]
+        assert pages.main_blocks(page, some) == [x for x in page.blocks if not any(a <= x[0] < b for a, b in gone)]
+    began = time.perf_counter()
+    large = pages.read_page("".join(f"<div>x{i}</div>" for i in range(60_000)))
+    assert len(pages.main_blocks(large, {h for _, _, h in large.subtrees[1:]})) == 1
+    batch = pa.RecordBatch.from_pydict({"row": [1], "url": ["http://a/"], "html": ["".join(f"<div>x{i}</div>" for i in range(60_000))]})
+    assert sum(b.num_rows for b in pages._subtrees(iter([batch]))) == 60_001
+    assert time.perf_counter() - began < 60
