@@ -133,6 +133,16 @@ class Repair:
             if self._offer(self.best, to, cost + INSERT, node, "I"):
                 work.append(to)
 
+    def _prune(self) -> None:
+        """Drop ways at the conversation's begin that cannot win any more, so that the others come to share theirs.
+
+        What can follow on nothing or on a system turn can follow on an assistant's, but for a system row, which has to be deleted.
+        """
+        if after := self.best.get(_ASSISTANT):
+            for state, more in ((_START, DELETE), (_SYSTEM, 0)):
+                if state in self.best and self.best[state][0] > after[0] + more:
+                    del self.best[state]
+
     @staticmethod
     def _offer(best: dict[int, tuple[int, Node]], state: int, cost: int, parent: Node, letter: str) -> bool:
         held = best.get(state)
@@ -167,6 +177,7 @@ class Repair:
             cut = True
         self.seen.add(digest)
         self._inserts()
+        self._prune()
         new: dict[int, tuple[int, Node]] = {}
         for state, (cost, node) in self.best.items():
             self._offer(new, state, cost + DELETE, node, "D")
