@@ -47,14 +47,14 @@ class ConversationState(StatefulProcessor):
         self._state = handle.getValueState("filters", "turn long, " + ", ".join(f"{s} string" for s in self._slots))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("turn", kind="stable")
+        new = sorted((row for chunk in rows for row in chunk.to_dict("records")), key=lambda r: r["turn"])
         now = dict.fromkeys(self._slots)
         last = -1
         if self._state.exists():
             held = self._state.get()
             last, now = held[0], dict(zip(self._slots, held[1:], strict=True))
         out = []
-        for r in new.to_dict("records"):
+        for r in new:
             late = r["turn"] <= last
             if not late:
                 last = r["turn"]
@@ -70,7 +70,8 @@ class ConversationState(StatefulProcessor):
                 now |= {s: v for s, v in own.items() if v is not None}
             out.append((key[0], r["turn"], late, *[now[s] for s in self._slots]))
         self._state.update((last, *[now[s] for s in self._slots]))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "late", *[f"now_{s}" for s in self._slots]])
+        for at in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[at : at + 10_000], columns=["conv_id", "turn", "late", *[f"now_{s}" for s in self._slots]])
 
     def close(self) -> None:
         pass
