@@ -110,7 +110,9 @@ def duration_rules(spark, rows: list[tuple] | None = None) -> DataFrame:
 def dayparts(spark, parts: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """The dayparts as a table of intervals in seconds: ``daypart, low, high``."""
     bound = lambda t: int(t[:2]) * 3600 + int(t[3:]) * 60
-    return spark.createDataFrame([(label, bound(lo), bound(hi)) for label, lo, hi in parts or rules.DAYPARTS], "daypart string, low int, high int")
+    # As one literal, whose size Spark knows.
+    each = [F.struct(F.lit(label).alias("daypart"), F.lit(bound(lo)).alias("low"), F.lit(bound(hi)).alias("high")) for label, lo, hi in parts or rules.DAYPARTS]
+    return spark.range(1).select(F.inline(F.array(*each)))
 
 
 def with_dayparts(df: DataFrame, time: Column, parts: DataFrame | None = None) -> DataFrame:
