@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taktwerk.sources.tables import merged
+
 #: Characters of a piece; shorter texts are one piece.
 PIECE = 3
 
@@ -27,9 +29,9 @@ def contained_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     held = hays.select("kind", F.col("text").alias("hay"), F.explode(F.concat(*sizes)).alias("piece"))
     counts = held.groupBy("kind", "piece").agg(F.count(F.lit(1)).alias("n"))
     asked = needles.where("text <> ''").select("kind", F.col("text").alias("needle"), F.explode(_pieces(F.col("text"), few)).alias("piece"))
-    rarest = asked.join(counts, ["kind", "piece"], "left").groupBy("kind", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
+    rarest = merged(asked, counts, ["kind", "piece"], "left").groupBy("kind", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
     # A piece that no text holds rules its needle out.
     rarest = rarest.where("least.n > 0").select("kind", "needle", F.col("least.piece").alias("piece"))
-    found = rarest.join(held, ["kind", "piece"]).where(F.contains("hay", F.col("needle"))).select("kind", "needle", "hay")
+    found = merged(rarest, held, ["kind", "piece"]).where(F.contains("hay", F.col("needle"))).select("kind", "needle", "hay")
     blank = needles.where("text = ''").select("kind", F.col("text").alias("needle")).join(hays.select("kind", F.col("text").alias("hay")), "kind")
     return found.unionByName(blank.select("kind", "needle", "hay"))

@@ -15,7 +15,7 @@ from taktwerk.functions.text import form_match, search_form, tolerant_match
 from taktwerk.functions.timeofday import at_or_after, at_or_before, seconds_of
 from taktwerk.operators.index import contained_pairs
 from taktwerk.operators.ranking import ranked
-from taktwerk.sources.tables import scratch, written
+from taktwerk.sources.tables import merged, scratch, written
 
 #: Filters that are compared as text, with the activity's column of the same name.
 TEXT_FILTERS = ["day", "location", "target_audience", "center_name", "branch", "instructor"]
@@ -24,6 +24,8 @@ PAGE = 5
 TYPE_COLUMNS = ["name", "category", "english_name"]
 #: Years in a band of ages, the last band, and parts that all rows are dealt to for requests that ask for nothing.
 AGE_BAND, AGE_BANDS, ALL_PARTS = 10, 12, 32
+#: Keys of requests that are sent to the tasks that hold the activities; more of them are met by merging.
+SENT_KEYS = 50_000
 
 
 def category_of(explicit: Column, source_file: Column) -> Column:
@@ -173,10 +175,10 @@ def _tied(activities: DataFrame, requests: DataFrame, row: dict[str, Column], wa
     pairs = pairs.where(inside | (F.col("needle") != F.col("hay"))).select(
         F.expr("left(kind, length(kind) - 1)").alias("kind"), F.when(inside, F.col("needle")).otherwise(F.col("hay")).alias("wanted"), F.when(inside, F.col("hay")).otherwise(F.col("needle")).alias("key")
     )
-    passed = asked.join(pairs, ["kind", "wanted"], "left").select("request_id", "kind", "key")
+    passed = merged(asked, pairs, ["kind", "wanted"], "left").select("request_id", "kind", "key")
     exact = requests.select("request_id", F.inline(F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(c).alias("kind"), k.alias("keys"))) for c, k in keys.items()]))))
     passed = passed.unionByName(exact.select("request_id", "kind", F.explode_outer("keys").alias("key")))
-    costs = passed.join(values, ["kind", "key"], "left").groupBy("request_id", "kind").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "key"))).alias("keys"))
+    costs = merged(passed, values, ["kind", "key"], "left").groupBy("request_id", "kind").agg(F.sum(F.coalesce("n", F.lit(0))).alias("cost"), F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "key"))).alias("keys"))
     least = costs.groupBy("request_id").agg(F.min_by("keys", F.struct("cost", "kind")).alias("keys"))
     return least.select("request_id", F.inline("keys"))
 
@@ -185,7 +187,8 @@ def matches(activities: DataFrame, requests: DataFrame, with_cancelled: bool = F
     """Every request with every activity that fits: ``request_id``, the activity's columns and ``age_match``.
 
     Requests and activities meet in joins of equals, under the keys of one column for each request (:func:`_tied`), and all
-    filters are tested then.  A request without any filter meets all rows, in ``ALL_PARTS`` parts.
+    filters are tested then.  A request without any filter meets all rows, in ``ALL_PARTS`` parts.  The activities are never
+    sent anywhere whole: up to ``SENT_KEYS`` keys of requests, as counted, go to where they are, more meet them by merging.
     """
     compared = ["name", "category", "english_name", "min_age", "max_age", "status", "start_time", *TEXT_FILTERS]
     shown_columns = activities.columns
@@ -196,14 +199,16 @@ def matches(activities: DataFrame, requests: DataFrame, with_cancelled: bool = F
     want = lambda t: {c: F.col(f"{t}{f}") for c, f in asked.items()}
     with scratch(activities.sparkSession) as keep:
         tied = keep(_tied(activities, requests, row(""), want("")), "search-keys")
-    used = {r["column"] for r in tied.select("column").distinct().collect()}
+    used = {r["column"]: r["n"] for r in tied.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     a_row, q_want = row("a."), want("q.")
     age = q_want.get("age", F.lit(None).cast("int"))
     shown = [F.col("q.request_id"), *[F.col(f"a.{c}") for c in shown_columns], bound_status(a_row["min_age"], a_row["max_age"], age).alias("age_match")]
     fits = _prepared_conditions(a_row, q_want, with_cancelled)
     keys = F.concat(F.array().cast("array<struct<column:string,key:string>>"), *[_entries(None, c, _row_keys(row(""), c, F.col("ord"))) for c in sorted(used)])
     a = activities.select("*", F.inline(keys).alias("_column", "_key")).alias("a")
-    q = tied.withColumnsRenamed({"column": "_column", "key": "_key"}).join(requests, "request_id").alias("q")
+    q = tied.withColumnsRenamed({"column": "_column", "key": "_key"})
+    q = merged(q, requests.select("request_id", *asked.values()), "request_id")
+    q = q.hint("broadcast" if sum(used.values()) <= SENT_KEYS else "merge").alias("q")
     for k, column in enumerate(TYPE_COLUMNS):
         # A row whose value in an earlier column lets it through has come out there.
         for earlier in TYPE_COLUMNS[:k] if column in used else ():

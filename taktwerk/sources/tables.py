@@ -34,6 +34,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input, by merging at every size.
+
+    Spark's estimates go by the bytes of files: a file that is small for being compressed, or whose rows are exploded
+    behind it, would else be taken for small enough to be collected by the driver and sent to all tasks.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables written inside are removed at the end, but for those written with the function it gives, which are the caller's."""

@@ -220,3 +220,17 @@ def test_cases(spark):
     assert failures["a"] == [] and len(failures["b"]) == 2 and len(failures["c"]) == 1 and len(failures["d"]) == 1 and failures["e"] == ["run failed: boom"]
     total = evalcases.score(done).first()
     assert (total.total, total.passed, total.failed, total.score_percent) == (5, 1, 4, 20.0)
+
+
+def test_the_activities_of_a_search_are_not_sent_to_all_tasks(spark, sf_dir, monkeypatch):
+    from taktwerk.plans import common
+
+    made = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(search, "SENT_KEYS", most)
+        found = search.matches(common.parts_as_activities(spark, sf_dir), common.requests(spark, sf_dir))
+        made.append(sorted((r.request_id, r.ord, r.age_match) for r in found.select("request_id", "ord", "age_match").collect()))
+        # A file that is small for being compressed once had its exploded rows collected by the driver.
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("BroadcastExchange" in plan) == (most > 0)
+    assert made[0] == made[1] and made[0]
