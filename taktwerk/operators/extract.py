@@ -18,7 +18,7 @@ from taktwerk.functions.timeofday import add_minutes, canonical_day, canonical_t
 from taktwerk.operators.ranking import running_total
 from taktwerk.operators.rows import audience_by_name, duration_rules, infer_end, keep_first
 from taktwerk.schemas import ACTIVITY
-from taktwerk.sources.tables import written
+from taktwerk.sources.tables import merged, written
 
 TIME = r"\d{1,2}[:.]\d{2}"
 
@@ -162,14 +162,15 @@ def first_table(cells: DataFrame, words: list[str], lower: bool = False) -> Data
     h = F.lower("h") if lower else F.col("h")
     fits = reduce(lambda a, b: a & b, [F.contains(h, F.lit(w)) for w in words])
     chosen = header.where(fits).groupBy("source_file").agg(F.min("table_no").alias("table_no"))
-    return cells.join(chosen, ["source_file", "table_no"], "left_semi")
+    return merged(cells, chosen, ["source_file", "table_no"], "left_semi")
 
 
 def unpivoted(grid: DataFrame) -> DataFrame:
     """A matrix's cells with the texts of their row's first cell and their column's header."""
     top = grid.where("row_no = 0").select("source_file", "table_no", "col_no", F.col("text").alias("column_head"))
     side = grid.where("col_no = 0 and row_no > 0").select("source_file", "table_no", "row_no", F.col("text").alias("row_head"))
-    return grid.where("row_no > 0 and col_no > 0").join(top, ["source_file", "table_no", "col_no"]).join(side, ["source_file", "table_no", "row_no"])
+    below = merged(grid.where("row_no > 0 and col_no > 0"), top, ["source_file", "table_no", "col_no"])
+    return merged(below, side, ["source_file", "table_no", "row_no"])
 
 
 def titles(paragraphs: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def titles(paragraphs: DataFrame) -> DataFrame:
 
 def matrix(paragraphs: DataFrame, cells: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """Days across, times down; a cell's lines are name, instructor, location and notes."""
-    grid = unpivoted(first_table(cells, rules.TABLE_HEADER)).join(titles(paragraphs), "source_file")
+    grid = merged(unpivoted(first_table(cells, rules.TABLE_HEADER)), titles(paragraphs), "source_file")
     start = canonical_time(clean_text(F.col("row_head")))
     lines = F.filter(F.transform(F.split("text", r"\R"), lambda p: clean_text(p)), lambda p: p.isNotNull())
     grid = grid.withColumn("start_time", start).where(F.col("start_time").isNotNull()).withColumn("p", lines).where(F.size("p") > 0)
@@ -232,7 +233,7 @@ def place_details(value: Column) -> Column:
 
 def bilingual(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     """A table with named columns; rows without a day, a start or a name go."""
-    rows = named_rows(first_table(cells, rules.BILINGUAL_HEADER, lower=True), rules.BILINGUAL_COLUMNS).join(titles(paragraphs), "source_file")
+    rows = merged(named_rows(first_table(cells, rules.BILINGUAL_HEADER, lower=True), rules.BILINGUAL_COLUMNS), titles(paragraphs), "source_file")
     rows = rows.dropna(subset=list(rules.BILINGUAL_COLUMNS.values()))
     rows = rows.withColumn("who", split_name(F.col("raw_name"))).withColumn("where", place_details(F.col("raw_room"))).withColumn("when", time_range(F.col("raw_time")))
     rows = rows.withColumn("day", canonical_day(F.col("raw_day"))).where(F.col("day").isNotNull() & F.col("when.start").isNotNull() & F.col("who.he").isNotNull())
@@ -343,7 +344,7 @@ def ingest(paragraphs: DataFrame, cells: DataFrame, layouts: DataFrame) -> DataF
     The order is that of the file's name and the place in it: ``ord`` goes on from one file to the next.
     """
     def of(df: DataFrame, layout: str) -> DataFrame:
-        return df.join(layouts.where(F.col("layout") == layout).select("source_file"), "source_file", "left_semi")
+        return merged(df, layouts.where(F.col("layout") == layout).select("source_file"), "source_file", "left_semi")
 
     parts = [
         basic(of(paragraphs, "basic")), dirty(of(paragraphs, "dirty")), matrix(of(paragraphs, "table"), of(cells, "table")),
@@ -356,7 +357,7 @@ def ingest(paragraphs: DataFrame, cells: DataFrame, layouts: DataFrame) -> DataF
     # One row per file.
     files = table.groupBy("source_file").agg((F.max("n") + 1).alias("_size"))
     files = running_total(files, ["source_file"], "_size", "_base").drop("_size")
-    return first.join(files, "source_file").withColumn("ord", (F.col("_base") + F.col("n")).cast("long")).drop("n", "_base")
+    return merged(first, files, "source_file").withColumn("ord", (F.col("_base") + F.col("n")).cast("long")).drop("n", "_base")
 
 
 def routed(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -365,10 +366,10 @@ def routed(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]
     ``absent``: the manifest names a file that is not there; ``unrouted``: a file is there that it does not name.
     """
     named = files.withColumn("source_file", F.regexp_extract("path", "[^/]*$", 0))
-    kept = named.join(manifest.select("source_file", "layout"), "source_file")
+    kept = merged(named, manifest.select("source_file", "layout"), "source_file")
     listed = named.select("source_file")
-    absent = manifest.select("source_file").join(listed, "source_file", "left_anti").select("source_file", F.lit("absent").alias("problem"))
-    unrouted = listed.join(manifest.select("source_file"), "source_file", "left_anti").select("source_file", F.lit("unrouted").alias("problem"))
+    absent = merged(manifest.select("source_file"), listed, "source_file", "left_anti").select("source_file", F.lit("absent").alias("problem"))
+    unrouted = merged(listed, manifest.select("source_file"), "source_file", "left_anti").select("source_file", F.lit("unrouted").alias("problem"))
     return kept, absent.unionByName(unrouted)
 
 

@@ -165,3 +165,13 @@ def test_json_tables(spark, tmp_path):
         documents.json_table(spark, f"file://{tmp_path}/bad.json", EVENT).collect()
     documents.save_table(spark.createDataFrame([("ש", None)], "a string, b int"), f"file://{tmp_path}/out", "json")
     assert any('{"a":"ש","b":null}' in p.read_text() for p in (tmp_path / "out").glob("*.json"))
+
+
+def test_documents_are_routed_without_sending_the_manifest(spark, sf_dir):
+    from taktwerk.plans import layouts
+
+    files, manifest = layouts._files(spark, sf_dir)
+    kept, problems = extract.routed(files.select("path"), manifest)
+    for df in (kept, problems):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
