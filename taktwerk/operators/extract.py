@@ -21,6 +21,8 @@ from taktwerk.schemas import ACTIVITY
 from taktwerk.sources.tables import merged, written
 
 TIME = r"\d{1,2}[:.]\d{2}"
+#: Header cells that are sent to all tasks.
+SENT_HEADERS = 10_000
 
 
 def _document(source: str = "source_file", place: str = "n"):
@@ -195,11 +197,17 @@ def matrix(paragraphs: DataFrame, cells: DataFrame, durations: DataFrame | None
 
 
 def named_rows(grid: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One row per table row with its cells under the names that the header row's texts stand for."""
+    """One row per table row with its cells under the names that the header row's texts stand for; of equal headers the first counts.
+
+    Headers go to the rows if they are few, as counted; many are merged.  Rows are dealt by their place first and put together
+    then, so that no task sorts what a whole file holds.
+    """
     top = grid.where("row_no = 0").select("source_file", "table_no", "col_no", clean_text(F.col("text")).alias("head"))
-    body = grid.where("row_no > 0").join(top, ["source_file", "table_no", "col_no"])
-    wide = body.groupBy("source_file", "table_no", "row_no").pivot("head", list(columns)).agg(F.first("text"))
-    return wide.withColumnsRenamed(columns)
+    few = top.limit(SENT_HEADERS + 1).count() <= SENT_HEADERS
+    body = grid.where("row_no > 0").join(top.hint("broadcast" if few else "merge"), ["source_file", "table_no", "col_no"])
+    row = ["source_file", "table_no", "row_no"]
+    cell = lambda head: F.min_by("text", F.when(F.col("head") == head, F.col("col_no")))
+    return body.repartition(*row).groupBy(*row).agg(*[cell(head).alias(name) for head, name in columns.items()])
 
 
 def split_name(value: Column) -> Column:

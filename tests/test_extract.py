@@ -167,6 +167,17 @@ def test_json_tables(spark, tmp_path):
     assert any('{"a":"ש","b":null}' in p.read_text() for p in (tmp_path / "out").glob("*.json"))
 
 
+def test_rows_of_a_table_are_dealt_before_they_are_put_together(spark, monkeypatch):
+    cells = [("f", 0, 0, 0, "A"), ("f", 0, 0, 1, "B "), ("f", 0, 0, 2, "A"), *[("f", 0, r, c, f"{r}{c}") for r in range(1, 6) for c in (2, 1, 0)], ("f", 0, 6, 1, "61")]
+    grid = spark.createDataFrame(cells, "source_file string, table_no int, row_no int, col_no int, text string")
+    for most in (10_000, 0):
+        monkeypatch.setattr(extract, "SENT_HEADERS", most)
+        out = extract.named_rows(grid, {"A": "a", "B": "b"})
+        assert sorted(tuple(r) for r in out.select("row_no", "a", "b").collect()) == [*[(r, f"{r}0", f"{r}1") for r in range(1, 6)], (6, None, "61")]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.rindex("SortAggregate") < plan.index("REPARTITION_BY_COL")
+
+
 def test_documents_are_routed_without_sending_the_manifest(spark, sf_dir):
     from taktwerk.plans import layouts
 
