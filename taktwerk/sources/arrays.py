@@ -1,13 +1,14 @@
 """A table as one file with a JSON array of records, in a stated order, replaced at one stroke.
 
-Records become texts where they are; the ranges of the order are then written one behind the other by a single task, as one
-file has one writer.  Spark's commit lets the part appear once its task has ended, and a rename
+Records become texts where they are and are put in order and written by ranges, by many tasks; a single task then copies the
+ranges one behind the other, as one file has one writer, and holds a line at a time.  Spark's commit lets the part appear once its task has ended, and a rename
 puts it in the place of the old file, so a job that fails leaves the old file as it was.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +36,13 @@ def save_array(df: DataFrame, path: str, order: list[str], keep: list[str] | Non
     target = spark_path(path)
     conf = spark._jsc.hadoopConfiguration()
     fs = target.getFileSystem(conf)
-    draft = spark_path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    draft, ranges = (spark_path(target.getParent(), f".{target.getName()}-{kind}-{uuid.uuid4().hex}") for kind in ("whole", "ranges"))
     try:
-        array_lines(df, order, keep).coalesce(1).write.text(draft.toString())
+        # Parts are named in the order of their ranges; compressed ones are not split, so that each is one piece of the copy.
+        array_lines(df, order, keep).write.text(ranges.toString(), compression="gzip")
+        parts = sorted(f.getPath().toString() for f in fs.listStatus(ranges) if f.getPath().getName().startswith("part-"))
+        copies = [spark.read.text(p, lineSep="\n") for p in parts]
+        reduce(DataFrame.unionAll, copies).coalesce(1).write.text(draft.toString())
         part = next(f.getPath() for f in fs.listStatus(draft) if f.getPath().getName().startswith("part-"))
         rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
         over = spark._sc._gateway.new_array(rename, 1)
@@ -45,6 +50,7 @@ def save_array(df: DataFrame, path: str, order: list[str], keep: list[str] | Non
         spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(part, target, over)
     finally:
         fs.delete(draft, True)
+        fs.delete(ranges, True)
 
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -115,3 +115,12 @@ def test_scratch_removes_all_but_what_is_kept(spark):
     for df in (gone, mine):
         with pytest.raises(Exception, match="(?i)not.*exist"):
             df.count()
+
+
+def test_the_task_that_writes_an_array_sorts_nothing(spark, folder, monkeypatch):
+    plans, kind = [], type(spark.range(1))
+    whole = kind.coalesce
+    monkeypatch.setattr(kind, "coalesce", lambda df, n: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, n))
+    arrays.save_array(spark.range(5000).withColumn("s", F.lit("é")).repartition(5), f"file://{folder}/a.json", ["id"])
+    assert [r["id"] for r in json.loads(open(f"{folder}/a.json", encoding="utf-8").read())] == list(range(5000))
+    assert plans and not [p for p in plans if "Sort" in p]
