@@ -85,11 +85,11 @@ def case_summary(spark, sf):
 
 
 def stream_first(spark, sf):
-    """Of the events of a user and a kind the one with the least value, whatever came first; the last event closes the stream."""
+    """Of the events of a user and a kind the one with the least value, of equal ones that with the least number; the last event closes the stream."""
     def make(source):
         closing = F.col("event_id") == 0
         at = F.when(closing, F.lit("2100-01-01").cast("timestamp")).otherwise(F.col("ts").cast("timestamp"))
-        own = source.select(F.when(~closing, F.col("user_id")).alias("user_id"), "event_type", (F.col("event_id") * 7919 % 10_007).alias("rank"), "event_id", at.alias("at"))
+        own = source.select(F.when(~closing, F.col("user_id")).alias("user_id"), "event_type", F.struct(F.col("event_id") * 7919 % 10_007, "event_id").alias("rank"), "event_id", at.alias("at"))
         return jobs.first_by_order_stream(own, ["user_id", "event_type"], "rank", "at", "2000 days", "1 day")
 
     return streamed(spark, sf, "events", make).where("user_id IS NOT NULL").select("user_id", "event_type", "event_id")
@@ -127,7 +127,7 @@ def sql(oracle: dict[str, str]) -> dict[str, str]:
         "case_report": f"{oracle['cases']} SELECT id, 'case ' || id AS query, n_failures = 0 AS passed, (id % 7) / 8.0::double AS duration, 'activity' AS intent, NULL::varchar AS day, result_count FROM e",
         "case_summary": f"""{oracle['cases']} SELECT count(*) FILTER (n_failures = 0) AS passed, count(*) FILTER (n_failures > 0) AS failed, count(*) AS total,
             round(100.0::double * count(*) FILTER (n_failures = 0) / count(*), 2) AS score, sum((id % 7) / 8.0::double) AS total_duration FROM e""",
-        "stream_first": "SELECT user_id, event_type, arg_min(event_id, event_id * 7919 % 10007) AS event_id FROM events WHERE event_id <> 0 GROUP BY 1, 2",
+        "stream_first": "SELECT user_id, event_type, min({'rank': event_id * 7919 % 10007, 'event_id': event_id})['event_id'] AS event_id FROM events WHERE event_id <> 0 GROUP BY 1, 2",
     }
 
 

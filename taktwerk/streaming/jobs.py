@@ -194,7 +194,7 @@ def ingest_stream(records: DataFrame, keys: list[str], time: str, delay: str = "
 
 
 def first_by_order_stream(records: DataFrame, keys: list[str], order: str, time: str, gap: str, delay: str) -> DataFrame:
-    """Of records with equal keys the one with the least ``order``, in whatever order they arrive.
+    """Of records with equal keys the one with the least ``order``, in whatever order they arrive; ``order`` tells the records of a key apart.
 
     Records of a key that come no more than ``gap`` apart in event time are one group; it comes out once, when the watermark
     (``delay`` behind the latest event) has passed its end.  A key that is seen again later makes a new group.

@@ -131,3 +131,14 @@ def test_first_by_order_on_a_stream(spark):
     got = sorted((r.k, r.ord) for r in spark.read.parquet(f"{base}/out").collect())
     want = rows.keep_first(spark.createDataFrame(facts, "k string, ord long, s long"), ["k"])
     assert got == sorted((r.k, r.ord) for r in want.collect())
+
+
+def test_equal_ranks_on_a_stream_go_by_number(spark):
+    from taktwerk.plans import reports as plans
+
+    for order in ("event_id", "event_id desc"):
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        ids = spark.createDataFrame([(0,), (3,), (3 + 10_007,), (3 + 3 * 10_007,)], "event_id long").orderBy(F.expr(order.split()[0]).desc() if "desc" in order else F.col(order))
+        events = ids.select("event_id", F.lit(7).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+        events.coalesce(1).write.parquet(f"{folder}/events.parquet")
+        assert [tuple(r) for r in plans.stream_first(spark, folder).collect()] == [(7, "view", 3)]
