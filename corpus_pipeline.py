@@ -37,8 +37,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    # The workers serve the other stages too, so this one leaves them little to remember.
-    return packing.pack_documents(docs, cache_pieces=100_000)
+    # The workers serve the other stages too, so this one leaves them little to remember and little at once.
+    return packing.pack_documents(docs, cache_pieces=100_000, chunk_chars=1_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

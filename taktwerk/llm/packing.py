@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from taktwerk.llm.common import materialize, sliced, with_text
 from taktwerk.llm.elias_fano import with_end
-from taktwerk.llm.tokens import CACHE_PIECES, BatchEncoder, default_tokenizer_path, shared_encoder
+from taktwerk.llm.tokens import CACHE_PIECES, CHUNK_CHARS, BatchEncoder, default_tokenizer_path, shared_encoder
 
 LENGTH = 2048
 GROUP_PIECES = 8192
@@ -99,9 +99,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(1)).astype(np.int64)
 
 
-def _pieces(path: str, length: int, cache_pieces: int):
+def _pieces(path: str, length: int, cache_pieces: int, chunk_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(path) if cache_pieces >= CACHE_PIECES else BatchEncoder(path, cache_pieces)
+        usual = cache_pieces >= CACHE_PIECES and chunk_chars >= CHUNK_CHARS
+        encoder = shared_encoder(path) if usual else BatchEncoder(path, cache_pieces, chunk_chars)
         made = TaskContext.get().partitionId() << 40
         for batch in sliced(batches, 3000):
             flat, n = with_end(*encoder.encode(batch.column("text").to_pylist()))
@@ -121,11 +122,12 @@ def _pieces(path: str, length: int, cache_pieces: int):
     return run
 
 
-def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, cache_pieces: int = CACHE_PIECES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per piece of each document, written once; ``cache_pieces`` bounds what a task
-    remembers of the tokenizer's work, and less than the usual number is forgotten at its end."""
+    remembers of the tokenizer's work and ``chunk_chars`` the characters it handles at once, and
+    less than the usual number is forgotten at its end."""
     own = with_text(docs, {"id": id_col, "text": text_col}).withColumn("id", F.col("id").cast("long"))
-    pieces = own.mapInArrow(_pieces(tokenizer or default_tokenizer_path(), length, cache_pieces), "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
+    pieces = own.mapInArrow(_pieces(tokenizer or default_tokenizer_path(), length, cache_pieces, chunk_chars), "doc_id long, piece int, start long, length long, ids_crc32 long, lot long")
     return materialize(pieces, "pieces")
 
 
@@ -148,6 +150,6 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH, documents: int | None =
     return dealt.groupBy("grp").applyInPandas(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, cache_pieces: int = CACHE_PIECES, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, cache_pieces: int = CACHE_PIECES, chunk_chars: int = CHUNK_CHARS, **limits) -> DataFrame:
     """Cut documents into pieces and pack them."""
-    return pack_pieces(document_pieces(docs, id_col, text_col, tokenizer, length, cache_pieces), length, **limits)
+    return pack_pieces(document_pieces(docs, id_col, text_col, tokenizer, length, cache_pieces, chunk_chars), length, **limits)

@@ -53,7 +53,7 @@ def shared_encoder(path: str) -> BatchEncoder:
 class BatchEncoder:
     """Encodes lists of texts."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, chunk_chars: int = CHUNK_CHARS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,7 +62,7 @@ class BatchEncoder:
         self._blank_first = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self._blank_first[i] = token.startswith("Ġ")
-        self._limit = cache_pieces
+        self._limit, self._chunk = cache_pieces, chunk_chars
         # Added tokens are matched before pre-tokenisation, so texts that name one go whole.
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._forget()
@@ -167,7 +167,7 @@ class BatchEncoder:
         at = 0
         while at < len(texts):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= CHUNK_CHARS):
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= self._chunk):
                 chars += len(texts[end])
                 end += 1
             part = texts[at:end]

@@ -105,3 +105,20 @@ def test_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]
     assert packing.cut(3, 4) == [(0, 3)]
+
+
+def test_small_chunks_give_the_same_ids_in_less_memory():
+    import tracemalloc
+
+    from taktwerk.llm import tokens
+
+    texts = [" ".join(f"w{(i * 31 + k) % 997}" for k in range(400)) for i in range(800)]
+    path, peaks, made = tokens.default_tokenizer_path(), [], []
+    for chunk in (tokens.CHUNK_CHARS, 100_000):
+        encoder = tokens.BatchEncoder(path, 100_000, chunk)
+        tracemalloc.start()
+        ids, sizes = encoder.encode(texts)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        made.append((ids.tolist(), sizes.tolist()))
+    assert made[0] == made[1] and peaks[1] < peaks[0] / 2
