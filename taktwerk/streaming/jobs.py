@@ -113,26 +113,34 @@ class SessionState(StatefulProcessor):
         return {s: v for s, v in zip(self._slots, state.get(), strict=True) if v is not None}
 
     def _load(self) -> sessions.Session:
-        turn, at = self._place.get() if self._place.exists() else (None, None)
+        """The chat's session.  Each call of a state is a message to the engine and back; a chat without a place has nothing else."""
+        self._known = self._place.exists()
+        if not self._known:
+            self._had = (None, None, None)
+            return sessions.Session()
+        turn, at = self._place.get()
         found, offset = self._paging.get() if self._paging.exists() else (0, 0)
-        return sessions.Session(turn, at, self._filters(self._last), self._filters(self._asked), found, offset)
+        last, asked = self._filters(self._last), self._filters(self._asked)
+        self._had = tuple(None if f is None else self._values(f) for f in (last, asked)) + ((found, offset) if (found, offset) != (0, 0) else None,)
+        return sessions.Session(turn, at, last, asked, found, offset)
+
+    def _values(self, filters: sessions.Slots) -> tuple:
+        return tuple(filters.get(s) for s in self._slots)
 
     def _save(self, session: sessions.Session) -> None:
+        """Write the place, and of the rest what differs from what was loaded."""
         self._place.update((session.turn, session.at))
-        for state, held in ((self._last, session.last), (self._asked, session.asked)):
-            if held is not None:
-                state.update(tuple(held.get(s) for s in self._slots))
-            elif state.exists():
+        now = [None if f is None else self._values(f) for f in (session.last, session.asked)]
+        now.append((session.found, session.offset) if session.paging else None)
+        for state, before, held in zip((self._last, self._asked, self._paging), self._had, now, strict=True):
+            if held is None and before is not None:
                 state.clear()
-        if session.paging:
-            self._paging.update((session.found, session.offset))
-        elif self._paging.exists():
-            self._paging.clear()
+            elif held is not None and held != before:
+                state.update(held)
 
     def _shown(self, rows: list[tuple]) -> pd.DataFrame:
-        kinds = {"long": "Int64", "string": object, "boolean": "boolean"}
-        names = [c.split(" ") for c in sessions.output(self._slots).split(", ")]
-        return pd.DataFrame(rows, columns=[n for n, _ in names]).astype({n: kinds[k] for n, k in names})
+        # Plain objects, which Arrow takes by the schema: a frame of typed columns for each chat costs more than the chat.
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in sessions.output(self._slots).split(", ")], dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [{c: _plain(v) for c, v in row.items()} for chunk in rows for row in chunk.to_dict("records")]
@@ -146,7 +154,7 @@ class SessionState(StatefulProcessor):
             out.append(sessions.replied(key[0], m, sessions.step(session, m, self._idle), session, self._slots))
         self._save(session)
         if session.at is not None:
-            for timer in self._handle.listTimers():
+            for timer in self._handle.listTimers() if self._known else ():
                 self._handle.deleteTimer(timer)
             self._handle.registerTimer(int((session.at + self._idle) * 1000) + 1)
         for at in range(0, len(out), 10_000):

@@ -121,3 +121,51 @@ def test_odd_messages(spark):
 
 def test_query_of_the_plans(spark, sf_dir):
     assert {r.reply for r in chats.chat_sessions(spark, sf_dir).select("reply").distinct().collect()} >= {"search", "clarify", "page", "thanks", "greeting", "ignored"}
+
+
+class _Calls:
+    """A handle that holds values in memory and counts the messages that a real one would exchange."""
+
+    def __init__(self):
+        self.n, self.held = 0, {}
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class State:
+            def exists(self):
+                outer.n += 1
+                return name in outer.held
+
+            def get(self):
+                outer.n += 1
+                return outer.held.get(name)
+
+            def update(self, value):
+                outer.n += 1
+                outer.held[name] = value
+
+            def clear(self):
+                outer.n += 1
+                outer.held.pop(name)
+
+        return State()
+
+    def listTimers(self):
+        self.n += 1
+        return iter(())
+
+    def registerTimer(self, at):
+        self.n += 1
+
+
+def test_a_new_chat_costs_few_calls_of_its_state():
+    import pandas as pd
+
+    handle, own = _Calls(), jobs.SessionState(SLOTS, 1800)
+    own.init(handle)
+    row = {"turn": 1, "seconds": 5.0, "label": "message", "more": False, "no_more": False, "may_follow": False, "action": None, "cleared": None, "intent": "other", "clarify": False, "results": 2} | dict.fromkeys(SLOTS)
+    (shown,) = own.handleInputRows((4,), iter([pd.DataFrame([row])]), None)
+    assert shown["reply"].tolist() == ["search"] and handle.held == {"place": (1, 5.0)}
+    # Whether it is known, its place, and its timer.
+    assert handle.n == 3
