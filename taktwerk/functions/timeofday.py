@@ -8,11 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from taktwerk.functions import rules
-from taktwerk.functions.text import clean_text, mapped
+from taktwerk.functions.text import any_in, clean_text, mapped
+
+
+def _number(c: Column) -> Column:
+    """A text as a whole number, or null.  An empty one is null before the cast, which raises and catches an error for each it cannot read."""
+    return F.nullif(c, F.lit("")).try_cast("int")
 
 
 def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group).try_cast("int")
+    return _number(F.regexp_extract(c, pattern, group))
 
 
 def _clock(hour: Column, minute: Column) -> Column:
@@ -76,8 +81,8 @@ def seconds_of(c: Column) -> Column:
     head = r"^(?:\d{4}-\d{2}-\d{2}[ T])?(\d{1,2}:\d{1,2}(?::\d{1,2})?)"
 
     def of(parts: Column) -> Column:
-        h, m = (F.get(parts, F.lit(k)).try_cast("int") for k in (0, 1))
-        s = F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0))
+        h, m = (_number(F.get(parts, F.lit(k))) for k in (0, 1))
+        s = F.coalesce(_number(F.get(parts, F.lit(2))), F.lit(0))
         return F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s)
 
     return _let(F.split(F.regexp_extract(_stripped(c), head, 1), ":"), of)
@@ -127,8 +132,8 @@ def at_or_before(value: Column, bound: Column) -> Column:
 
 def status_of(c: Column) -> Column:
     """``cancelled``, ``tbd`` or ``active`` by the words in a text; empty is active."""
-    t = F.lower(F.coalesce(c, F.lit("")))
-    waiting = F.lit(False)
-    for w in rules.PLACEHOLDERS:
-        waiting = waiting | F.contains(t, F.lit(w))
-    return F.when(F.contains(t, F.lit(rules.CANCELLED)) | F.contains(t, F.lit("cancelled")), "cancelled").when(waiting, "tbd").otherwise("active")
+
+    def of(t: Column) -> Column:
+        return F.when(any_in(t, [rules.CANCELLED, "cancelled"]), "cancelled").when(any_in(t, rules.PLACEHOLDERS), "tbd").otherwise("active")
+
+    return _let(F.lower(F.coalesce(c, F.lit(""))), of)

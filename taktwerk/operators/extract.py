@@ -53,6 +53,15 @@ def following(df: DataFrame, value: Column, into: str, source: str = "source_fil
     return df.withColumn(into, F.lead(value).over(_document(source, place)))
 
 
+def computed(df: DataFrame, value: Column, into: str) -> DataFrame:
+    """A column that is computed once for each row.
+
+    A filter on a column that ``withColumn`` adds is moved before it and takes the whole expression along, once for every place that
+    names it; what a generator puts out is only read.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(into))
+
+
 def with_title(paragraphs: DataFrame) -> DataFrame:
     """The document's first paragraph as ``center_name`` on each of its lines, texts trimmed."""
     out = paragraphs.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
@@ -111,10 +120,9 @@ def dirty_time(text: Column) -> Column:
     both, evening, single = rf"(?U)^({TIME})\s*[-–]\s*({TIME}){gap}", rf"(?U)^({TIME}\s*{rules.EVENING}){gap}", rf"(?U)^({TIME}){gap}"
     get = lambda p, k: F.regexp_extract(text, p, k)
     none = F.lit(None).cast("string")
-    span = time_range(F.concat(get(both, 1), F.lit("-"), get(both, 2)))
     make = lambda a, b, c: F.struct(a.alias("start"), b.alias("end"), F.trim(c).alias("rest"))
     return (
-        F.when(text.rlike(both), make(span["start"], span["end"], get(both, 3)))
+        F.when(text.rlike(both), make(canonical_time(get(both, 1)), canonical_time(get(both, 2)), get(both, 3)))
         .when(text.rlike(evening), make(canonical_time(get(evening, 1)), none, get(evening, 2)))
         .when(text.rlike(single), make(canonical_time(get(single, 1)), none, get(single, 2)))
     )
@@ -133,8 +141,8 @@ def dirty(paragraphs: DataFrame, durations: DataFrame | None = None) -> DataFram
     makes the row undecided where the instructor stands.  The last of these words sets the status.
     """
     lines = by_day(section(with_title(paragraphs), F.col("text").isin(*rules.SECTION_START))).where(~F.startswith("text", F.lit("*")))
-    lines = lines.withColumn("t", dirty_time(F.col("text"))).where(F.col("t.start").isNotNull())
-    lines = lines.withColumn("p", adaptive_parts(F.col("t.rest"))).where(F.size("p") > 0)
+    lines = computed(lines, dirty_time(F.col("text")), "t").where(F.col("t.start").isNotNull())
+    lines = computed(lines, adaptive_parts(F.col("t.rest")), "p").where(F.size("p") > 0)
     tail = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
     cancelled = lambda p: F.contains(p, F.lit(rules.CANCELLED))
     lines = lines.withColumn("r", F.filter(tail, lambda p: ~cancelled(p))).withColumn("tail", tail)

@@ -103,8 +103,11 @@ def infer_end(df: DataFrame, rule_table: DataFrame, explicit: str = "end_time")
 
 def duration_rules(spark, rows: list[tuple] | None = None) -> DataFrame:
     """The duration rules as a table."""
-    schema = "source_file string, day string, start_time string, name string, minutes int, priority int"
-    return spark.createDataFrame(rows if rows is not None else rules.DURATIONS, schema)
+    columns = {"source_file": "string", "day": "string", "start_time": "string", "name": "string", "minutes": "int", "priority": "int"}
+    # As one literal, whose size Spark knows.
+    each = [F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(row, columns.items(), strict=True)]) for row in (rules.DURATIONS if rows is None else rows)]
+    table = f"array<struct<{','.join(f'{c}:{kind}' for c, kind in columns.items())}>>"
+    return spark.range(1).select(F.inline(F.array(*each).cast(table)))
 
 
 def dayparts(spark, parts: list[tuple[str, str, str]] | None = None) -> DataFrame:

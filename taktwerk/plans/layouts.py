@@ -31,8 +31,9 @@ def _choice(of: Column, *values: Column | str | None) -> Column:
 
 
 def _paragraphs(spark: SparkSession, sf: str, *lines: Column) -> DataFrame:
-    """A document of these lines for every part."""
-    return _parts(spark, sf).select(F.col("p_partkey").cast("string").alias("source_file"), F.posexplode(F.array_compact(F.array(*lines))).alias("n", "text"))
+    """A document of these lines for every part; parts are dealt by document first, as their table may be one file."""
+    parts = _parts(spark, sf).withColumn("source_file", F.col("p_partkey").cast("string")).repartition("source_file")
+    return parts.select("source_file", F.posexplode(F.array_compact(F.array(*lines))).alias("n", "text"))
 
 
 def _shown(table: DataFrame, *columns: str) -> DataFrame:

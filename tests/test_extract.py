@@ -1,6 +1,7 @@
 """The six document layouts, from Word files built here to activity rows, and their ground truth."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -186,3 +187,28 @@ def test_documents_are_routed_without_sending_the_manifest(spark, sf_dir):
     for df in (kept, problems):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_dirty_lines_are_read_once(spark, sf_dir):
+    """No filter holds the line's times or parts a second time, rules of a known size are sent, and documents are dealt before they become lines."""
+    from taktwerk.plans import layouts
+
+    df = layouts.layout_dirty(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "- Filter " in line]
+    assert filters and not [line for line in filters if "regexp_extract" in line or "split(" in line]
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+    lines = plan.index("Generate posexplode")
+    assert "Exchange" not in plan[:lines] and "REPARTITION_BY_COL" in plan[lines:]
+
+
+def test_texts_without_a_time_raise_no_errors(spark):
+    """An empty text is null before it is cast: a million texts of which no half is a number would else be a million errors."""
+    from taktwerk.functions import timeofday
+
+    df = spark.createDataFrame([("18:00",), ("6:05 pm",), ("24:00",), ("no time",), ("",), (None,), ("7:30 " + rules.EVENING,)], "t string")
+    out = df.select(timeofday.canonical_time(F.col("t")).alias("c"), timeofday.seconds_of(F.col("t")).alias("s"), timeofday.status_of(F.col("t")).alias("x"))
+    assert [(r.c, r.s) for r in out.collect()] == [("18:00", 64800), ("18:05", 21900), (None, None), (None, None), (None, None), (None, None), ("19:30", 27000)]
+    assert {r.x for r in out.collect()} == {"active"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast(") == len(re.findall(r"= \)\) (?:null|false) else (?:isnotnull)?\(*try_cast\(", plan)) > 0
